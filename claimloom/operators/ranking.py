@@ -50,6 +50,28 @@ def number_rows(df: DataFrame, keys, order, block: Column, name: str = "rn") ->
     return numbered.join(offsets, same).withColumn(name, F.col("_in") + F.col("_before")).drop(*drop)
 
 
+def previous_value(df: DataFrame, keys, order, block: Column, column: str, name: str) -> DataFrame:
+    """Value of ``column`` in the row before, per ``keys``; null on the first row.
+
+    Inside a block it is a plain lag; the first row of a block takes the last value
+    of the block before, which comes from the small table of block ends.
+    """
+    marked = df.withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    lagged = marked.withColumn("_prev", F.lag(column).over(inside)).withColumn("_nth", F.row_number().over(inside))
+    ends = marked.groupBy(*keys, "_block").agg(F.max_by(column, order).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_block")
+    carried = ends.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), F.lag("_end").over(before).alias("_carry")
+    )
+    same = reduce(
+        lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_block") == F.col("_b")]
+    )
+    value = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    drop = ["_block", "_b", "_prev", "_nth", "_carry"] + [f"_k_{k}" for k in keys]
+    return lagged.join(carried, same).withColumn(name, value).drop(*drop)
+
+
 def number_small_groups(df: DataFrame, keys, order, name: str = "rn") -> DataFrame:
     """1-based number inside groups bounded by one record (participants, roles)."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

@@ -1,8 +1,8 @@
 """All registered queries and their SQL checks."""
 
-from . import queries_assembly
+from . import queries_assembly, queries_review
 
 QUERIES, ORACLE = {}, {}
-for module in (queries_assembly,):
+for module in (queries_assembly, queries_review):
     QUERIES.update(module.QUERIES)
     ORACLE.update(module.ORACLE)

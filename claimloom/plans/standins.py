@@ -237,3 +237,62 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.lit("tx"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("task_id"),
         told.alias("answer"), F.lit("text").alias("source"), F.array(text("O", k)).alias("evidence_ids"),
     )
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as finished records with every kind of gap."""
+    c, k = F.col, F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    label = text("L", k % 50)
+    smiles = F.when(k % 3 == 0, F.lit(None)).when(k % 7 == 0, "bad(z").otherwise(text("c", k % 5))
+
+    def issue(code, severity, message):
+        return F.struct(
+            F.lit(code).alias("code"), F.lit(severity).alias("severity"), label.alias("target_id"),
+            F.lit(message).alias("message"), none.alias("suggested_value"),
+        )
+
+    warning, error = issue("A002_STRUCTURE_MISSING", "warning", "missing"), issue("V005_LABEL_STRUCTURE_CONFLICT", "error", "conflict")
+    found = F.array_compact(F.array(F.when(k % 3 == 0, warning), F.when(k % 7 == 0, error)))
+    strings = "array<string>"
+    return load(spark, sf_dir, "orders").select(
+        text("doc-", k % 10).alias("document_id"), F.lit("1.0").alias("schema_version"), text("r", k).alias("reaction_id"),
+        F.array(compound(label, smiles=smiles, role="reactant"), compound(name=text("N", k % 4), role="reactant")).alias("reactants"),
+        F.array(compound(text("P", k % 20), smiles=F.lit("PP"), role="product")).alias("products"),
+        F.when(k % 2 == 0, F.array(text("rg", k % 4))).otherwise(F.array().cast(strings)).alias("reagents"),
+        F.array(text("sv", k % 3)).alias("solvents"),
+        F.when(k % 4 != 0, (k % 90).cast("double")).alias("temperature_c"),
+        F.when(k % 5 != 0, text(k % 6, " h")).alias("time"),
+        F.when(k % 11 != 0, (k % 100).cast("double")).alias("yield_pct"),
+        F.array(text("O", k), text("O", k + 10)).alias("evidence_ids"),
+        F.round((k % 100) / 100, 2).alias("confidence"),
+        F.when(k % 13 == 0, "rejected").when(F.size(found) > 0, "needs_review").otherwise("accepted").alias("review_status"),
+        found.alias("issues"),
+    )
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem rows as open tasks."""
+    c = F.col
+    n = c("l_linenumber") % 3
+    return load(spark, sf_dir, "lineitem").select(
+        text("doc-", c("l_orderkey") % 10).alias("document_id"),
+        F.concat_ws("-", F.lit("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("task_id"),
+        F.when(n == 0, "text").when(n == 1, "table").otherwise("structure").alias("kind"),
+        F.array(text("O", c("l_orderkey"))).alias("evidence_ids"), F.lit("1.0.0").alias("instruction_version"),
+        c("l_suppkey").alias("supplier"), c("l_linestatus").alias("flag"),
+    )
+
+
+def task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored state of the tasks of even suppliers."""
+    rows = tasks(spark, sf_dir).filter("supplier % 2 = 0")
+    producer = F.struct(
+        F.when(F.col("supplier") % 4 == 0, "human").otherwise("host_agent").alias("kind"), text("client-", F.col("supplier")).alias("client_name"),
+        F.lit("1").alias("client_version"), F.when(F.col("supplier") % 3 == 0, text("m", F.col("supplier"))).alias("model"),
+        F.lit(None).cast("string").alias("policy"), F.lit(1).alias("attempt"),
+    )
+    return rows.select(
+        "document_id", "task_id", "kind", F.lit("fulfilled").alias("status"), text("hash-", F.col("supplier")).alias("submission_hash"),
+        producer.alias("producer"),
+    )

@@ -149,9 +149,32 @@ SELECT 'b'||(p_partkey//1000)||'-'||p_brand AS document_id,
  ||string_agg('| '||p_partkey||' | '||p_name||' |', chr(10) ORDER BY p_partkey)
  ||chr(10)||'plain line'||chr(10)||'| lone | row |'||chr(10)||'end' AS markdown
 FROM part GROUP BY p_partkey//1000, p_brand""",
+    "rcd": """
+SELECT *, CASE WHEN k%13=0 THEN 'rejected' WHEN k%3=0 OR k%7=0 THEN 'needs_review' ELSE 'accepted' END AS review_status FROM (
+SELECT o_orderkey AS k, 'doc-'||(o_orderkey%10) AS document_id, 'r'||o_orderkey AS reaction_id, 'L'||(o_orderkey%50) AS r_label,
+ CASE WHEN o_orderkey%3=0 THEN NULL WHEN o_orderkey%7=0 THEN 'bad(z' ELSE 'c'||(o_orderkey%5) END AS r_smiles,
+ 'N'||(o_orderkey%4) AS r2_name, 'P'||(o_orderkey%20) AS p_label,
+ CASE WHEN o_orderkey%2=0 THEN 'rg'||(o_orderkey%4) END AS reagent, 'sv'||(o_orderkey%3) AS solvent,
+ CASE WHEN o_orderkey%4<>0 THEN (o_orderkey%90)::DOUBLE END AS temperature_c, CASE WHEN o_orderkey%5<>0 THEN (o_orderkey%6)||' h' END AS time,
+ CASE WHEN o_orderkey%11<>0 THEN (o_orderkey%100)::DOUBLE END AS yield_pct, round((o_orderkey%100)/100.0,2)::DOUBLE AS confidence,
+ 'O'||o_orderkey AS e1, 'O'||(o_orderkey+10) AS e2, o_orderkey%3=0 AS has_warning, o_orderkey%7=0 AS has_error FROM orders)""",
+    "tsk": """
+SELECT 'doc-'||(l_orderkey%10) AS document_id, concat_ws('-','t',l_orderkey,l_linenumber,l_partkey,l_suppkey) AS task_id,
+ CASE l_linenumber%3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'structure' END AS kind, 'O'||l_orderkey AS evidence_id, l_suppkey AS supplier,
+ l_linestatus AS flag, l_suppkey%2=0 AS fulfilled FROM lineitem""",
+    "hst": """
+SELECT document_id, reaction_id, CASE WHEN rejected THEN 'rejected' WHEN n_open>0 THEN 'pending' WHEN n_ok>=n_seen+2 THEN 'confirmed' ELSE 'in_review' END AS human_status
+FROM (SELECT document_id, reaction_id, bool_or(rej) AS rejected,
+ count(*) FILTER (need AND conclusion IN ('pending','insufficient_evidence')) AS n_open,
+ count(*) FILTER (need AND conclusion IN ('confirmed','not_applicable','revised')) AS n_ok, count(*) FILTER (seen) AS n_seen
+ FROM (SELECT document_id, reaction_id, target_kind, target_id, max_by(conclusion, ord) AS conclusion, bool_or(conclusion='rejected') AS rej,
+  target_kind IN ('condition','participant_identity','participant_structure','stereo') AS seen,
+  target_kind IN ('condition','participant_identity','participant_structure','stereo') OR (target_kind IN ('reaction','completeness') AND target_id=reaction_id) AS need
+  FROM dec GROUP BY ALL) GROUP BY ALL)""",
 }
 
 NEEDS = {
+    "hst": ["dec"],
     "lab": ["struc"], "grp": ["cand"], "dig": ["cand"], "comp": ["grp"], "resolved": ["comp", "lab"],
     "rec": ["grp", "dig", "resolved"], "mat": ["pred", "gold"], "ali": ["pred", "gold"],
 }
