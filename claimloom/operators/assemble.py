@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import content_hash, member_hash, stable_id
 from ..functions.text import empty_to_null, normalize_label, round4, signature_keys
-from .ranking import union_all
+from .ranking import spread_key, union_all
 from .rules import (
     blank_label_to_unlabelled, label_index, missing_parts, quoted_list, structure_rules,
 )
@@ -84,37 +84,42 @@ def evidence_digests(evidence: DataFrame) -> DataFrame:
     )
 
 
-def base_compounds(headers: DataFrame) -> DataFrame:
-    """The base candidate's compounds, one row each."""
+def base_compounds(headers: DataFrame, carried=()) -> DataFrame:
+    """The base candidate's compounds, one row each (one row with null ``side`` if none).
+
+    ``carried`` header columns ride along, so the header is not computed a second time
+    to be joined back.
+    """
     def side(name, number):
-        return headers.select(
-            "group_id", "document_id", F.lit(number).alias("side"), F.posexplode(f"base.{name}").alias("pos", "c")
-        )
+        return F.transform(f"base.{name}", lambda c, i: F.struct(F.lit(number).alias("side"), i.alias("pos"), c.alias("c")))
 
-    rows = side("reactants", 0).unionByName(side("products", 1))
-    return rows.select("group_id", "document_id", "side", "pos", "c.label", "c.name", "c.smiles", "c.role").withColumn(
-        "label_key", normalize_label("label")
+    rows = headers.select(
+        "group_id", "document_id", *carried, F.explode_outer(F.concat(side("reactants", 0), side("products", 1))).alias("x")
     )
+    return rows.select(
+        "group_id", "document_id", *carried, "x.side", "x.pos", "x.c.label", "x.c.name", "x.c.smiles", "x.c.role"
+    ).withColumn("label_key", normalize_label("label"))
 
 
 def resolve_structures(compounds: DataFrame, index: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Own structure if it parses, else the only structure of the label.
 
-    Adds ``resolved_smiles``, ``state`` (own, label, ambiguous, missing) and what the
-    label's structure candidates bring along.  Blank labels never join.
+    Adds ``resolved_smiles``, ``state`` (own, label, ambiguous, missing) and the errors
+    the label's structure candidates bring along.  Blank labels and structures never
+    join; their rows are spread instead of meeting in one task.
     """
     own = dictionary.select(F.col("raw").alias("_raw"), F.col("iso").alias("_own"))
-    keyed = compounds.withColumn("_join_label", empty_to_null("label_key"))
-    found = keyed.join(own, F.col("smiles") == F.col("_raw"), "left").join(
-        index.select(
-            F.col("document_id").alias("_doc"), F.col("label_key").alias("_key"),
-            "n_candidates", "n_open_stereo", "label_structure", "conflict",
-        ),
-        (F.col("document_id") == F.col("_doc")) & (F.col("_join_label") == F.col("_key")),
-        "left",
+    by_label = index.select(
+        F.col("document_id").alias("_doc"), F.col("label_key").alias("_key"), "n_candidates", "label_structure", "conflict",
+    )
+    keyed = compounds.withColumn("_smiles", spread_key("smiles", "group_id", "pos")).withColumn(
+        "_label", spread_key("label_key", "group_id", "pos")
+    )
+    found = keyed.join(own, F.col("_smiles") == F.col("_raw"), "left").join(
+        by_label, (F.col("document_id") == F.col("_doc")) & (F.col("_label") == F.col("_key")), "left"
     )
     state = (
-        F.when(F.col("_own").isNotNull(), "own").when(F.col("label_structure").isNotNull(), "label")
+        F.when(F.col("side").isNull(), None).when(F.col("_own").isNotNull(), "own").when(F.col("label_structure").isNotNull(), "label")
         .when(F.col("conflict"), "ambiguous").otherwise("missing")
     )
     return found.select(
@@ -203,15 +208,22 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
     signed = with_signature(candidates)
     headers = group_headers(signed)
     evidence = first_seen(signed, "evidence_ids")
-    resolved = resolve_structures(base_compounds(headers), label_index(structures), dictionary)
-    outcome = resolved.groupBy("group_id").agg(
-        F.count("*").alias("n_compounds"),
+    index = label_index(structures)
+    scalars = headers.select(
+        "group_id", "document_id", "base",
+        F.struct(
+            *[c for c in headers.columns if c not in ("group_id", "document_id", "base")],
+            F.col("base.candidate_id").alias("base_candidate"), "base.temperature_c", "base.time", "base.yield_pct",
+        ).alias("h"),
+    )
+    outcome = resolve_structures(base_compounds(scalars, ["h"]), index, dictionary).groupBy("group_id").agg(
+        F.first("document_id").alias("document_id"), F.first("h").alias("h"),
+        F.count("side").alias("n_compounds"),
         F.count_if(F.col("state").isin("own", "label")).alias("n_resolved"),
         (F.count_if(F.col("state") == "ambiguous") + F.sum("label_errors")).alias("compound_errors"),
     )
-    joined = headers.join(evidence_digests(evidence), "group_id", "left").join(outcome, "group_id", "left")
-    counts = ("n_evidence", "evidence_digest", "n_compounds", "n_resolved", "compound_errors")
-    joined = joined.fillna(0, list(counts)).withColumn(
+    joined = outcome.select("*", "h.*").drop("h").join(evidence_digests(evidence), "group_id", "left")
+    joined = joined.fillna(0, ["n_evidence", "evidence_digest"]).withColumn(
         "error_count", F.col("own_errors") + F.col("compound_errors")
     )
     scored = joined.withColumn(
@@ -221,13 +233,12 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
         "document_id",
         stable_id("reaction", "group_id", "n_evidence", "evidence_digest").alias("reaction_id"),
         "group_id", "sig_reactants", "sig_products", "first_candidate",
-        F.col("base.candidate_id").alias("base_candidate"),
-        "base.temperature_c", "base.time", "base.yield_pct",
-        "n_candidates", "many_sources", "n_compounds", "n_resolved", "n_evidence", "error_count",
+        "base_candidate", "temperature_c", "time", "yield_pct", "n_candidates", "many_sources", "n_compounds", "n_resolved", "n_evidence", "error_count",
         *[f"conflict_{f}" for f in CONFLICT_FIELDS],
         round4("score").alias("confidence"), "review_status",
     )
-    return Assembly(signed, headers, resolved, evidence, structures, records)
+    compounds = resolve_structures(base_compounds(headers), index, dictionary).filter(F.col("side").isNotNull())
+    return Assembly(signed, headers, compounds, evidence, structures, records)
 
 
 def record_keys(assembly: Assembly) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, participant_key, participant_ref, round4
 from .align import align_gold, match_records
-from .ranking import keep_first, keep_last, union_all
+from .ranking import keep_first, keep_last, spread_key, union_all
 from .structures import comparison_level
 
 _SEP = "\u001f"
@@ -92,8 +92,10 @@ def compare_participants(pairs: DataFrame, dictionary: DataFrame, stereo_class:
             F.col("raw").alias(f"_raw_{tag}"), F.col("iso").alias(f"_iso_{tag}"), F.col("noniso").alias(f"_non_{tag}")
         )
 
-    both = rows.join(side("p"), F.col("p_smiles") == F.col("_raw_p"), "left").join(
-        side("g"), F.col("g_smiles") == F.col("_raw_g"), "left"
+    row = [F.col(c) for c in keys]
+    keyed = rows.withColumn("_kp", spread_key("p_smiles", *row)).withColumn("_kg", spread_key("g_smiles", *row))
+    both = keyed.join(side("p"), F.col("_kp") == F.col("_raw_p"), "left").join(
+        side("g"), F.col("_kg") == F.col("_raw_g"), "left"
     )
     level, detail = comparison_level(
         "p_smiles", "g_smiles", "_iso_p", "_iso_g", "_non_p", "_non_g", stereo_class=stereo_class

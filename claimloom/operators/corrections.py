@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import variants as V
 from ..functions.text import blank_to_null
 from ..schemas import COMPOUND, COMPOUND_ROLES, EDITABLE_ROOTS, REASON_REQUIRED, REVIEW_STATUSES
+from ..staging import staged
 from .ranking import union_all
 from .review import IDS, with_record_hash
 from .structures import Parser, structure_dictionary
@@ -250,12 +251,13 @@ def apply_corrections(records: DataFrame, corrections: DataFrame, parser: Parser
     text), confirmed_by.  A package with one bad correction is left out whole.
     """
     edits = parsed_edits(corrections.withColumn("op", F.lit("set_value")).withColumn("target_id", F.lit("")))
+    edits = staged(edits, "edits")
     blank = edits.filter(F.coalesce(F.trim("confirmed_by"), F.lit("")) == "").select(
         "package_id", *IDS, "path", F.lit("confirmed_by must be a non-empty string").alias("error")
     )
-    errors = edit_errors(edits, records).unionByName(blank)
+    errors = staged(edit_errors(edits, records).unionByName(blank), "correction-errors")
     good, _ = package_errors(edits, errors)
-    changed = revalidate(edited_records(records, good), parser)
+    changed = staged(revalidate(staged(edited_records(records, good), "edited"), parser), "corrected")
     return changed.drop("bad", "pre_status", "issues_added"), audit_rows(changed, good), errors
 
 
@@ -321,7 +323,7 @@ def apply_operations(
     record_hash.  A package with any error is left out whole.
     """
     edits = parsed_edits(operations.join(submissions, "package_id"))
-    known = edits.join(records.select(*IDS), IDS, "left_semi")
+    known = staged(edits.join(records.select(*IDS), IDS, "left_semi"), "edits")
 
     def whole(rows, message):
         empty = F.lit(None).cast("string")
@@ -339,9 +341,9 @@ def apply_operations(
     if base_hashes is not None:
         conflicts = version_conflicts(base_hashes, records)
         errors.append(conflicts.select("package_id", *IDS, F.lit(None).cast("string").alias("path"), F.lit("version conflict").alias("error")))
-    errors = union_all(*errors)
+    errors = staged(union_all(*errors), "package-errors")
     good, _ = package_errors(known, errors)
-    changed = _changed_records(records, good, parser)
+    changed = staged(_changed_records(records, good, parser), "corrected")
     return changed.drop("pre_status", "issues_added"), audit_rows(changed, good), errors
 
 
@@ -369,7 +371,7 @@ def _changed_records(records: DataFrame, edits: DataFrame, parser: Parser) -> Da
     untouched_data = touched.join(
         edits.filter(F.col("op").isin("set_value", "add_participant", "remove_participant")).select(*IDS).distinct(), IDS, "left_anti"
     ).withColumn("pre_status", F.col("review_status"))
-    edited = edited_records(touched, edits).drop("bad").unionByName(untouched_data)
+    edited = staged(edited_records(touched, edits).drop("bad").unionByName(untouched_data), "edited")
     before = edited.withColumn("_status", F.col("review_status"))
     checked = revalidate(before, parser).join(confirmed, IDS)
     errors = F.exists("issues", lambda i: i["severity"] == "error")

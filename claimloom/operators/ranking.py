@@ -83,6 +83,17 @@ def first_n_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:
     return ranked.filter(F.col("_rn") <= n).drop("_rn")
 
 
+def spread_key(value, *by) -> Column:
+    """Join key for an outer join whose key is often null or ''.
+
+    Such rows match nothing, but as one key they would all land in one task.  They get
+    a key of their own instead, which no real value can equal.
+    """
+    value = col(value)
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*[col(b) for b in by]).cast("string"))
+    return F.when(F.coalesce(value, F.lit("")) == "", own).otherwise(value)
+
+
 def keep_last(df: DataFrame, keys, ord_col: str = "ord") -> DataFrame:
     """One row per key: the last value, at the position of the first.
 

@@ -8,7 +8,7 @@ from ..functions.text import (
     participant_field_path,
 )
 from ..schemas import RECORD_BODY
-from .ranking import first_n_per_group, keep_first, keep_last, union_all
+from .ranking import first_n_per_group, keep_first, keep_last, spread_key, union_all
 
 IDS = ["document_id", "reaction_id"]
 NO_FIELD_EVIDENCE = "field-level evidence unavailable; reaction-level reference only"
@@ -53,7 +53,7 @@ def link_candidates(participants: DataFrame, index: DataFrame) -> DataFrame:
     ``index`` counts all structure candidates per label, parsed or not.
     """
     lookup = index.filter(F.col("n_candidates") == 1).select("document_id", "label_key", "only_candidate")
-    keyed = participants.withColumn("label_key", empty_to_null(normalize_label("label")))
+    keyed = participants.withColumn("label_key", spread_key(normalize_label("label"), *participants.columns))
     linked = keyed.join(lookup, ["document_id", "label_key"], "left")
     return linked.select(*participants.columns, F.array_compact(F.array("only_candidate")).alias("candidate_ids"))
 

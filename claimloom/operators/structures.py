@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import structure_hash
 from ..functions.text import blank_to_null, col, skeleton, strip_annotations
 from ..schemas import STRUCTURE_DICTIONARY
+from .ranking import spread_key
 
 Parser = Callable[[pd.Series], pd.DataFrame] | Mapping[str, Callable[[Column], Column]] | DataFrame
 
@@ -110,8 +111,10 @@ def compare_structures(
             F.col("raw").alias(f"_raw_{tag}"), F.col("iso").alias(f"_iso_{tag}"), F.col("noniso").alias(f"_noniso_{tag}")
         )
 
-    joined = pairs.join(side("a"), F.col(a) == F.col("_raw_a"), "left").join(
-        side("b"), F.col(b) == F.col("_raw_b"), "left"
+    row = [F.col(c) for c in pairs.columns]
+    keyed = pairs.withColumn("_ka", spread_key(a, *row)).withColumn("_kb", spread_key(b, *row))
+    joined = keyed.join(side("a"), F.col("_ka") == F.col("_raw_a"), "left").join(
+        side("b"), F.col("_kb") == F.col("_raw_b"), "left"
     )
     level, detail = comparison_level(
         a, b, "_iso_a", "_iso_b", "_noniso_a", "_noniso_b", normalization, stereo_class
