@@ -2,8 +2,12 @@
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace as Unicode text handling sees it: Java's (?U)\s plus the four
-# separator control characters.
+# The characters that count as whitespace in Unicode text handling.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _WS = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -14,12 +18,12 @@ def col(c) -> Column:
 
 def strip(c) -> Column:
     """Trim Unicode whitespace on both ends."""
-    return F.regexp_replace(col(c), f"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def normalize_label(c) -> Column:
     """Null becomes '', whitespace is removed, the rest lower-cased."""
-    return F.lower(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"(?U){_WS}+", ""))
+    return F.lower(F.translate(F.coalesce(col(c), F.lit("")), WHITESPACE, ""))
 
 
 def blank_to_null(c) -> Column:

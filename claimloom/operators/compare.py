@@ -1,85 +1,55 @@
 """Participant comparison between aligned records, and the metrics built on it."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import blank_to_null, participant_key, participant_ref, round4
 from .align import align_gold, match_records
 from .ranking import keep_first, keep_last, spread_key, union_all
 from .structures import comparison_level
 
-_SEP = "\u001f"
-
-
-def _participants(compounds: Column) -> Column:
-    return F.transform(
-        compounds,
-        lambda x, i: F.struct(
-            i.alias("i"), x["role"].alias("role"), participant_key(x).alias("key"),
-            F.coalesce(blank_to_null(x["smiles"]), F.lit("")).alias("smiles"), participant_ref(x).alias("ref"),
-        ),
-    )
-
-
-def _numbered(parts: str, value: str, open_tag: str | None = None) -> Column:
-    """Add tag = role/value/k for the k-th part with that role and value; blanks get none."""
-    usable = lambda y: y[value] != ""
-    if open_tag is not None:
-        usable = lambda y: (y[value] != "") & y[open_tag].isNull()
-
-    def tag(x):
-        same = F.filter(
-            F.col(parts),
-            lambda y: usable(y) & (y["role"] == x["role"]) & (y[value] == x[value]) & (y["i"] <= x["i"]),
-        )
-        return F.when(usable(x), F.concat_ws(_SEP, F.lit(value), x["role"], x[value], F.size(same).cast("string")))
-
-    return F.transform(F.col(parts), lambda x: x.withField("tag", tag(x)))
-
-
-def _keep_common(parts: str, common: str, name: str) -> Column:
-    return F.transform(
-        F.col(parts),
-        lambda x: x.withField(name, F.when(F.array_contains(F.col(common), F.coalesce(x["tag"], F.lit(""))), x["tag"])),
-    )
-
-
 def pair_participants(pairs: DataFrame) -> DataFrame:
     """Explode each record pair into participant pairs.
 
     ``pairs`` holds predicted_compounds and gold_compounds.  Within a role the k-th
-    participant of a label (or name) pairs with the k-th of the same label, then
-    the same by structure text.  All inside the row: no shuffle.
+    participant of a label (or name) pairs with the k-th of the same label on the other
+    side, then the rest the same way by structure text: a participant is paired when its
+    number is at most the smaller of the two sides' counts.
+
+    All windows and the final grouping start with the columns of ``pairs``, whose
+    groups are single records, so one partitioning serves them all.
     """
     keys = [c for c in pairs.columns if c not in ("predicted_compounds", "gold_compounds")]
-    step = pairs.select(
-        *keys, _participants(F.col("predicted_compounds")).alias("p"), _participants(F.col("gold_compounds")).alias("g")
-    )
-    for value, name, open_tag in (("key", "by_key", None), ("smiles", "by_smiles", "by_key")):
-        step = step.select(*keys, _numbered("p", value, open_tag).alias("p"), _numbered("g", value, open_tag).alias("g"))
-        step = step.withColumn("common", F.array_intersect(F.array_compact(F.col("p.tag")), F.array_compact(F.col("g.tag"))))
-        step = step.select(*keys, _keep_common("p", "common", name).alias("p"), _keep_common("g", "common", name).alias("g"))
-
-    final = lambda x: F.coalesce(x["by_key"], x["by_smiles"])
-    gold_by_tag = F.map_from_entries(
-        F.transform(F.filter(F.col("g"), lambda x: final(x).isNotNull()), lambda x: F.struct(final(x), x))
-    )
-    step = step.withColumn("gold_by_tag", gold_by_tag)
-    left = F.transform(F.col("p"), lambda x: F.struct(x.alias("p"), F.try_element_at(F.col("gold_by_tag"), F.coalesce(final(x), F.lit(""))).alias("g")))
-    part = step.schema["p"].dataType.elementType
-    right = F.transform(
-        F.filter(F.col("g"), lambda x: final(x).isNull()),
-        lambda x: F.struct(F.lit(None).cast(part).alias("p"), x.alias("g")),
-    )
-    rows = step.select(*keys, F.explode(F.concat(left, right)).alias("m"))
-    phase = (
-        F.when(F.col("m.p").isNull(), 3).when(F.col("m.g").isNull(), 2)
-        .when(F.col("m.p.by_key").isNotNull(), 0).otherwise(1)
-    )
-    return rows.select(
-        *keys, F.coalesce("m.p.role", "m.g.role").alias("role"), phase.alias("phase"),
-        F.coalesce("m.p.i", "m.g.i").alias("i"), F.col("m.p.ref").alias("p_ref"), F.col("m.g.ref").alias("g_ref"),
-        F.col("m.p.smiles").alias("p_smiles"), F.col("m.g.smiles").alias("g_smiles"),
-    )
+    size = F.size("predicted_compounds")
+    rows = pairs.select(
+        *keys, size.alias("_n"), F.posexplode(F.concat("predicted_compounds", "gold_compounds")).alias("_pos", "c")
+    )
+    is_gold = F.col("_pos") >= F.col("_n")
+    rows = rows.select(
+        *keys, is_gold.cast("int").alias("side"), F.when(is_gold, F.col("_pos") - F.col("_n")).otherwise(F.col("_pos")).alias("i"),
+        F.col("c.role").alias("role"), participant_key(F.col("c")).alias("key"),
+        F.coalesce(blank_to_null("c.smiles"), F.lit("")).alias("smiles"), participant_ref(F.col("c")).alias("ref"),
+    )
+
+    def numbered(df, value, name, usable):
+        group = Window.partitionBy(*keys, "role", value)
+        count = lambda n: F.count(F.when(usable & (F.col("side") == n), 1)).over(group)
+        nth = F.row_number().over(Window.partitionBy(*keys, "role", value, "side").orderBy("i"))
+        return df.withColumn(f"{name}_nth", nth).withColumn(
+            name, usable & (F.col(f"{name}_nth") <= F.least(count(0), count(1)))
+        )
+
+    rows = numbered(rows, "key", "by_key", F.col("key") != "")
+    rows = rows.withColumn("rest", F.when(~F.col("by_key"), F.col("smiles")).otherwise(""))
+    rows = numbered(rows, "rest", "by_smiles", F.col("rest") != "")
+    phase = F.when(F.col("by_key"), 0).when(F.col("by_smiles"), 1).otherwise(F.col("side") + 2)
+    value = F.when(F.col("by_key"), F.col("key")).when(F.col("by_smiles"), F.col("rest")).otherwise("")
+    nth = F.when(F.col("by_key"), F.col("by_key_nth")).when(F.col("by_smiles"), F.col("by_smiles_nth")).otherwise(F.col("i"))
+    predicted, gold = F.col("side") == 0, F.col("side") == 1
+    return rows.groupBy(*keys, "role", phase.alias("phase"), value.alias("_value"), nth.alias("_nth")).agg(
+        F.coalesce(F.min(F.when(predicted, F.col("i"))), F.min("i")).alias("i"),
+        F.max(F.when(predicted, F.col("ref"))).alias("p_ref"), F.max(F.when(gold, F.col("ref"))).alias("g_ref"),
+        F.max(F.when(predicted, F.col("smiles"))).alias("p_smiles"), F.max(F.when(gold, F.col("smiles"))).alias("g_smiles"),
+    ).drop("_value", "_nth")
 
 
 def compare_participants(pairs: DataFrame, dictionary: DataFrame, stereo_class: str | None = None) -> DataFrame:
