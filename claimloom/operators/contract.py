@@ -72,19 +72,23 @@ def _output_errors(out: Column, at: Column) -> Column:
     reaction = is_row & (_has(out, "reactants") | _has(out, "products"))
     checks = [_when(~is_row, say(" must be an object"))]
     nested = []
-    for name in ("reactants", "products"):
-        value = V.get(out, name)
-        checks.append(_when(reaction & ~V.is_null(value) & ~V.is_array(value), say(f".{name} must be an array")))
-        nested.append(F.flatten(F.transform(V.as_array(value), lambda c, j, name=name: F.array_compact(F.array(
-            _when(~V.is_object(c), say(f".{name}[", j.cast("string"), "] must be an object")),
-            *[_when(V.is_object(c) & ~_has(c, f), say(f".{name}[", j.cast("string"), f"] missing '{f}'")) for f in ("label", "smiles", "role")],
-        )))))
-    for name in ("reagents", "solvents"):
+
+    def compound_errors(name):
+        def errors(c, j):
+            here = lambda text: say(f".{name}[", j.cast("string"), text)
+            missing = [_when(V.is_object(c) & ~_has(c, f), here(f"] missing '{f}'")) for f in ("label", "smiles", "role")]
+            return F.array_compact(F.array(_when(~V.is_object(c), here("] must be an object")), *missing))
+        return F.flatten(F.transform(V.as_array(V.get(out, name)), errors))
+
+    def text_errors(name):
+        def error(x, j):
+            return _when(~V.is_text(x), say(f".{name}[", j.cast("string"), "] must be a string"))
+        return F.when(reaction, F.array_compact(F.transform(V.as_array(V.get(out, name)), error)))
+
+    for name in ("reactants", "products", "reagents", "solvents"):
         value = V.get(out, name)
         checks.append(_when(reaction & ~V.is_null(value) & ~V.is_array(value), say(f".{name} must be an array")))
-        nested.append(F.when(reaction, F.filter(F.transform(
-            V.as_array(value), lambda x, j, name=name: _when(~V.is_text(x), say(f".{name}[", j.cast("string"), "] must be a string"))
-        ), lambda m: m.isNotNull())))
+        nested.append(compound_errors(name) if name in ("reactants", "products") else text_errors(name))
     checks.append(_when(reaction & _out_of_range(V.get(out, "yield_pct", "yield"), 0, 100), say(".yield_pct is outside 0..100")))
     structure = is_row & ~reaction
     labelled = _has(out, LABEL_KEYS[0]) | _has(out, LABEL_KEYS[1]) | _has(out, LABEL_KEYS[2])
