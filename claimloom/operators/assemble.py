@@ -5,12 +5,13 @@ issue), so a signature or label that holds a large part of the input never has t
 be gathered.  ``nested_records`` builds the array form for the JSON contract.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import content_hash, member_hash, stable_id
 from ..functions.text import empty_to_null, normalize_label, round4, signature_keys
+from ..staging import staged
 from .ranking import spread_key, union_all
 from .rules import (
     blank_label_to_unlabelled, label_index, missing_parts, quoted_list, structure_rules,
@@ -147,13 +148,12 @@ def compound_issues(resolved: DataFrame) -> DataFrame:
 
 def field_conflicts(candidates: DataFrame) -> DataFrame:
     """One A003 row per group and field with several values; values are made distinct first."""
-    def values(field):
-        return candidates.select("group_id", F.lit(field).alias("field"), F.col(field).cast("string").alias("v"))
-
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in CONFLICT_FIELDS])
     firsts = candidates.groupBy("group_id").agg(
         F.first("document_id").alias("document_id"), F.min_by("candidate_id", "ord").alias("target_id")
     )
-    distinct = union_all(*[values(f) for f in CONFLICT_FIELDS]).filter(F.col("v").isNotNull()).distinct()
+    rows = candidates.select("group_id", F.explode(values).alias("x")).select("group_id", "x.field", "x.v")
+    distinct = rows.filter(F.col("v").isNotNull()).distinct()
     listed = (
         distinct.groupBy("group_id", "field").agg(F.array_sort(F.collect_list("v")).alias("vs"))
         .filter(F.size("vs") > 1)
@@ -241,6 +241,18 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
     return Assembly(signed, headers, compounds, evidence, structures, records)
 
 
+def stored(assembly: Assembly) -> Assembly:
+    """The same assembly with its compounds, evidence and records written as tables.
+
+    For callers that go on to issues, evidence and nested records: each of those would
+    otherwise group the candidates again.
+    """
+    return replace(
+        assembly, compounds=staged(assembly.compounds, "compounds"), evidence=staged(assembly.evidence, "evidence"),
+        records=staged(assembly.records, "records"), structures=staged(assembly.structures, "structures"),
+    )
+
+
 def record_keys(assembly: Assembly) -> DataFrame:
     return assembly.records.select("group_id", "reaction_id")
 

@@ -9,8 +9,16 @@ from ..schemas import COMPOUND
 EMPTY_STRINGS = "array<string>"
 
 
+BIG_TABLES = ("lineitem", "orders")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; a big one that comes as fewer files than there are cores is spread over them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in BIG_TABLES and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
 
 
 def text(*parts) -> Column:
