@@ -5,7 +5,7 @@ issue), so a signature or label that holds a large part of the input never has t
 be gathered.  ``nested_records`` builds the array form for the JSON contract.
 """
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -200,13 +200,17 @@ class Assembly:
     records: DataFrame
 
 
-def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame) -> Assembly:
+def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame, store: bool = False) -> Assembly:
     """Candidates and canonicalised structures -> flat record tables.
 
     Two shuffles carry data volume: candidates by group, base compounds by label.
+    ``store`` writes the group headers and structures once, for callers that go on to
+    issues, evidence and nested records; each would otherwise group the candidates again.
     """
     signed = with_signature(candidates)
     headers = group_headers(signed)
+    if store:
+        headers, structures = staged(headers, "group-headers"), staged(structures, "structures")
     evidence = first_seen(signed, "evidence_ids")
     index = label_index(structures)
     scalars = headers.select(
@@ -241,18 +245,6 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
     return Assembly(signed, headers, compounds, evidence, structures, records)
 
 
-def stored(assembly: Assembly) -> Assembly:
-    """The same assembly with its compounds, evidence and records written as tables.
-
-    For callers that go on to issues, evidence and nested records: each of those would
-    otherwise group the candidates again.
-    """
-    return replace(
-        assembly, compounds=staged(assembly.compounds, "compounds"), evidence=staged(assembly.evidence, "evidence"),
-        records=staged(assembly.records, "records"), structures=staged(assembly.structures, "structures"),
-    )
-
-
 def record_keys(assembly: Assembly) -> DataFrame:
     return assembly.records.select("group_id", "reaction_id")
 
@@ -283,7 +275,8 @@ def attach_issues(assembly: Assembly) -> DataFrame:
             (none if n is None else n).cast("int").alias("n"),
         ).alias("place")
 
-    own = assembly.candidates.select(
+    gaps = F.size(missing_parts("reactants", "products", "evidence_ids")) > 0
+    own = assembly.candidates.filter(gaps).select(
         "group_id", "document_id", F.col("candidate_id").alias("target_id"), "ord",
         F.posexplode(missing_parts("reactants", "products", "evidence_ids")).alias("n", "i"),
     ).select(

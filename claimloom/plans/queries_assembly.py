@@ -32,8 +32,8 @@ def parsed_structures(spark, d):
     return S.canonicalise(s, S.structure_dictionary(s, T.PARSER))
 
 
-def assembled(spark, d):
-    return A.assemble(T.candidates(spark, d), parsed_structures(spark, d), dictionary_of(spark, d))
+def assembled(spark, d, store=False):
+    return A.assemble(T.candidates(spark, d), parsed_structures(spark, d), dictionary_of(spark, d), store)
 
 
 RECORD_COLUMNS = (
@@ -230,7 +230,7 @@ SELECT DISTINCT r.document_id, r.reaction_id, i.code, i.severity, i.target_id, i
  UNION ALL SELECT v.group_id, s.code, s.severity, s.target_id, s.message FROM resolved v JOIN sissue s
   ON s.document_id=v.document_id AND s.label_key=v.label_key) i ON i.group_id=r.group_id""")
 def _(spark, d):
-    issues = A.attach_issues(A.stored(assembled(spark, d))).filter("code <> 'A003_FIELD_CONFLICT'")
+    issues = A.attach_issues(assembled(spark, d, store=True)).filter("code <> 'A003_FIELD_CONFLICT'")
     return issues.select("document_id", "reaction_id", "code", "severity", "target_id", "message")
 
 
@@ -239,7 +239,7 @@ SELECT r.document_id, r.reaction_id, r.review_status, r.confidence, r.temperatur
  b.label AS product, b.resolved_smiles AS product_smiles
 FROM rec r JOIN resolved a ON a.group_id=r.group_id AND a.side=0 JOIN resolved b ON b.group_id=r.group_id AND b.side=1""")
 def _(spark, d):
-    n = A.nested_records(A.stored(assembled(spark, d)))
+    n = A.nested_records(assembled(spark, d, store=True))
     r, p = F.col("reactants")[0], F.col("products")[0]
     return n.select(
         "document_id", "reaction_id", "review_status", "confidence", "temperature_c",
