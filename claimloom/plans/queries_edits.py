@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
 from ..operators import corrections as E, fulfil as U, provenance as P, submissions as B
+from ..operators.fulfil import RetryableError
 from ..operators.review import with_record_hash
 from ..sources.sinks import submission_ledger
 from . import standins as T
@@ -434,7 +435,7 @@ def stand_in_answer(task: dict) -> str:
     """Stands for a model call: one id in twenty is busy on every try, one in thirty refuses."""
     number = int(task["task_id"].lstrip("t"))
     if number % 20 == 0:
-        raise U.RetryableError("busy")
+        raise RetryableError("busy")
     if number % 30 == 1:
         raise ValueError("refused")
     return '{"echo":"' + task["instructions"] + '"}'
