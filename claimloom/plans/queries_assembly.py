@@ -162,8 +162,8 @@ def _(spark, d):
 
 @query("ordered_union", "cand", """
 SELECT document_id, r_key, p_key, string_agg(item, '|' ORDER BY k, i) AS reagents FROM (
- SELECT document_id, r_key, p_key, item, min(row(l_orderkey,l_linenumber,l_partkey,l_suppkey)) AS k,
-  arg_min(i, row(l_orderkey,l_linenumber,l_partkey,l_suppkey)) AS i FROM (
+ SELECT document_id, r_key, p_key, item, min(row(l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity)) AS k,
+  arg_min(i, row(l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity)) AS i FROM (
   SELECT *, reagent_a AS item, 0 AS i FROM cand UNION ALL SELECT *, reagent_b, 1 FROM cand) GROUP BY ALL) GROUP BY ALL""")
 def _(spark, d):
     c = A.with_signature(T.candidates(spark, d))

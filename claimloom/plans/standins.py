@@ -45,8 +45,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type")
     return line.join(part, c("l_partkey") == c("p_partkey")).select(
         text("doc-", c("l_orderkey") % 10).alias("document_id"),
-        F.concat_ws("-", F.lit("li"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("candidate_id"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
+        F.concat_ws("-", F.lit("li"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").cast("int")).alias("candidate_id"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("ord"),
         F.when(c("l_returnflag") == "R", "text").when(c("l_returnflag") == "N", "table").otherwise("scheme").alias("source"),
         F.array(compound(text(c("p_name"), "/", c("p_size")), smiles=own, role="reactant")).alias("reactants"),
         F.array(compound(c("p_type"), role="product")).alias("products"),
@@ -285,7 +285,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = c("l_linenumber") % 3
     return load(spark, sf_dir, "lineitem").select(
         text("doc-", c("l_orderkey") % 10).alias("document_id"),
-        F.concat_ws("-", F.lit("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("task_id"),
+        F.concat_ws("-", F.lit("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").cast("int")).alias("task_id"),
         F.when(n == 0, "text").when(n == 1, "table").otherwise("structure").alias("kind"),
         F.array(text("O", c("l_orderkey"))).alias("evidence_ids"), F.lit("1.0.0").alias("instruction_version"),
         c("l_suppkey").alias("supplier"), c("l_linestatus").alias("flag"),

@@ -3,8 +3,8 @@
 VIEWS = {
     "cand": """
 SELECT 'doc-'||(l_orderkey%10) AS document_id,
- concat_ws('-','li',l_orderkey,l_linenumber,l_partkey,l_suppkey) AS candidate_id,
- l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ concat_ws('-','li',l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity::INTEGER) AS candidate_id,
+ l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
  CASE l_returnflag WHEN 'R' THEN 'text' WHEN 'N' THEN 'table' ELSE 'scheme' END AS source,
  p_name||'/'||p_size AS r_label, p_type AS p_label,
  CASE l_linenumber WHEN 7 THEN 'own-'||p_type WHEN 6 THEN 'bad('||p_type END AS r_smiles,
@@ -33,8 +33,8 @@ SELECT document_id, label_key, count(*) AS n_candidates, count(DISTINCT canonica
 FROM struc WHERE canonical IS NOT NULL AND label_key<>'' GROUP BY ALL""",
     "grp": """
 SELECT document_id, r_key, p_key, count(*) AS n_candidates,
- first(candidate_id ORDER BY confidence DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS base_candidate,
- first(candidate_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS first_candidate,
+ first(candidate_id ORDER BY confidence DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS base_candidate,
+ first(candidate_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS first_candidate,
  sum(confidence::DECIMAL(38,12))::DOUBLE/count(*) AS mean_confidence,
  count(DISTINCT source)>1 AS many_sources,
  count(DISTINCT temperature_c)>1 AS conflict_temperature_c, count(DISTINCT time)>1 AS conflict_time,
@@ -159,7 +159,7 @@ SELECT o_orderkey AS k, 'doc-'||(o_orderkey%10) AS document_id, 'r'||o_orderkey
  CASE WHEN o_orderkey%11<>0 THEN (o_orderkey%100)::DOUBLE END AS yield_pct, round((o_orderkey%100)/100.0,2)::DOUBLE AS confidence,
  'O'||o_orderkey AS e1, 'O'||(o_orderkey+10) AS e2, o_orderkey%3=0 AS has_warning, o_orderkey%7=0 AS has_error FROM orders)""",
     "tsk": """
-SELECT 'doc-'||(l_orderkey%10) AS document_id, concat_ws('-','t',l_orderkey,l_linenumber,l_partkey,l_suppkey) AS task_id,
+SELECT 'doc-'||(l_orderkey%10) AS document_id, concat_ws('-','t',l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity::INTEGER) AS task_id,
  CASE l_linenumber%3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'structure' END AS kind, 'O'||l_orderkey AS evidence_id, l_suppkey AS supplier,
  l_linestatus AS flag, l_suppkey%2=0 AS fulfilled FROM lineitem""",
     "hst": """
