@@ -30,7 +30,7 @@ PAGE = "'## Page '||(turn+1)||chr(10)||text"
 
 
 @query("split_pages", None, f"""
-SELECT 'conv-'||conv_id AS document_id, 'text-p'||(turn+1) AS evidence_id, (turn+1)::INTEGER AS page, {TRIM.format(PAGE)} AS text FROM conversations
+SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, 'text-p'||(turn+1) AS evidence_id, (turn+1)::INTEGER AS page, {TRIM.format(PAGE)} AS text FROM conversations
 UNION ALL SELECT 'doc-'||doc_id, 'text-document', NULL, text FROM documents WHERE {TRIM.format('text')}<>''""")
 def _(spark, d):
     plain = T.load(spark, d, "documents").select(T.text("doc-", F.col("doc_id")).alias("document_id"), F.col("text").alias("markdown"))
@@ -57,7 +57,7 @@ def page_evidence(spark, d):
 
 
 @query("text_tasks", None, f"""
-SELECT 'conv-'||conv_id AS document_id, 'tx-'||substr(sha256('text|text-p'||(turn+1)),1,8) AS task_id, 'page '||(turn+1) AS ctx,
+SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, 'tx-'||substr(sha256('text|text-p'||(turn+1)),1,8) AS task_id, 'page '||(turn+1) AS ctx,
  substr({TRIM.format(PAGE)},1,100) AS content, '1.0.0' AS instruction_version FROM conversations""")
 def _(spark, d):
     rows = J.text_tasks(page_evidence(spark, d), max_chars=100)
@@ -66,7 +66,7 @@ def _(spark, d):
 
 
 @query("render_prompt", None, f"""
-SELECT 'conv-'||conv_id AS document_id, 'text-p'||(turn+1) AS evidence_id, 'On page '||(turn+1)||' read: '||{TRIM.format(PAGE)}||' <end>' AS prompt FROM conversations""")
+SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, 'text-p'||(turn+1) AS evidence_id, 'On page '||(turn+1)||' read: '||{TRIM.format(PAGE)}||' <end>' AS prompt FROM conversations""")
 def _(spark, d):
     template = {"text": "On <<PAGE_CONTEXT>> read: <<CONTENT>> <end>"}
     prompt = J.render_prompt("text", {"<<PAGE_CONTEXT>>": F.concat(F.lit("page "), F.col("page").cast("string")), "<<CONTENT>>": F.col("text")}, template)
@@ -313,11 +313,11 @@ def _(spark, d):
 
 
 @query("gold_source", None, """
-SELECT 'gold-'||(o_orderkey%40)||'.jsonl' AS file_name, count(*) AS entry_count, '1.0' AS gold_schema_version, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS file_hash
-FROM orders GROUP BY o_orderkey%40""")
+SELECT 'gold-'||(o_orderkey//1000)||'.jsonl' AS file_name, count(*) AS entry_count, '1.0' AS gold_schema_version, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS file_hash
+FROM orders GROUP BY o_orderkey//1000""")
 def _(spark, d):
     k = F.col("o_orderkey")
-    path = T.text("/gold/gold-", k % 40, ".jsonl")
+    path = T.text("/gold/gold-", F.floor(k / 1000), ".jsonl")
     o = T.load(spark, d, "orders")
     content = F.encode(F.array_join(F.array_sort(F.collect_list(k)), ","), "UTF-8")
     files = o.groupBy(path.alias("path")).agg(content.alias("content"))

@@ -198,14 +198,14 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as paged documents; a conversation is a handful of turns."""
+    """conversations as paged documents of at most a hundred turns."""
     c = F.col
     turn = F.concat(text("## Page ", c("turn") + 1), F.lit("\n"), c("text"))
-    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+    rows = load(spark, sf_dir, "conversations").withColumn("block", F.floor(c("turn") / 100)).groupBy("conv_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("turns")
     )
     joined = F.array_join(F.transform("turns", lambda x: x["t"]), "\n")
-    return rows.select(text("conv-", c("conv_id")).alias("document_id"), joined.alias("markdown"))
+    return rows.select(text("conv-", c("conv_id"), "-", c("block")).alias("document_id"), joined.alias("markdown"))
 
 
 def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

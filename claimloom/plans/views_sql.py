@@ -141,8 +141,8 @@ SELECT *, CASE WHEN target_kind IN ('reaction','completeness') THEN reaction_id
 SELECT 'doc-'||(o_orderkey%10) AS document_id, 'O'||o_orderkey AS evidence_id, (o_orderkey%20)::INTEGER AS page, o_orderpriority AS text
 FROM orders WHERE o_orderkey%50<>0""",
     "paged": """
-SELECT 'conv-'||conv_id AS document_id, string_agg('## Page '||(turn+1)||chr(10)||text, chr(10) ORDER BY turn) AS markdown
-FROM conversations GROUP BY conv_id""",
+SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, string_agg('## Page '||(turn+1)||chr(10)||text, chr(10) ORDER BY turn) AS markdown
+FROM conversations GROUP BY conv_id, turn//100""",
     "tabled": """
 SELECT 'b'||(p_partkey//1000)||'-'||p_brand AS document_id,
  'Brand '||p_brand||chr(10)||'| key | name |'||chr(10)||CASE WHEN p_brand<>'Brand#3' THEN '|---|---|'||chr(10) ELSE '' END
