@@ -9,7 +9,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _WS = r"[\s\x1c-\x1f]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def col(c) -> Column:

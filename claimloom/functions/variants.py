@@ -2,8 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from .ids import stable_id
-from .text import blank_to_null, bounded_percent, col, number_in_text, split_list, strip
+from .text import blank_to_null, col, number_in_text, split_list, strip
 
 _END = "\u0002end-of-value\u0002"
 
@@ -119,9 +118,3 @@ def payload_rows(v, *wrappers) -> Column:
     rows = F.when(is_object(v), F.coalesce(*[get(v, k) for k in wrappers], v)).otherwise(v)
     return F.coalesce(as_array(rows), F.when(is_object(rows), F.array(rows)))
 
-
-__all__ = [
-    "parse_strict", "get", "text_of", "as_array", "as_map", "is_object", "is_array", "is_text",
-    "is_number", "is_null", "truthy_text", "first_truthy", "string_list", "number_value",
-    "compound_refs", "payload_rows", "bounded_percent", "stable_id",
-]

@@ -151,11 +151,5 @@ def validate(candidates: DataFrame, structures: DataFrame) -> DataFrame:
     return unique_issues(union_all(completeness_rules(candidates), structure_rules(structures)))
 
 
-def warnings_and_errors(issues_array) -> tuple[Column, Column]:
-    issues = F.col(issues_array) if isinstance(issues_array, str) else issues_array
-    count = lambda level: F.size(F.filter(issues, lambda i: i["severity"] == level))
-    return count("warning"), count("error")
-
-
 def blank_label_to_unlabelled(label) -> Column:
     return F.coalesce(empty_to_null(label), F.lit("unlabelled"))

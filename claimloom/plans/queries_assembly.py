@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, text as X
+from ..functions import text as X
 from ..operators import align, assemble as A, compare as C, ranking as R, rules as V, structures as S
 from . import standins as T
 from .views_sql import with_views

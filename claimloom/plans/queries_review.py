@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import ids, text as X, variants as V
-from ..operators import compare as C, ranking as R, review as W, rules
+from ..operators import compare as C, ranking as R, review as W
 from . import standins as T
 from .queries_assembly import smiles_dictionary
 from .views_sql import with_views
