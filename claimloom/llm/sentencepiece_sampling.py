@@ -7,8 +7,8 @@ in the row, position), so a row always gets the same pieces, on any cluster.
 
 Piece weights are ``alpha`` times the log probability of a Zipf law over the rank in the file, since the file's
 own scores are merge ranks; a smaller alpha gives flatter draws. No piece runs over a line end or has a space
-inside, so the lattice falls apart into chunks (spaces and the word after them), and each distinct chunk of a run
-of texts is filtered once, all chunks in step through numpy tables.
+inside, so the lattice falls apart into chunks (spaces and the word after them). Each distinct chunk is filtered
+once, all new chunks of a run of texts in step through numpy tables, and kept in a store of bounded size.
 
 Lossless: a space is the piece mark, a literal mark and any character outside the vocabulary become byte pieces.
 """
@@ -16,18 +16,16 @@ Lossless: a space is the piece mark, a literal mark and any character outside th
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load, mix
+from .common import BYTE_CODE, RADIX, SECOND, Powers, Rolling, load, mix, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.7
 MARK = "▁"
-CHUNK = re.compile(r" *[^ \n]+|\n| +")
 NO_ROW = 0x1D8E4E27C47D124F  # seed of rows without a key
 
 
@@ -111,16 +109,59 @@ class Vocabulary:
         return out[1:] if out[:1] == " " else out
 
 
-class Lattice:
-    """All pieces over the distinct chunks of a run of texts, with the forward pass done."""
+def _order(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Order by (major, minor), both non-negative: radix passes of 16 bits."""
+    order = np.arange(len(major))
+    for values in (minor, major):
+        for shift in range(0, int(values.max(initial=0)).bit_length(), 16):
+            order = order[np.argsort(((values[order] >> shift) & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
 
-    def __init__(self, vocabulary: Vocabulary, chunks: list[str]):
-        v = vocabulary
-        points = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32)
-        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+
+class Chunks:
+    """The lattices of the distinct chunks met so far, the forward pass done, by chunk hash.
+
+    A store of more than ``MOST`` chunks is emptied before the next run of texts; what it holds never
+    changes a result.
+    """
+
+    MOST = 300_000
+    SLOTS = 1 << 20
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.letters, self.check = Powers(RADIX), Powers(SECOND)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.count = self.nodes = self.edges = 0
+        self.slot_key, self.slot_check = np.zeros(self.SLOTS, dtype=np.uint64), np.zeros(self.SLOTS, dtype=np.uint64)
+        self.slot_chunk = np.full(self.SLOTS, -1, dtype=np.int32)
+        self.arrays = {
+            "base": np.zeros(1 << 12, dtype=np.int32), "size": np.zeros(1 << 12, dtype=np.int32),  # per chunk
+            "first": np.zeros(1 << 14, dtype=np.int32), "last": np.zeros(1 << 14, dtype=np.int32),  # per node: its edges
+            "piece": np.zeros(1 << 14, dtype=np.int32), "back": np.zeros(1 << 14, dtype=np.int32),  # per edge: id, characters
+            "sum": np.zeros(1 << 14, dtype=np.float64), "many": np.zeros(1 << 14, dtype=np.int32),  # running share in its node, ids
+        }
+
+    def _put(self, at: int, **values: np.ndarray) -> None:
+        for name, new in values.items():
+            old = self.arrays[name]
+            if at + len(new) > len(old):
+                old = self.arrays[name] = np.concatenate([old, np.zeros(max(len(old), len(new)), dtype=old.dtype)])
+            old[at : at + len(new)] = new
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Build the lattices of chunks data[start:end]: every piece that fits, then the forward pass."""
+        v = self.vocabulary
+        length = end - start
+        begin = np.cumsum(length) - length
+        raw = data[np.arange(length.sum()) + np.repeat(start - begin, length)]
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        size = heads[begin + length] - heads[begin]
         first = np.cumsum(size) - size
-        self.base = first + np.arange(len(size))  # node of the chunk's start; one node more than characters
-        self.size = size
+        base = first + np.arange(len(size))  # node of the chunk's start; one node more than characters
         chunk = np.repeat(np.arange(len(size)), size)
         left = (first + size)[chunk] - np.arange(len(points))  # characters from here to the chunk's end
         codes = v.code[points]
@@ -151,10 +192,12 @@ class Lattice:
         start, length, piece = map(np.concatenate, (starts, lengths, ids))
         bytes_of = 1 + (points[other] > 0x7F) + (points[other] > 0x7FF) + (points[other] > 0xFFFF)
         weight = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], 0.0)
+        many = np.ones(len(weight), dtype=np.int64)
         weight[len(weight) - len(other) :] = v.fallback * bytes_of
+        many[len(weight) - len(other) :] = bytes_of
         end_local, end = local[start] + length, place[start] + length
-        order = np.argsort(end_local * (len(points) + len(size) + 1) + end)
-        self.piece, self.start, end, end_local, weight = (x[order] for x in (piece, place[start], end, end_local, weight))
+        order = _order(end_local, end)
+        piece, length, many, start, end, end_local, weight = (x[order] for x in (piece, length, many, place[start], end, end_local, weight))
         # Forward: log weight of all paths to a node, all chunks one position at a time.
         forward = np.zeros(len(points) + len(size))
         new = np.ones(len(end), dtype=bool)
@@ -163,10 +206,10 @@ class Lattice:
         rank = np.cumsum(new) - 1
         share = np.empty(len(end))
         cuts = np.searchsorted(end_local, np.arange(1, (size.max() if len(size) else 0) + 2))
-        for a, b in zip(cuts, cuts[1:]):
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
             if a == b:
                 continue
-            w = forward[self.start[a:b]] + weight[a:b]
+            w = forward[start[a:b]] + weight[a:b]
             g0, g1 = rank[a], rank[b - 1] + 1
             begins = group[g0:g1] - a
             top = np.maximum.reduceat(w, begins)
@@ -175,78 +218,125 @@ class Lattice:
             forward[end[group[g0:g1]]] = top + np.log(total)
             share[a:b] = w / total[rank[a:b] - g0]
         sums = np.cumsum(share)
-        before = sums[group] - share[group]
-        self.key = rank + np.minimum(sums - before[rank], 1.0)
+        sums -= (sums[group] - share[group])[rank]
         last = np.concatenate([group[1:], [len(end)]]) - 1 if len(group) else group
-        self.key[last] = rank[last] + 1.0
-        self.rank_of = np.zeros(len(forward), dtype=np.int64)
-        self.rank_of[end[group]] = np.arange(len(group))
-        self.last = last
-        self.share = share  # probability of each piece among those that end at its node
+        sums[last] = 1.0
+        first_edge = np.zeros(len(forward), dtype=np.int64)
+        last_edge = np.zeros(len(forward), dtype=np.int64)
+        first_edge[end[group]], last_edge[end[group]] = group + self.edges, last + self.edges
+        self._put(self.count, base=base + self.nodes, size=size)
+        self._put(self.nodes, first=first_edge, last=last_edge)
+        self._put(self.edges, piece=piece, back=length, sum=sums, many=many)
+        self.count += len(size)
+        self.nodes += len(forward)
+        self.edges += len(end)
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Slots of the keys, or of the free places where they belong."""
+        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            wrong = (self.slot_chunk[at] >= 0) & ((self.slot_key[at] != keys[todo]) | (self.slot_check[at] != checks[todo]))
+            todo = todo[wrong]
+            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+        return slot
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Chunk numbers of data[start:end]; new chunks get their lattices."""
+        values = BYTE_CODE[data]
+        keys, checks = Rolling(values, self.letters)(start, end), Rolling(values, self.check)(start, end)
+        slot = self._find(keys, checks)
+        fresh = np.flatnonzero(self.slot_chunk[slot] < 0)
+        if len(fresh):
+            _, one = np.unique(keys[fresh], return_index=True)
+            for k in range(0, len(one), 50_000):
+                part = fresh[one[k : k + 50_000]]
+                number = self.count + np.arange(len(part))
+                self.add(data, start[part], end[part])
+                self._insert(keys[part], checks[part], number)
+            slot = self._find(keys, checks)
+        return self.slot_chunk[slot].astype(np.int64)
+
+    def _insert(self, keys, checks, numbers) -> None:
+        todo = np.arange(len(keys))
+        while len(todo):
+            slot = self._find(keys[todo], checks[todo])
+            _, one = np.unique(slot, return_index=True)
+            at, which = slot[one], todo[one]
+            self.slot_key[at], self.slot_check[at], self.slot_chunk[at] = keys[which], checks[which], numbers[which]
+            todo = np.delete(todo, one)
 
     def sample(self, chunk: np.ndarray, seed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Backward draws, last piece first: per step (occurrence, edge). chunk, seed: per occurrence."""
+        first, last, back, sums = (self.arrays[k] for k in ("first", "last", "back", "sum"))
         who = np.arange(len(chunk))
-        floor = self.base[chunk]
-        node = floor + self.size[chunk]
+        here, floor = self.arrays["size"][chunk], self.arrays["base"][chunk]
         steps = []
         while len(who):
-            here = node - floor
-            u = (mix(seed[who] + here.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            rank = self.rank_of[node]
-            edge = np.minimum(np.searchsorted(self.key, rank + u, side="right"), self.last[rank])
+            node = floor + here
+            edge = first[node]
+            open_ = np.flatnonzero(edge < last[node])
+            if len(open_):
+                u = (mix(seed[who[open_]] + here[open_].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                while len(open_):
+                    beyond = u >= sums[edge[open_]]
+                    open_, u = open_[beyond], u[beyond]
+                    edge[open_] += 1
             steps.append((who, edge))
-            node = self.start[edge]
-            more = node > floor
-            who, node, floor = who[more], node[more], floor[more]
+            here = here - back[edge]
+            more = here > 0
+            who, here, floor = who[more], here[more], floor[more]
         return steps
 
-
-def encode_run(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of a run of texts in one array, and where each text begins."""
-    index: dict[str, int] = {}
-    occurrences, counts = [], []
-    for text in texts:
-        found = CHUNK.findall(" " + text) if text else []
-        counts.append(len(found))
-        occurrences += [index.setdefault(c, len(index)) for c in found]
-    if not occurrences:
-        return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
-    chunk = np.array(occurrences, dtype=np.int64)
-    n = np.array(counts, dtype=np.int64)
-    row = np.repeat(np.arange(len(texts)), n)
-    ordinal = np.arange(len(chunk)) - np.repeat(np.cumsum(n) - n, n)
-    seed = mix(seeds[row] + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    lattice = Lattice(vocabulary, list(index))
-    steps = lattice.sample(chunk, seed)
-    points = -lattice.piece - 1
-    many = np.where(points >= 0, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), 1)
-    total = np.zeros(len(chunk), dtype=np.int64)
-    for who, edge in steps:
-        total[who] += many[edge]
-    end = np.cumsum(total)
-    out = np.zeros(end[-1], dtype=np.int32)
-    for who, edge in steps:
-        end[who] -= many[edge]
-        piece = lattice.piece[edge]
-        plain = piece >= 0
-        out[end[who[plain]]] = piece[plain]
-        for w, p in zip(who[~plain].tolist(), (-piece[~plain] - 1).tolist()):
-            raw = np.frombuffer(chr(p).encode(), dtype=np.uint8)
-            out[end[w] : end[w] + len(raw)] = vocabulary.byte_ids[raw]
-    per_row = np.bincount(row, weights=total, minlength=len(texts)).astype(np.int64)
-    return out, np.concatenate([[0], np.cumsum(per_row)])
-
-
-def _runs(texts: list[str | None], size: int = 1 << 20):
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= size):
-            chars += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
+    def encode(self, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a run of texts in one array, and where each text begins."""
+        rows = len(offsets) - 1
+        if self.count > self.MOST:
+            self._empty()
+        some = np.diff(offsets) > 0
+        # One space before every text that is not empty, as the vocabulary expects.
+        shift = np.cumsum(some)
+        full = np.full(len(data) + shift[-1] if rows else 0, 0x20, dtype=np.uint8)
+        where = offsets.copy()
+        where[1:] += shift
+        full[np.arange(len(data)) + np.repeat(shift, np.diff(offsets))] = data
+        if not len(full):
+            return np.zeros(0, dtype=np.int32), np.zeros(rows + 1, dtype=np.int64)
+        space, line = full == 0x20, full == 0x0A
+        head = np.ones(len(full), dtype=bool)
+        head[1:] = line[1:] | (space[1:] & ~space[:-1]) | (~space[1:] & line[:-1])
+        head[where[:-1][some]] = True
+        start = np.flatnonzero(head)
+        end = np.concatenate([start[1:], [len(full)]])
+        row = np.searchsorted(where, start, side="right") - 1
+        ordinal = np.arange(len(start)) - np.searchsorted(start, where)[row]
+        chunk = self.numbers(full, start, end)
+        seed = mix(seeds[row] + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        steps = self.sample(chunk, seed)
+        piece, many = self.arrays["piece"], self.arrays["many"]
+        total = np.zeros(len(chunk), dtype=np.int64)
+        for who, edge in steps:
+            total[who] += many[edge]
+        stop = np.cumsum(total)
+        bounds = np.concatenate([[0], stop])[np.searchsorted(start, where)]
+        out = np.zeros(stop[-1], dtype=np.int32)
+        for who, edge in steps:
+            stop[who] -= many[edge]
+            ids = piece[edge]
+            out[stop[who]] = ids
+            for k in np.flatnonzero(ids < 0).tolist():
+                raw = np.frombuffer(chr(-int(ids[k]) - 1).encode(), dtype=np.uint8)
+                at = stop[who[k]]
+                out[at : at + len(raw)] = self.vocabulary.byte_ids[raw]
+        return out, bounds
+
+
+def encode_texts(chunks: Chunks, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``Chunks.encode``, from strings."""
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    return chunks.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, seeds)
 
 
 def encode(
@@ -263,26 +353,26 @@ def encode(
 
     def run(batches):
         v = shared.value
+        chunks, raw = Chunks(v), v.raw
         for batch in batches:
             keys = batch.column(0)
-            raw = keys.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
-            seeds = np.where(keys.is_null().to_numpy(zero_copy_only=False), np.uint64(NO_ROW), mix(raw + np.uint64(1)))
-            for low in range(0, batch.num_rows, 512):
-                texts = batch.column(1).slice(low, 512).to_pylist()
-                for a, b in _runs(texts):
-                    part = texts[a:b]
-                    ids, where = encode_run(v, [t or "" for t in part], seeds[low + a : low + b])
-                    listed = ids.tolist()
-                    same, digest = [], []
-                    for i, text in enumerate(part):
-                        same.append(v.decode(listed[where[i] : where[i + 1]]) == (text or ""))
-                        digest.append(hashlib.sha256(ids[where[i] : where[i + 1]].tobytes()).hexdigest())
-                    cols = [keys.slice(low + a, b - a), pa.array(np.diff(where)), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
-                    names = ["doc_id", "n_pieces", "pieces_sha256", "lossless"]
-                    if with_ids:
-                        cols.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids)))
-                        names.append("pieces")
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+            numbers = keys.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+            seeds = np.where(keys.is_null().to_numpy(zero_copy_only=False), np.uint64(NO_ROW), mix(numbers + np.uint64(1)))
+            for row, data, offsets in text_slices(batch.column(1)):
+                rows = len(offsets) - 1
+                ids, where = chunks.encode(data, offsets, seeds[row : row + rows])
+                listed, text, cuts, ends = ids.tolist(), data.tobytes(), offsets.tolist(), where.tolist()
+                same, digest = [], []
+                for i in range(rows):
+                    a, b = ends[i], ends[i + 1]
+                    same.append(b"".join([raw[k] for k in listed[a:b]])[1:] == text[cuts[i] : cuts[i + 1]])
+                    digest.append(hashlib.sha256(ids[a:b].tobytes()).hexdigest())
+                cols = [keys.slice(row, rows), pa.array(np.diff(where)), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
+                names = ["doc_id", "n_pieces", "pieces_sha256", "lossless"]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids)))
+                    names.append("pieces")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_pieces long, pieces_sha256 string, lossless boolean" + (", pieces array<int>" if with_ids else "")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
