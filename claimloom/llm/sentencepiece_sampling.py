@@ -26,6 +26,7 @@ from .common import BYTE_CODE, RADIX, SECOND, Powers, Rolling, load, mix, text_s
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.7
 MARK = "▁"
+RUN = 1 << 20  # bytes of text encoded at once (a longer text is a run of its own)
 NO_ROW = 0x1D8E4E27C47D124F  # seed of rows without a key
 
 
@@ -125,8 +126,8 @@ class Chunks:
     changes a result.
     """
 
-    MOST = 300_000
-    SLOTS = 1 << 20
+    MOST = 100_000
+    SLOTS = 1 << 19
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -250,8 +251,8 @@ class Chunks:
         fresh = np.flatnonzero(self.slot_chunk[slot] < 0)
         if len(fresh):
             _, one = np.unique(keys[fresh], return_index=True)
-            for k in range(0, len(one), 50_000):
-                part = fresh[one[k : k + 50_000]]
+            for k in range(0, len(one), 20_000):
+                part = fresh[one[k : k + 20_000]]
                 number = self.count + np.arange(len(part))
                 self.add(data, start[part], end[part])
                 self._insert(keys[part], checks[part], number)
@@ -358,7 +359,7 @@ def encode(
             keys = batch.column(0)
             numbers = keys.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
             seeds = np.where(keys.is_null().to_numpy(zero_copy_only=False), np.uint64(NO_ROW), mix(numbers + np.uint64(1)))
-            for row, data, offsets in text_slices(batch.column(1)):
+            for row, data, offsets in text_slices(batch.column(1), RUN):
                 rows = len(offsets) - 1
                 ids, where = chunks.encode(data, offsets, seeds[row : row + rows])
                 listed, text, cuts, ends = ids.tolist(), data.tobytes(), offsets.tolist(), where.tolist()
