@@ -6,6 +6,7 @@ from .text import col
 
 SEP = "\u001f"
 NULL_MARK = "\u001e"
+ID_DIGITS = 32  # hex digits, 128 bits: no two tasks of a document share an id
 # Id prefix of each task channel.
 TASK_PREFIXES = {"text": "tx", "table": "tt", "structure": "st", "adjudication": "ad"}
 
@@ -21,7 +22,7 @@ def content_hash(*cols) -> Column:
 
 def stable_id(prefix, *cols) -> Column:
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    return F.concat(prefix, F.lit("-"), F.substring(content_hash(*cols), 1, 12))
+    return F.concat(prefix, F.lit("-"), F.substring(content_hash(*cols), 1, ID_DIGITS))
 
 
 def record_hash(record_fields) -> Column:
@@ -30,11 +31,11 @@ def record_hash(record_fields) -> Column:
 
 
 def task_id(kind, key) -> Column:
-    """``prefix-`` and 8 hex digits of the hash of ``kind|key``."""
+    """``prefix-`` and 32 hex digits of the hash of ``kind|key``."""
     kind = col(kind)
     prefixes = F.create_map(*[F.lit(v) for pair in TASK_PREFIXES.items() for v in pair])
     digest = F.sha2(F.concat(kind, F.lit("|"), col(key)), 256)
-    return F.concat(prefixes[kind], F.lit("-"), F.substring(digest, 1, 8))
+    return F.concat(prefixes[kind], F.lit("-"), F.substring(digest, 1, ID_DIGITS))
 
 
 def structure_hash(canonical) -> Column:

@@ -174,7 +174,7 @@ def evaluate(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, by=()
             stereo_comparable=level.isin("identical", "stereo_only", "stereo_specificity_differs"),
         ),
     )
-    sums = counters.groupBy(*by).agg(*[F.sum(m).alias(m) for m in METRIC_COLUMNS])
+    sums = counters.groupBy(*by).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in METRIC_COLUMNS])
     zero = F.lit(0.0)
     ratio = lambda a, b: round4(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")))
     return sums.select(

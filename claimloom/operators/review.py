@@ -8,7 +8,7 @@ from ..functions.text import (
     participant_field_path,
 )
 from ..schemas import RECORD_BODY
-from .ranking import first_n_per_group, keep_first, keep_last, spread_key, union_all
+from .ranking import keep_first, keep_last, spread_key, union_all
 
 IDS = ["document_id", "reaction_id"]
 NO_FIELD_EVIDENCE = "field-level evidence unavailable; reaction-level reference only"
@@ -267,18 +267,11 @@ def awaiting_tasks(board: DataFrame) -> DataFrame:
     return board.filter("status = 'awaiting'").select("document_id", "task_id")
 
 
-def channel_counts(board: DataFrame, order="task_id", listed: int = 50) -> DataFrame:
-    """Awaiting and fulfilled tasks per channel and the first ``listed`` awaiting ids."""
-    keys = ["document_id", "kind"]
-    counts = board.groupBy(*keys).agg(
+def channel_counts(board: DataFrame) -> DataFrame:
+    """Awaiting and fulfilled tasks per channel; ``awaiting_tasks`` lists the waiting ones, all of them."""
+    return board.groupBy("document_id", "kind").agg(
         F.count_if(F.col("status") != "fulfilled").alias("awaiting"), F.count_if(F.col("status") == "fulfilled").alias("fulfilled")
     )
-    first = first_n_per_group(board.filter("status <> 'fulfilled'"), keys, order, listed)
-    ids = first.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "task_id"))).alias("xs")
-    ).select(*keys, F.transform("xs", lambda x: x["task_id"]).alias("awaiting_task_ids"))
-    joined = counts.join(ids, keys, "left")
-    return joined.withColumn("awaiting_task_ids", F.coalesce("awaiting_task_ids", F.array().cast("array<string>")))
 
 
 def unknown_refs(references: DataFrame, known: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import task_id
-from ..functions.text import col, page_context, strip, truncate_text
+from ..functions.text import col, page_context, strip
 from .pages import markdown_tables
 from .ranking import union_all
 from .review import IDS, record_evidence
@@ -22,7 +22,7 @@ TEMPLATES = {
     "structure": "Identify the labelled structures in this image as JSON.\nImage context: <<IMAGE_CONTEXT>>\n",
     "adjudicate": "Review this record using only the evidence.\nRecord:\n<<RECORD>>\nEvidence:\n<<EVIDENCE>>\n",
 }
-MAX_TEXT_CHARS = 50000
+MAX_TEXT_CHARS = 50000  # of one task; longer texts become several
 _IMAGES = "array<struct<path:string,evidence_id:string,context:string>>"
 
 
@@ -69,10 +69,21 @@ def _task(df: DataFrame, kind: str, key, prompt: Column, text, images=None, evid
     )
 
 
+def text_parts(df: DataFrame, column: str, max_chars: int, key: str) -> DataFrame:
+    """Long texts in numbered parts of at most ``max_chars``: ``_content``, and ``_key``, which names parts after
+    the first ``key#2``, ``key#3`` and so on."""
+    last = F.greatest(F.ceil(F.length(column) / max_chars).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(column), i * max_chars + 1, F.lit(max_chars)))
+    rows = df.select("*", F.posexplode(parts).alias("_part", "_content"))
+    suffix = F.when(F.col("_part") == 0, "").otherwise(F.concat(F.lit("#"), (F.col("_part") + 1).cast("string")))
+    return rows.withColumn("_key", F.concat(key, suffix)).drop("_part")
+
+
 def text_tasks(evidence: DataFrame, max_chars: int = MAX_TEXT_CHARS, templates=TEMPLATES) -> DataFrame:
-    rows = evidence.filter((F.col("kind") == "text") & (F.col("text") != "")).withColumn("_content", truncate_text("text", max_chars))
+    """One task per part of a text; the parts in order are the text."""
+    rows = text_parts(evidence.filter((F.col("kind") == "text") & (F.col("text") != "")), "text", max_chars, "evidence_id")
     prompt = render_prompt("text", {"<<PAGE_CONTEXT>>": page_context("page"), "<<CONTENT>>": F.col("_content")}, templates)
-    return _task(rows, "text", "evidence_id", prompt, "_content", evidence_ids=F.array("evidence_id"))
+    return _task(rows, "text", "_key", prompt, "_content", evidence_ids=F.array("evidence_id"))
 
 
 def table_tasks(evidence: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -104,11 +115,11 @@ def structure_tasks(images: DataFrame, evidence: DataFrame, templates=TEMPLATES)
 
 
 def fallback_tasks(documents: DataFrame, text: DataFrame, tables: DataFrame, max_chars: int = MAX_TEXT_CHARS, templates=TEMPLATES) -> DataFrame:
-    """Documents without text tasks get one for the whole text, without table tasks one per markdown table."""
+    """Documents without text tasks get one for each part of the whole text, without table tasks one per markdown table."""
     bare = documents.join(text.select("document_id").distinct(), "document_id", "left_anti").filter(strip("markdown") != "")
-    bare = bare.withColumn("_content", truncate_text("markdown", max_chars))
+    bare = text_parts(bare, "markdown", max_chars, "document_id")
     whole = _task(
-        bare, "text", "document_id",
+        bare, "text", "_key",
         render_prompt("text", {"<<PAGE_CONTEXT>>": F.lit("document"), "<<CONTENT>>": F.col("_content")}, templates), "_content",
     )
     found = markdown_tables(documents.join(tables.select("document_id").distinct(), "document_id", "left_anti"))

@@ -57,8 +57,9 @@ def page_evidence(spark, d):
 
 
 @query("text_tasks", None, f"""
-SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, 'tx-'||substr(sha256('text|text-p'||(turn+1)),1,8) AS task_id, 'page '||(turn+1) AS ctx,
- substr({TRIM.format(PAGE)},1,100) AS content, '1.0.0' AS instruction_version FROM conversations""")
+SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, 'tx-'||substr(sha256('text|text-p'||(turn+1)||CASE WHEN i=0 THEN '' ELSE '#'||(i+1) END),1,32) AS task_id, 'page '||(turn+1) AS ctx,
+ substr(content, i*100+1, 100) AS content, '1.0.0' AS instruction_version
+FROM (SELECT *, unnest(range(0, greatest(1, ceil(length(content)/100)::INTEGER))) AS i FROM (SELECT conv_id, turn, {TRIM.format(PAGE)} AS content FROM conversations))""")
 def _(spark, d):
     rows = J.text_tasks(page_evidence(spark, d), max_chars=100)
     ctx = F.regexp_extract("instructions", r"Context: (page \d+)", 1)
@@ -74,7 +75,7 @@ def _(spark, d):
 
 
 @query("task_id", "tsk", """
-SELECT document_id, evidence_id, kind, CASE kind WHEN 'text' THEN 'tx' WHEN 'table' THEN 'tt' ELSE 'st' END||'-'||substr(sha256(kind||'|'||evidence_id),1,8) AS id FROM tsk""")
+SELECT document_id, evidence_id, kind, CASE kind WHEN 'text' THEN 'tx' WHEN 'table' THEN 'tt' ELSE 'st' END||'-'||substr(sha256(kind||'|'||evidence_id),1,32) AS id FROM tsk""")
 def _(spark, d):
     e = F.col("evidence_ids")[0]
     return T.tasks(spark, d).select("document_id", e.alias("evidence_id"), "kind", ids.task_id("kind", e).alias("id"))
@@ -92,7 +93,7 @@ def mixed_evidence(spark, d):
 
 
 @query("table_tasks", None, """
-SELECT 'doc-'||(p_partkey%10) AS document_id, 'tt-'||substr(sha256('table|e'||p_partkey),1,8) AS task_id, CASE WHEN p_partkey%5<>0 THEN p_name END AS text,
+SELECT 'doc-'||(p_partkey%10) AS document_id, 'tt-'||substr(sha256('table|e'||p_partkey),1,32) AS task_id, CASE WHEN p_partkey%5<>0 THEN p_name END AS text,
  CASE WHEN p_partkey%2=0 THEN 'img/'||(p_partkey+1)||'.png' END AS image FROM part WHERE p_partkey%3=0 AND (p_partkey%5<>0 OR p_partkey%2=0)""")
 def _(spark, d):
     rows = J.table_tasks(mixed_evidence(spark, d))
@@ -118,15 +119,15 @@ def _(spark, d):
 
 
 @query("structure_tasks", None, f"""
-SELECT document_id, 'st-'||substr(sha256('structure|'||path),1,8) AS task_id, substr(path,5)||coalesce('; page '||page,'') AS context, evidence_id FROM ({STRUCTURE_TASKS})""")
+SELECT document_id, 'st-'||substr(sha256('structure|'||path),1,32) AS task_id, substr(path,5)||coalesce('; page '||page,'') AS context, evidence_id FROM ({STRUCTURE_TASKS})""")
 def _(spark, d):
     rows = J.structure_tasks(image_list(spark, d), mixed_evidence(spark, d))
     return rows.select("document_id", "task_id", F.col("assets.images")[0]["context"].alias("context"), F.get("evidence_ids", F.lit(0)).alias("evidence_id"))
 
 
 @query("fallback_tasks", "tabled", TABLES + """
-SELECT document_id, 'tx-'||substr(sha256('text|'||document_id),1,8) AS task_id, 'text' AS kind, markdown AS content FROM tabled
-UNION ALL SELECT document_id, 'tt-'||substr(sha256('table|markdown:'||table_number),1,8), 'table', text FROM tabs""")
+SELECT document_id, 'tx-'||substr(sha256('text|'||document_id),1,32) AS task_id, 'text' AS kind, markdown AS content FROM tabled
+UNION ALL SELECT document_id, 'tt-'||substr(sha256('table|markdown:'||table_number),1,32), 'table', text FROM tabs""")
 def _(spark, d):
     none = J.text_tasks(spark.createDataFrame([], EVIDENCE))
     rows = J.fallback_tasks(T.table_documents(spark, d), none, none)
@@ -134,7 +135,7 @@ def _(spark, d):
 
 
 @query("adjudication_tasks", "rcd evid", """
-SELECT r.document_id, r.reaction_id, 'ad-'||substr(sha256('adjudication|'||r.reaction_id),1,8) AS task_id, e1 AS first_evidence,
+SELECT r.document_id, r.reaction_id, 'ad-'||substr(sha256('adjudication|'||r.reaction_id),1,32) AS task_id, e1 AS first_evidence,
  (SELECT count(*) FROM evid e WHERE e.document_id=r.document_id AND e.evidence_id IN (r.e1, r.e2)) AS n_evidence
 FROM rcd r WHERE review_status='needs_review' AND NOT has_error""")
 def _(spark, d):
@@ -482,7 +483,7 @@ def _(spark, d):
 
 def stream_folder(spark, d):
     k = F.col("o_orderkey")
-    value = F.when(k % 40 == 0, "{").otherwise(T.text('{"task_id":"t', k % 5000, '","producer":{"kind":"human"},"outputs":[{"v":', k % 2, "}]}"))
+    value = F.when(k % 40 == 0, "{").otherwise(T.text('{"document_id":"doc-', k % 5000 % 10, '","task_id":"t', F.floor(k % 5000 / 10), '","producer":{"kind":"human"},"outputs":[{"v":', k % 2, "}]}"))
     path = new_path(spark, "stream")
     T.load(spark, d, "orders").select(value.alias("value")).repartition(4, "value").write.text(path)
     return path
@@ -495,18 +496,19 @@ def run_to_table(spark, stream, name):
 
 
 @query("submission_stream", None, """
-SELECT CASE WHEN o_orderkey%40=0 THEN NULL ELSE 't'||(o_orderkey%5000) END AS task_id, CASE WHEN o_orderkey%40=0 THEN 'invalid JSON' END AS error, count(*) AS n FROM orders GROUP BY ALL""")
+SELECT CASE WHEN o_orderkey%40=0 THEN NULL ELSE 'doc-'||(o_orderkey%5000%10) END AS document_id, CASE WHEN o_orderkey%40=0 THEN NULL ELSE 't'||(o_orderkey%5000//10) END AS task_id, CASE WHEN o_orderkey%40=0 THEN 'invalid JSON' END AS error, count(*) AS n FROM orders GROUP BY ALL""")
 def _(spark, d):
-    stream = Z.submission_stream(spark, stream_folder(spark, d)).select("task_id", "error", "submission_hash")
-    return run_to_table(spark, stream, "arrived").groupBy("task_id", "error").agg(F.count("*").alias("n"))
+    stream = Z.submission_stream(spark, stream_folder(spark, d)).select("document_id", "task_id", "error", "submission_hash")
+    return run_to_table(spark, stream, "arrived").groupBy("document_id", "task_id", "error").agg(F.count("*").alias("n"))
 
 
 @query("dedup_submissions", None, """
-SELECT 't'||(o_orderkey%5000) AS task_id, count(DISTINCT o_orderkey%2) AS n FROM orders WHERE o_orderkey%40<>0 GROUP BY ALL""")
+SELECT 'doc-'||(o_orderkey%5000%10) AS document_id, 't'||(o_orderkey%5000//10) AS task_id, count(DISTINCT o_orderkey%2) AS n FROM orders WHERE o_orderkey%40<>0 GROUP BY ALL""")
 def _(spark, d):
-    stream = Z.dedup_submissions(Z.good_rows(Z.submission_stream(spark, stream_folder(spark, d))))
-    rows = run_to_table(spark, stream.select("task_id", "submission_hash", "arrived_at"), "deduplicated")
-    return rows.groupBy("task_id").agg(F.count("*").alias("n"))
+    stream = Z.good_rows(Z.submission_stream(spark, stream_folder(spark, d), files_per_trigger=2))
+    ledger, state = new_path(spark, "deduplicated"), new_path(spark, "deduplicated-state")
+    Z.dedup_submissions(stream, ledger, state).awaitTermination()
+    return Z.read_ledger(spark, ledger).groupBy("document_id", "task_id").agg(F.count("*").alias("n"))
 
 
 @query("live_task_board", None, """
@@ -516,7 +518,7 @@ SELECT 'doc-'||(t.k%10) AS document_id, CASE WHEN t.k%2=0 THEN 'text' ELSE 'tabl
 def _(spark, d):
     k = F.col("o_orderkey") % 6000
     tasks = T.load(spark, d, "orders").select(k.alias("k")).distinct().select(
-        T.text("doc-", F.col("k") % 10).alias("document_id"), T.text("t", F.col("k")).alias("task_id"), F.when(F.col("k") % 2 == 0, "text").otherwise("table").alias("kind")
+        T.text("doc-", F.col("k") % 10).alias("document_id"), T.text("t", F.floor(F.col("k") / 10)).alias("task_id"), F.when(F.col("k") % 2 == 0, "text").otherwise("table").alias("kind")
     )
     stream = Z.good_rows(Z.submission_stream(spark, stream_folder(spark, d), files_per_trigger=2))
     ledger, board, state = (new_path(spark, n) for n in ("ledger", "board", "board-state"))

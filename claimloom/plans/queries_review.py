@@ -105,7 +105,7 @@ def _(spark, d):
 
 
 @query("stable_id", None, """
-SELECT o_orderkey, 'reaction-'||substr(sha256(o_orderkey||chr(31)||CASE WHEN o_orderkey%2=0 THEN o_orderpriority ELSE chr(30) END),1,12) AS id FROM orders""")
+SELECT o_orderkey, 'reaction-'||substr(sha256(o_orderkey||chr(31)||CASE WHEN o_orderkey%2=0 THEN o_orderpriority ELSE chr(30) END),1,32) AS id FROM orders""")
 def _(spark, d):
     o = T.load(spark, d, "orders")
     return o.select("o_orderkey", ids.stable_id("reaction", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"))).alias("id"))
@@ -314,12 +314,15 @@ def _(spark, d):
 
 
 @query("channel_counts", "tsk", """
-SELECT document_id, kind, count(*) FILTER (NOT fulfilled) AS awaiting, count(*) FILTER (fulfilled) AS fulfilled,
- (SELECT string_agg(task_id, ',' ORDER BY task_id) FROM (SELECT task_id FROM tsk u WHERE u.document_id=t.document_id AND u.kind=t.kind AND NOT u.fulfilled ORDER BY task_id LIMIT 50)) AS ids
-FROM tsk t GROUP BY document_id, kind""")
+SELECT document_id, kind, count(*) FILTER (NOT fulfilled) AS awaiting, count(*) FILTER (fulfilled) AS fulfilled
+FROM tsk GROUP BY document_id, kind""")
 def _(spark, d):
-    c = W.channel_counts(W.task_board(T.tasks(spark, d), T.task_state(spark, d)))
-    return c.select("document_id", "kind", "awaiting", "fulfilled", F.array_join("awaiting_task_ids", ",").alias("ids"))
+    return W.channel_counts(W.task_board(T.tasks(spark, d), T.task_state(spark, d)))
+
+
+@query("awaiting_tasks", "tsk", "SELECT document_id, task_id FROM tsk WHERE NOT fulfilled")
+def _(spark, d):
+    return W.awaiting_tasks(W.task_board(T.tasks(spark, d), T.task_state(spark, d)))
 
 
 @query("first_n_per_group", "tsk", """

@@ -58,7 +58,7 @@ SELECT c.*, CASE WHEN c.smiles NOT LIKE 'bad(%' THEN 'own' WHEN l.n_structures=1
 FROM comp c LEFT JOIN lab l ON l.document_id=c.document_id AND l.label_key=c.label_key""",
     "rec": """
 SELECT g.document_id,
- 'reaction-'||substr(sha256(g.group_id||chr(31)||d.n_evidence||chr(31)||d.digest),1,12) AS reaction_id,
+ 'reaction-'||substr(sha256(g.group_id||chr(31)||d.n_evidence||chr(31)||d.digest),1,32) AS reaction_id,
  g.group_id, g.first_candidate, g.base_candidate, b.temperature_c, b.time, b.yield_pct, g.n_candidates, g.many_sources,
  o.n_compounds, o.n_resolved, d.n_evidence, o.errors AS error_count,
  g.conflict_temperature_c, g.conflict_time, g.conflict_yield_pct,

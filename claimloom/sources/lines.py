@@ -86,9 +86,10 @@ def _typed_producer(v) -> Column:
 
 
 def submissions(rows: DataFrame) -> DataFrame:
-    """Parsed objects -> task_id, producer, outputs (VARIANT)."""
+    """Parsed objects -> document_id, task_id, producer, outputs (VARIANT). A document_id column of the rows stays."""
     kept = [c for c in rows.columns if c != "value"]
-    return rows.select(*kept, V.text_of(V.get("value", "task_id")).alias("task_id"), _typed_producer("value").alias("producer"), V.get("value", "outputs").alias("outputs"))
+    document = [] if "document_id" in kept else [V.text_of(V.get("value", "document_id")).alias("document_id")]
+    return rows.select(*kept, *document, V.text_of(V.get("value", "task_id")).alias("task_id"), _typed_producer("value").alias("producer"), V.get("value", "outputs").alias("outputs"))
 
 
 def adjudications(rows: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from ..functions.text import blank_to_null
 from ..operators.review import channel_counts, task_board
 from ..operators.submissions import submission_hash
 from ..sources.lines import submissions
+from ..staging import staged
 
 
 def submission_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """New files in a folder -> task_id, producer, outputs, error, file, submission_hash, arrived_at."""
+    """New files in a folder -> document_id, task_id, producer, outputs, error, file, submission_hash, arrived_at."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("arrived_at")
     )
@@ -29,12 +30,40 @@ def error_rows(stream: DataFrame) -> DataFrame:
     return stream.filter(F.col("error").isNotNull()).select("file", "arrived_at", "error")
 
 
-def dedup_submissions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The same answer to the same task within the delay is dropped; state is bounded by the watermark.
+KEY = ["document_id", "task_id", "submission_hash"]
+LEDGER = "document_id string, task_id string, submission_hash string, batch int, bucket int"
+BUCKETS = 64
 
-    Later repeats are caught by the ledger.
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _enter(batch: DataFrame, number: int, path: str) -> tuple[DataFrame, list[int]]:
+    """Write the answers of a batch that earlier batches do not hold; returns them and the buckets met.
+
+    The ledger is laid out by batch and by bucket of the document: a batch that runs again replaces
+    itself, and only the buckets of its documents are read. Arrival times play no part, so late files count.
     """
-    return stream.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["task_id", "submission_hash"])
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+    rows = staged(batch.select(*KEY).distinct().withColumn("bucket", bucket), "answers")
+    met = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+    target = f"{path}/batch={number}"
+    rows.filter("false").write.mode("overwrite").parquet(f"{target}/bucket=0")
+    earlier = read_ledger(spark, path).filter((F.col("batch") < number) & F.col("bucket").isin(met)).select(*KEY)
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")) for k in KEY]
+    fresh = rows.alias("n").join(earlier.alias("e"), same[0] & same[1] & same[2], "left_anti")
+    staged(fresh, "fresh_answers").write.mode("overwrite").partitionBy("bucket").parquet(target)
+    return rows, met
+
+
+def dedup_submissions(stream: DataFrame, ledger_path: str, checkpoint: str) -> StreamingQuery:
+    """Keep each answer to a task of a document once, however late it comes; ``read_ledger`` gives them."""
+    return (
+        stream.writeStream.foreachBatch(lambda batch, number: _enter(batch, number, ledger_path))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def live_task_board(
@@ -42,20 +71,14 @@ def live_task_board(
 ) -> StreamingQuery:
     """Keep a ledger of answered tasks and a board of channel counts per batch.
 
-    Each micro-batch writes its own ledger folder (``batch=N``), so a batch that runs
-    again after a failure replaces itself.  Only documents the batch touched are
-    counted again.
+    Only documents the batch touched are counted again, from the ledger buckets they are in.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        answered = batch.select("task_id", "submission_hash").distinct()
-        target = f"{ledger_path}/batch={number}"
-        answered.write.mode("overwrite").parquet(target)
-        written = spark.read.schema(answered.schema).parquet(target)
-        ledger = spark.read.schema(answered.schema).parquet(ledger_path)
-        documents = tasks.join(written.select("task_id").distinct(), "task_id", "left_semi").select("document_id").distinct()
-        touched = tasks.join(documents, "document_id", "left_semi")
-        state = touched.join(ledger.select("task_id").distinct(), "task_id", "left_semi").select("document_id", "task_id", F.lit("fulfilled").alias("status"))
+        rows, met = _enter(batch, number, ledger_path)
+        touched = tasks.join(rows.select("document_id").distinct(), "document_id", "left_semi")
+        answered = read_ledger(spark, ledger_path).filter(F.col("bucket").isin(met)).select("document_id", "task_id").distinct()
+        state = touched.join(answered, ["document_id", "task_id"], "left_semi").select("document_id", "task_id", F.lit("fulfilled").alias("status"))
         counts = channel_counts(task_board(touched, state))
         counts.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{board_path}/n={number}")
 
@@ -68,5 +91,5 @@ def latest_board(spark: SparkSession, board_path: str) -> DataFrame:
     """The newest counts of every document and channel."""
     rows = spark.read.parquet(board_path)
     return rows.groupBy("document_id", "kind").agg(
-        F.max_by(F.struct("awaiting", "fulfilled", "awaiting_task_ids"), "batch").alias("r")
+        F.max_by(F.struct("awaiting", "fulfilled"), "batch").alias("r")
     ).select("document_id", "kind", "r.*")
