@@ -340,7 +340,7 @@ def _(spark, d):
 
 
 @query("compare_structures_strip_charge", "pred gold", f"""
-SELECT level, count(*) AS n FROM (SELECT CASE WHEN a LIKE '[13%' AND FALSE THEN 'identical' ELSE {LADDER} END AS level FROM (
+SELECT level, count(*) AS n FROM (SELECT {LADDER} AS level FROM (
  SELECT p.r_smiles AS a, g.r_smiles AS b FROM pred p JOIN gold g
  ON g.document_id=p.document_id AND g.reaction_id=p.reaction_id AND g.ord%2=0)) GROUP BY ALL""")
 def _(spark, d):
@@ -349,22 +349,22 @@ def _(spark, d):
 
 
 PAIRED = """
-, p AS (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label,' ','')), lower(name), '') AS key, coalesce(smiles,'') AS smi,
+, p AS MATERIALIZED (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label,' ','')), lower(name), '') AS key, coalesce(smiles,'') AS smi,
   coalesce(label,name,'<unlabelled>') AS ref FROM orders, LATERAL (VALUES
   (0,'reactant','a'||(o_orderkey%2),NULL,'S'||(o_orderkey%3)),(1,'reactant','A '||(o_orderkey%3),NULL,'S'||(o_orderkey%2)),
   (2,'reactant',NULL,'n'||(o_orderkey%4),'S'||(o_orderkey%5)),(3,'product',NULL,NULL,'U'||(o_orderkey%2)),(4,'product','a0',NULL,'bad(y')) t(i,role,label,name,smiles)),
-g AS (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label,' ','')), lower(name), '') AS key, coalesce(smiles,'') AS smi,
+g AS MATERIALIZED (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label,' ','')), lower(name), '') AS key, coalesce(smiles,'') AS smi,
   coalesce(label,name,'<unlabelled>') AS ref FROM orders, LATERAL (VALUES
   (0,'reactant','A'||(o_orderkey%3),NULL,'S'||(o_orderkey%2)),(1,'reactant','a'||(o_orderkey%2),NULL,'S'||(o_orderkey%4)),
   (2,'reactant',NULL,'m'||(o_orderkey%5),'S'||(o_orderkey%3)),(3,'product',NULL,NULL,'U'||(o_orderkey%3)),(4,'product','a0',NULL,'S'||(o_orderkey%7)),
   (5,'reagent','extra',NULL,NULL)) t(i,role,label,name,smiles)),
-p1 AS (SELECT *, row_number() OVER (PARTITION BY k,role,key ORDER BY i) AS rn FROM p),
-g1 AS (SELECT *, row_number() OVER (PARTITION BY k,role,key ORDER BY i) AS rn FROM g),
-m1 AS (SELECT p1.k, p1.role, p1.i AS pi, g1.i AS gi FROM p1 JOIN g1 ON p1.k=g1.k AND p1.role=g1.role AND p1.key=g1.key AND p1.rn=g1.rn WHERE p1.key<>''),
-p2 AS (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM p WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.k=p.k AND m1.pi=p.i)),
-g2 AS (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM g WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.k=g.k AND m1.gi=g.i)),
-m2 AS (SELECT p2.k, p2.role, p2.i AS pi, g2.i AS gi FROM p2 JOIN g2 ON p2.k=g2.k AND p2.role=g2.role AND p2.smi=g2.smi AND p2.rn=g2.rn WHERE p2.smi<>''),
-m AS (SELECT *, 0 AS phase FROM m1 UNION ALL SELECT *, 1 FROM m2),
+p1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,key ORDER BY i) AS rn FROM p),
+g1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,key ORDER BY i) AS rn FROM g),
+m1 AS MATERIALIZED (SELECT p1.k, p1.role, p1.i AS pi, g1.i AS gi FROM p1 JOIN g1 ON p1.k=g1.k AND p1.role=g1.role AND p1.key=g1.key AND p1.rn=g1.rn WHERE p1.key<>''),
+p2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM p WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.k=p.k AND m1.pi=p.i)),
+g2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM g WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.k=g.k AND m1.gi=g.i)),
+m2 AS MATERIALIZED (SELECT p2.k, p2.role, p2.i AS pi, g2.i AS gi FROM p2 JOIN g2 ON p2.k=g2.k AND p2.role=g2.role AND p2.smi=g2.smi AND p2.rn=g2.rn WHERE p2.smi<>''),
+m AS MATERIALIZED (SELECT *, 0 AS phase FROM m1 UNION ALL SELECT *, 1 FROM m2),
 res AS (
 SELECT m.k AS pair_id, m.role, m.phase, m.pi AS i, p.ref AS participant_id, g.ref AS gold_participant_id,
  CASE WHEN g.smi='' OR p.smi='' OR p.smi LIKE 'bad(%' OR g.smi LIKE 'bad(%' THEN 'uncomparable' WHEN upper(p.smi)=upper(g.smi) THEN 'identical' ELSE 'connectivity_differs' END AS comparison,
