@@ -327,14 +327,14 @@ CASE WHEN a IS NULL AND b IS NULL THEN 'uncomparable' WHEN a IS NULL OR b IS NUL
 
 def structure_pair_rows(spark, d):
     p = T.predicted(spark, d).select("document_id", "reaction_id", F.col("reactants")[0]["smiles"].alias("smiles_a"))
-    g = T.gold(spark, d).filter(F.col("ord") % 2 == 0).select("document_id", "reaction_id", F.col("reactants")[0]["smiles"].alias("smiles_b"))
+    g = T.gold(spark, d).select("document_id", "reaction_id", F.col("reactants")[0]["smiles"].alias("smiles_b"))
     return p.join(g, ["document_id", "reaction_id"])
 
 
 @query("compare_structures", "pred gold", f"""
 SELECT document_id, reaction_id, {LADDER} AS level FROM (
  SELECT p.document_id, p.reaction_id, p.r_smiles AS a, g.r_smiles AS b FROM pred p JOIN gold g
- ON g.document_id=p.document_id AND g.reaction_id=p.reaction_id AND g.ord%2=0)""")
+ ON g.document_id=p.document_id AND g.reaction_id=p.reaction_id)""")
 def _(spark, d):
     return S.compare_structures(structure_pair_rows(spark, d), smiles_dictionary(spark, d)).select("document_id", "reaction_id", "level")
 
@@ -342,7 +342,7 @@ def _(spark, d):
 @query("compare_structures_strip_charge", "pred gold", f"""
 SELECT level, count(*) AS n FROM (SELECT {LADDER} AS level FROM (
  SELECT p.r_smiles AS a, g.r_smiles AS b FROM pred p JOIN gold g
- ON g.document_id=p.document_id AND g.reaction_id=p.reaction_id AND g.ord%2=0)) GROUP BY ALL""")
+ ON g.document_id=p.document_id AND g.reaction_id=p.reaction_id)) GROUP BY ALL""")
 def _(spark, d):
     out = S.compare_structures(structure_pair_rows(spark, d), smiles_dictionary(spark, d), normalization="strip_charge")
     return out.groupBy("level").agg(F.count("*").alias("n"))

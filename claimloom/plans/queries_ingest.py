@@ -351,20 +351,28 @@ def _(spark, d):
 # --- files ----------------------------------------------------------------------
 
 def page_files(spark, d):
+    """Every page as a file, and one page in ten as a second file with the same content."""
     k = F.col("page_id")
-    return T.load(spark, d, "pages").select(T.text("/pages/", k, ".html").alias("path"), F.encode(F.when(k % 10 == 0, "same").otherwise(F.col("html")), "UTF-8").alias("content"))
+    folders = F.when(k % 10 == 0, F.array(F.lit("/pages/"), F.lit("/copies/"))).otherwise(F.array(F.lit("/pages/")))
+    rows = T.load(spark, d, "pages").withColumn("folder", F.explode(folders))
+    return rows.select(T.text(F.col("folder"), k, ".html").alias("path"), F.encode("html", "UTF-8").alias("content"))
 
 
-@query("file_digest", None, """
-SELECT path, sha256, CASE WHEN row_number() OVER (PARTITION BY sha256 ORDER BY path)>1 OR seen THEN 'duplicate' ELSE 'applied' END AS status FROM (
- SELECT '/pages/'||page_id||'.html' AS path, sha256(CASE WHEN page_id%10=0 THEN 'same' ELSE html END) AS sha256,
-  sha256(CASE WHEN page_id%10=0 THEN 'same' ELSE html END) IN (SELECT sha256(html) FROM pages WHERE page_id%7=1) AS seen FROM pages)""")
+PAGE_FILES = """
+WITH files AS (SELECT '/pages/'||page_id||'.html' AS path, sha256(html) AS sha256 FROM pages
+ UNION ALL SELECT '/copies/'||page_id||'.html', sha256(html) FROM pages WHERE page_id%10=0)
+"""
+
+
+@query("file_digest", None, PAGE_FILES + """
+SELECT path, sha256, CASE WHEN row_number() OVER (PARTITION BY sha256 ORDER BY path)>1 OR sha256 IN (SELECT sha256(html) FROM pages WHERE page_id%7=1)
+ THEN 'duplicate' ELSE 'applied' END AS status FROM files""")
 def _(spark, d):
     seen = T.load(spark, d, "pages").filter("page_id % 7 = 1").select(F.sha2("html", 256).alias("sha256"))
     return S.file_digests(page_files(spark, d), seen)
 
 
-@query("document_id", None, "SELECT '/pages/'||page_id||'.html' AS path, substr(sha256(CASE WHEN page_id%10=0 THEN 'same' ELSE html END),1,16) AS document_id FROM pages")
+@query("document_id", None, PAGE_FILES + "SELECT path, substr(sha256,1,16) AS document_id FROM files")
 def _(spark, d):
     return S.document_ids(page_files(spark, d))
 

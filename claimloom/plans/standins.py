@@ -103,18 +103,20 @@ def pandas_parser(raw: pd.Series) -> pd.DataFrame:
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as predicted records, one in twenty missing."""
+    """orders as predicted records, one in twenty under an id and a label of its own."""
     c = F.col
     key = c("o_orderkey")
+    alone = key % 20 == 1
+    label = F.when(alone, text("Z", key)).otherwise(text("C", c("o_custkey")))
     base = text("C", c("o_custkey") % 5, "N")
     v = key % 9
     smiles = (
         F.when(v == 0, F.lit(None)).when(v == 1, "bad(x").when(v == 2, text(base, "@")).when(v == 3, text("[13", base, "+]"))
         .when(v == 4, text(base, ".[Cl-]")).when(v == 5, text("X", base)).otherwise(base)
     )
-    return load(spark, sf_dir, "orders").filter(key % 20 != 1).select(
-        text("doc-", c("o_custkey") % 10).alias("document_id"), key.alias("ord"), text("r", key).alias("reaction_id"),
-        F.array(compound(text("C", c("o_custkey")), smiles=smiles, role="reactant")).alias("reactants"),
+    return load(spark, sf_dir, "orders").select(
+        text("doc-", c("o_custkey") % 10).alias("document_id"), key.alias("ord"), text(F.when(alone, "x").otherwise("r"), key).alias("reaction_id"),
+        F.array(compound(label, smiles=smiles, role="reactant")).alias("reactants"),
         F.array(compound(c("o_orderpriority"), smiles=F.when(key % 2 == 1, text("P-", c("o_orderpriority"))), role="product")).alias("products"),
         F.round(c("o_totalprice") % 100, 2).alias("yield_pct"),
         c("o_orderstatus").alias("profile"),
@@ -122,16 +124,18 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as benchmark records: absent, other id, doubled or same id by key."""
+    """orders as benchmark records: unlike any other, other id, doubled or same id by key."""
     c = F.col
     key = c("o_orderkey")
+    alone = key % 5 == 0
+    label = F.when(alone, text("Y", key)).otherwise(text("C", c("o_custkey")))
     shift = F.when(key % 3 == 0, 0.0).when(key % 3 == 1, 0.5).otherwise(3.0)
     copies = F.when(key % 5 == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     smiles = F.when(key % 11 != 0, text("C", c("o_custkey") % 5, "N"))
-    return load(spark, sf_dir, "orders").filter(key % 5 != 0).withColumn("copy", F.explode(copies)).select(
+    return load(spark, sf_dir, "orders").withColumn("copy", F.explode(copies)).select(
         text("doc-", c("o_custkey") % 10).alias("document_id"), (key * 2 + c("copy")).alias("ord"),
-        text(F.when(key % 5 == 1, "g").otherwise("r"), key).alias("reaction_id"),
-        F.array(compound(text("C", c("o_custkey")), smiles=smiles, role="reactant")).alias("reactants"),
+        text(F.when(alone, "a").when(key % 5 == 1, "g").otherwise("r"), key).alias("reaction_id"),
+        F.array(compound(label, smiles=smiles, role="reactant")).alias("reactants"),
         F.array(compound(c("o_orderpriority"), smiles=F.when(key % 2 == 1, text("P-", c("o_orderpriority"))), role="product")).alias("products"),
         F.round(F.round(c("o_totalprice") % 100, 2) + shift, 2).alias("yield_pct"),
         c("o_orderstatus").alias("profile"),
@@ -163,15 +167,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     kind = (
         F.when(c("event_type") == "click", "condition").when(c("event_type") == "view", "participant_identity")
-        .when(c("event_type") == "purchase", "reaction").when(c("event_type") == "signup", "completeness").otherwise("stereo")
+        .when((c("event_type") == "purchase") & (c("user_id") % 4 != 0), "reaction").when(c("event_type").isin("purchase", "signup"), "completeness").otherwise("stereo")
     )
     e = c("event_id")
     conclusion = (
         F.when(e % 397 == 0, "rejected").when(e % 31 == 0, "pending").when(e % 37 == 0, "insufficient_evidence")
         .when(e % 7 == 0, "not_applicable").otherwise("confirmed")
     )
-    rows = load(spark, sf_dir, "events").filter(~((c("event_type") == "purchase") & (c("user_id") % 4 == 0)))
-    rows = rows.withColumn("target_kind", kind).withColumn("conclusion", conclusion)
+    rows = load(spark, sf_dir, "events").withColumn("target_kind", kind).withColumn("conclusion", conclusion)
     rid = text("r", c("user_id"))
     return rows.select(
         text("doc-", c("user_id") % 10).alias("document_id"), e.alias("ord"), text("d", e).alias("decision_id"),
@@ -186,11 +189,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as text evidence, one in fifty missing."""
+    """orders as text evidence, one in fifty under an id that no record names."""
     c = F.col
     key = c("o_orderkey")
-    return load(spark, sf_dir, "orders").filter(key % 50 != 0).select(
-        text("doc-", key % 10).alias("document_id"), text("O", key).alias("evidence_id"), F.lit("text").alias("kind"),
+    return load(spark, sf_dir, "orders").select(
+        text("doc-", key % 10).alias("document_id"), text(F.when(key % 50 == 0, "Q").otherwise("O"), key).alias("evidence_id"), F.lit("text").alias("kind"),
         (key % 20).cast("int").alias("page"), F.lit("orders.md").alias("source_path"),
         F.lit(None).cast("string").alias("asset_path"), c("o_orderpriority").alias("text"),
         F.lit(None).cast("array<double>").alias("bbox"),

@@ -73,25 +73,25 @@ LATERAL (SELECT 0.35::DOUBLE*g.mean_confidence + 0.25::DOUBLE*(o.n_resolved/o.n_
   + 0.2::DOUBLE*(CASE WHEN g.many_sources THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)
   + 0.2::DOUBLE*greatest(0.0::DOUBLE, 1.0::DOUBLE-o.errors/greatest(1.0::DOUBLE, o.n_compounds::DOUBLE+1.0::DOUBLE)) AS score) s""",
     "pred": """
-SELECT 'doc-'||(o_custkey%10) AS document_id, o_orderkey AS ord, 'r'||o_orderkey AS reaction_id,
- 'C'||o_custkey AS r_label, o_orderpriority AS p_label,
+SELECT 'doc-'||(o_custkey%10) AS document_id, o_orderkey AS ord, CASE WHEN o_orderkey%20=1 THEN 'x' ELSE 'r' END||o_orderkey AS reaction_id,
+ CASE WHEN o_orderkey%20=1 THEN 'Z'||o_orderkey ELSE 'C'||o_custkey END AS r_label, o_orderpriority AS p_label,
  CASE o_orderkey%9 WHEN 0 THEN NULL WHEN 1 THEN 'bad(x' WHEN 2 THEN 'C'||(o_custkey%5)||'N@'
   WHEN 3 THEN '[13C'||(o_custkey%5)||'N+]' WHEN 4 THEN 'C'||(o_custkey%5)||'N.[Cl-]'
   WHEN 5 THEN 'XC'||(o_custkey%5)||'N' ELSE 'C'||(o_custkey%5)||'N' END AS r_smiles,
  CASE WHEN o_orderkey%2=1 THEN 'P-'||o_orderpriority END AS p_smiles,
- lower('C'||o_custkey)||chr(31)||lower(regexp_replace(o_orderpriority,'\\s+','','g')) AS key,
+ lower(CASE WHEN o_orderkey%20=1 THEN 'Z'||o_orderkey ELSE 'C'||o_custkey END)||chr(31)||lower(regexp_replace(o_orderpriority,'\\s+','','g')) AS key,
  round(o_totalprice%100,2) AS yield_pct, o_orderstatus AS profile
-FROM orders WHERE o_orderkey%20<>1""",
+FROM orders""",
     "gold": """
 SELECT 'doc-'||(o_custkey%10) AS document_id, o_orderkey*2+copy AS ord,
- CASE WHEN o_orderkey%5=1 THEN 'g' ELSE 'r' END||o_orderkey AS reaction_id,
- 'C'||o_custkey AS r_label, o_orderpriority AS p_label,
+ CASE o_orderkey%5 WHEN 0 THEN 'a' WHEN 1 THEN 'g' ELSE 'r' END||o_orderkey AS reaction_id,
+ CASE WHEN o_orderkey%5=0 THEN 'Y'||o_orderkey ELSE 'C'||o_custkey END AS r_label, o_orderpriority AS p_label,
  CASE WHEN o_orderkey%11<>0 THEN 'C'||(o_custkey%5)||'N' END AS r_smiles,
  CASE WHEN o_orderkey%2=1 THEN 'P-'||o_orderpriority END AS p_smiles,
- lower('C'||o_custkey)||chr(31)||lower(regexp_replace(o_orderpriority,'\\s+','','g')) AS key,
+ lower(CASE WHEN o_orderkey%5=0 THEN 'Y'||o_orderkey ELSE 'C'||o_custkey END)||chr(31)||lower(regexp_replace(o_orderpriority,'\\s+','','g')) AS key,
  round(round(o_totalprice%100,2)+CASE o_orderkey%3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 3.0 END,2) AS yield_pct,
  o_orderstatus AS profile
-FROM orders JOIN (SELECT 0 AS copy UNION ALL SELECT 1) ON copy=0 OR o_orderkey%5=2 WHERE o_orderkey%5<>0""",
+FROM orders JOIN (SELECT 0 AS copy UNION ALL SELECT 1) ON copy=0 OR o_orderkey%5=2""",
     "mat": """
 SELECT document_id, p_ord, g_ord, reaction_id, gold_reaction_id, basis FROM (
  SELECT p.document_id, p.ord AS p_ord, g.g_ord, p.reaction_id, p.reaction_id AS gold_reaction_id, 'id' AS basis
@@ -131,15 +131,15 @@ SELECT document_id, reaction_id, gold_reaction_id, alignment, alignment_basis, p
 SELECT *, CASE WHEN target_kind IN ('reaction','completeness') THEN reaction_id ELSE reaction_id||':'||(ord%3) END AS target_id,
  CASE WHEN conclusion IN ('pending','not_applicable','insufficient_evidence') THEN 'r' END AS reason FROM (
  SELECT 'doc-'||(user_id%10) AS document_id, event_id AS ord, 'd'||event_id AS decision_id, 'r'||user_id AS reaction_id, user_id,
-  CASE event_type WHEN 'click' THEN 'condition' WHEN 'view' THEN 'participant_identity' WHEN 'purchase' THEN 'reaction'
+  CASE event_type WHEN 'click' THEN 'condition' WHEN 'view' THEN 'participant_identity' WHEN 'purchase' THEN CASE WHEN user_id%4=0 THEN 'completeness' ELSE 'reaction' END
    WHEN 'signup' THEN 'completeness' ELSE 'stereo' END AS target_kind,
   CASE WHEN event_id%397=0 THEN 'rejected' WHEN event_id%31=0 THEN 'pending' WHEN event_id%37=0 THEN 'insufficient_evidence'
    WHEN event_id%7=0 THEN 'not_applicable' ELSE 'confirmed' END AS conclusion,
   'u'||(user_id%3) AS reviewer, 'h'||(user_id//2)||'-'||CASE WHEN event_id%5=0 THEN 1 ELSE 0 END AS record_hash
- FROM events WHERE NOT (event_type='purchase' AND user_id%4=0))""",
+ FROM events)""",
     "evid": """
-SELECT 'doc-'||(o_orderkey%10) AS document_id, 'O'||o_orderkey AS evidence_id, (o_orderkey%20)::INTEGER AS page, o_orderpriority AS text
-FROM orders WHERE o_orderkey%50<>0""",
+SELECT 'doc-'||(o_orderkey%10) AS document_id, CASE WHEN o_orderkey%50=0 THEN 'Q' ELSE 'O' END||o_orderkey AS evidence_id, (o_orderkey%20)::INTEGER AS page, o_orderpriority AS text
+FROM orders""",
     "paged": """
 SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, string_agg('## Page '||(turn+1)||chr(10)||text, chr(10) ORDER BY turn) AS markdown
 FROM conversations GROUP BY conv_id, turn//100""",
