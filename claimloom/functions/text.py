@@ -57,9 +57,12 @@ def round4(c) -> Column:
 
 
 def plain_number(c) -> Column:
-    """25.0 -> '25', 2.5 -> '2.5': at most four decimals, no trailing zeros."""
-    text = col(c).cast("decimal(28,4)").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+    """25.0 -> '25', 2.5 -> '2.5': at most four decimals, no trailing zeros; very large and very small
+    values keep the engine's own notation."""
+    text = col(c).try_cast("decimal(28,4)").cast("string")
+    size = F.abs(col(c))
+    plain = (size < 1e20) & ((size >= 1e-4) | (size == 0))
+    return F.when(plain, F.regexp_replace(text, r"\.?0+$", "")).otherwise(col(c).cast("string"))
 
 
 def strip_annotations(c, charges: bool = True, isotopes: bool = True) -> Column:

@@ -1,6 +1,6 @@
 """Reading free-form JSON: VARIANT columns whose keys and shapes vary."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from .text import blank_to_null, col, number_in_text, split_list, strip
 
@@ -11,8 +11,10 @@ def parse_strict(text) -> Column:
     """Whole text is one JSON value, else null.
 
     ``try_parse_json`` stops after the first value, so the text is wrapped in an
-    array with an end mark that must come back as the second element.
+    array with an end mark that must come back as the second element. Of a key that is given twice
+    the last value counts, a setting of the session.
     """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = col(text)
     mark = F.lit(f',"{_END}"]'.replace("\u0002", "\\u0002"))
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, mark)), F.lit("$"), "array<variant>")

@@ -98,7 +98,10 @@ def record_pairs(rows: DataFrame, predicted: DataFrame, gold: DataFrame) -> Data
 
 
 def gold_comparisons(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Alignment rows with their participant comparisons; ``source`` is the one-row provenance."""
+    """Alignment rows with their participant comparisons.
+
+    ``source``: provenance rows with the ``path`` of their file; each benchmark row gets that of its ``file``.
+    """
     aligned = align_gold(predicted, gold)
     sure = aligned.filter(F.col("alignment").isin("explicit_id", "mapped")).select(
         "document_id", "reaction_id", "gold_reaction_id", "g_ord"
@@ -114,7 +117,9 @@ def gold_comparisons(predicted: DataFrame, gold: DataFrame, dictionary: DataFram
     )
     if source is None:
         return out
-    return out.withColumn("gold_source", source.select(F.struct(*source.columns)).scalar())
+    told = source.select(F.col("path").alias("file"), F.struct(*source.columns).alias("gold_source"))
+    of_row = gold.select("document_id", F.col("ord").alias("g_ord"), "file").join(told, "file", "left").drop("file")
+    return out.join(of_row, ["document_id", "g_ord"], "left")
 
 
 METRIC_COLUMNS = (

@@ -320,10 +320,13 @@ def apply_operations(
     ``submissions``: package_id, reviewer, confirmed_by.  ``operations``: package_id,
     document_id, ord, reaction_id, target_kind, target_id, op, path, value (JSON
     text), reason.  ``base_hashes``: package_id, document_id, reaction_id,
-    record_hash.  A package with any error is left out whole.
+    record_hash.  A package with any error is left out whole.  With ``base_hashes``, of several packages of
+    one batch that name a record the first (smallest ord) may pass; the others did not see its outcome and conflict.
     """
-    edits = parsed_edits(operations.join(submissions, "package_id"))
-    known = staged(edits.join(records.select(*IDS), IDS, "left_semi"), "edits")
+    repeated = submissions.groupBy("package_id").count().filter("count > 1").select("package_id")
+    edits = parsed_edits(operations.join(submissions.dropDuplicates(["package_id"]), "package_id"))
+    marked = staged(edits.join(records.select(*IDS, F.lit(True).alias("_there")), IDS, "left"), "edits")
+    known, unknown = marked.filter("_there").drop("_there"), marked.filter("_there IS NULL")
 
     def whole(rows, message):
         empty = F.lit(None).cast("string")
@@ -333,6 +336,8 @@ def apply_operations(
     errors = [
         edit_errors(known.join(_mixed_records(known), IDS, "left_anti"), records),
         _replay_errors(records, known),
+        unknown.select("package_id", *IDS, "path", F.lit("unknown reaction").alias("error")).distinct(),
+        whole(repeated, "duplicate submission"),
         whole(submissions.filter(confirmer == ""), "confirmed_by must be a non-empty string"),
         whole(submissions.filter(confirmer != F.col("reviewer")), "reviewer does not match confirmed_by"),
     ]
@@ -341,12 +346,20 @@ def apply_operations(
     if base_hashes is not None:
         conflicts = version_conflicts(base_hashes, records)
         errors.append(conflicts.select("package_id", *IDS, F.lit(None).cast("string").alias("path"), F.lit("version conflict").alias("error")))
+        errors.append(_later_packages(known))
     errors = staged(union_all(*errors), "package-errors")
     good, _ = package_errors(known, errors)
     changed = staged(_changed_records(records, good, parser), "corrected")
     return changed.drop("pre_status", "issues_added"), audit_rows(changed, good), errors
 
 
+def _later_packages(edits: DataFrame) -> DataFrame:
+    named = edits.groupBy(*IDS, "package_id").agg(F.min("ord").alias("ord"))
+    first = named.groupBy(*IDS).agg(F.min_by("package_id", "ord").alias("_first"))
+    late = named.join(first, IDS).filter("package_id <> _first")
+    return late.select("package_id", *IDS, F.lit(None).cast("string").alias("path"), F.lit("version conflict").alias("error"))
+
+
 def _mixed_records(edits: DataFrame) -> DataFrame:
     return edits.filter(F.col("op").isin("add_participant", "remove_participant")).select(*IDS).distinct()
 

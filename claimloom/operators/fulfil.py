@@ -1,63 +1,31 @@
-"""Sending tasks to a caller-supplied answering function, in batches inside Spark tasks."""
+"""Handing tasks to the caller's answering function, inside Spark tasks."""
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ids import content_hash
 
-# Seconds waited before each further try.
-DELAYS = (1, 2, 4, 8)
+def fulfil_tasks(tasks: DataFrame, answer: Callable[[dict], str]) -> DataFrame:
+    """Tasks -> document_id, task_id, answer, error.
 
-
-class RetryableError(Exception):
-    """Network trouble, or an answer with status 429 or 500 and above."""
-
-
-def _ask(answer: Callable[[dict], str], task: dict, tries: int, wait: Callable[[float], None]) -> tuple[str | None, str | None, int]:
-    for attempt in range(1, tries + 1):
-        try:
-            return answer(task), None, attempt
-        except RetryableError as error:
-            if attempt == tries:
-                return None, str(error), attempt
-            wait(DELAYS[min(attempt - 1, len(DELAYS) - 1)])
-        except Exception as error:  # noqa: BLE001  any other failure belongs to this row
-            return None, f"{type(error).__name__}: {error}", attempt
-    return None, "no tries", 0
-
-
-def fulfil_tasks(
-    tasks: DataFrame, answer: Callable[[dict], str], concurrency: int = 3, tries: int = 3,
-    wait: Callable[[float], None] = time.sleep,
-) -> DataFrame:
-    """Tasks -> document_id, task_id, answer, error, attempts.
-
-    ``concurrency`` partitions bound how many calls run at once; tasks spread by a hash
-    of their id, so a retried Spark task gets the same rows.  Failed rows come back with
-    an error instead of failing the job.  Write the result to a table before using it
-    twice: a second evaluation would call the function again.
+    ``answer`` gets one task as a dict; how it reaches a service, and how often it tries, is its own matter. What it
+    raises becomes the row's error. Rows stay in the partitions of ``tasks``. Write the result to a
+    table before using it twice: a second evaluation would call the function again.
     """
-    columns = ["document_id", "task_id", "kind", "instructions"]
+    def one(task: dict) -> tuple[str | None, str | None]:
+        try:
+            return answer(task), None
+        except Exception as error:  # noqa: BLE001  a failure belongs to its row
+            return None, f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [_ask(answer, row, tries, wait) for row in batch.to_dict("records")]
-            yield pd.DataFrame({
-                "document_id": batch["document_id"].to_numpy(), "task_id": batch["task_id"].to_numpy(),
-                "answer": [g[0] for g in got], "error": [g[1] for g in got], "attempts": [g[2] for g in got],
-            })
+            got = [one(row) for row in batch.to_dict("records")]
+            yield batch[["document_id", "task_id"]].assign(answer=[g[0] for g in got], error=[g[1] for g in got])
 
-    spread = tasks.select(*columns).repartition(concurrency, content_hash("document_id", "task_id"))
-    return spread.mapInPandas(run, "document_id string, task_id string, answer string, error string, attempts int")
-
-
-def write_answers(answers: DataFrame, path: str) -> DataFrame:
-    """Store answers once and read them back, so no call is repeated."""
-    answers.write.mode("append").parquet(path)
-    return answers.sparkSession.read.schema(answers.schema).parquet(path)
+    columns = ["document_id", "task_id", "kind", "instructions"]
+    return tasks.select(*columns).mapInPandas(run, "document_id string, task_id string, answer string, error string")
 
 
 def failed(answers: DataFrame) -> DataFrame:

@@ -177,12 +177,15 @@ def _(spark, d):
     )
 
 
-@query("field_conflicts", "grp cand", """
+CONFLICTS = """
 SELECT document_id, 'A003_FIELD_CONFLICT' AS code, target_id, 'Conflicting '||field||' values: ['''||vs||''']' AS message FROM (
  SELECT document_id, r_key, p_key, 'time' AS field, string_agg(DISTINCT time, ''', ''' ORDER BY time) AS vs FROM cand GROUP BY ALL HAVING count(DISTINCT time)>1
  UNION ALL SELECT document_id, r_key, p_key, 'temperature_c', string_agg(DISTINCT temperature_c::VARCHAR, ''', ''' ORDER BY temperature_c::VARCHAR) FROM cand GROUP BY ALL HAVING count(DISTINCT temperature_c)>1
  UNION ALL SELECT document_id, r_key, p_key, 'yield_pct', string_agg(DISTINCT yield_pct::VARCHAR, ''', ''' ORDER BY yield_pct::VARCHAR) FROM cand GROUP BY ALL HAVING count(DISTINCT yield_pct)>1)
-JOIN (SELECT document_id, r_key, p_key, first_candidate AS target_id FROM grp) USING (document_id, r_key, p_key)""")
+JOIN (SELECT document_id, r_key, p_key, first_candidate AS target_id FROM grp) USING (document_id, r_key, p_key)"""
+
+
+@query("field_conflicts", "grp cand", CONFLICTS)
 def _(spark, d):
     c = A.with_signature(T.candidates(spark, d))
     return A.field_conflicts(c).select("document_id", "code", "target_id", "message")
@@ -221,16 +224,19 @@ def _(spark, d):
   'Label '||s.label_key||' maps to multiple structures' FROM struc s JOIN lab l ON l.document_id=s.document_id AND l.label_key=s.label_key
   WHERE s.canonical IS NOT NULL AND l.n_structures>1
  UNION ALL SELECT c.document_id, c.target_id, s.label_key, c.code, c.severity, c.message FROM collapse c
-  JOIN struc s ON s.document_id=c.document_id AND s.candidate_id=c.target_id)
+  JOIN struc s ON s.document_id=c.document_id AND s.candidate_id=c.target_id),
+conf AS ({CONFLICTS})
 SELECT DISTINCT r.document_id, r.reaction_id, i.code, i.severity, i.target_id, i.message FROM rec r JOIN (
  SELECT group_id, CASE state WHEN 'ambiguous' THEN 'A001_STRUCTURE_AMBIGUOUS' ELSE 'A002_STRUCTURE_MISSING' END AS code,
   CASE state WHEN 'ambiguous' THEN 'error' ELSE 'warning' END AS severity, label AS target_id,
   CASE state WHEN 'ambiguous' THEN 'Multiple structures are available for ' ELSE 'No structure was resolved for ' END||label AS message
  FROM resolved WHERE state IN ('ambiguous','missing')
  UNION ALL SELECT v.group_id, s.code, s.severity, s.target_id, s.message FROM resolved v JOIN sissue s
-  ON s.document_id=v.document_id AND s.label_key=v.label_key) i ON i.group_id=r.group_id""")
+  ON s.document_id=v.document_id AND s.label_key=v.label_key
+ UNION ALL SELECT g.group_id, 'A003_FIELD_CONFLICT', 'warning', c.target_id, c.message FROM conf c
+  JOIN grp g ON g.document_id=c.document_id AND g.first_candidate=c.target_id) i ON i.group_id=r.group_id""")
 def _(spark, d):
-    issues = A.attach_issues(assembled(spark, d, store=True)).filter("code <> 'A003_FIELD_CONFLICT'")
+    issues = A.attach_issues(assembled(spark, d, store=True))
     return issues.select("document_id", "reaction_id", "code", "severity", "target_id", "message")
 
 

@@ -103,15 +103,27 @@ def layout_rows(files: DataFrame) -> DataFrame:
     )
 
 
+def plain_path(path) -> Column:
+    """The path without ``.`` and ``..`` steps."""
+    steps = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda kept, step: F.when(step == ".", kept)
+        .when((step == "..") & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .otherwise(F.concat(kept, F.array(step))),
+    )
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(steps, "/")).otherwise(path)
+
+
 def resolve_assets(layout: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``asset_path``: the image next to the layout file, else in its parent's folder."""
+    """Add ``asset_path``: the image next to the layout file, else in its parent's folder. ``files`` lists plain
+    paths; links in the file system are not followed."""
     folder = F.regexp_replace("source_path", r"/[^/]*$", "")
     parent = F.regexp_replace(folder, r"/[^/]*$", "")
     image = F.nullif(F.trim("img_path"), F.lit(""))
     tries = F.when(F.startswith(image, F.lit("/")), F.array(image)).otherwise(
         F.array(F.concat(folder, F.lit("/"), image), F.concat(parent, F.lit("/"), image))
     )
-    wanted = layout.filter(image.isNotNull()).select("document_id", "evidence_id", F.posexplode(tries).alias("priority", "path"))
+    wanted = layout.filter(image.isNotNull()).select("document_id", "evidence_id", F.posexplode(F.transform(tries, plain_path)).alias("priority", "path"))
     hits = wanted.join(files.select("path").distinct(), "path").groupBy("document_id", "evidence_id").agg(
         F.min_by("path", "priority").alias("asset_path")
     )

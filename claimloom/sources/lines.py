@@ -64,7 +64,7 @@ def read_gold(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
 
 def gold_source(files: DataFrame, records: DataFrame) -> DataFrame:
-    """One provenance row per file: name, sha256, entry count, schema version.
+    """One provenance row per file: path, name, sha256, entry count, schema version.
 
     ``files`` has path and content; ``records`` the typed rows of ``gold_rows``.
     """
@@ -72,7 +72,7 @@ def gold_source(files: DataFrame, records: DataFrame) -> DataFrame:
         F.count("*").alias("entry_count"), F.max_by("schema_version", F.when(F.col("schema_version").isNotNull(), F.col("line"))).alias("gold_schema_version")
     )
     return files.join(counts, F.col("path") == F.col("file"), "left").select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_hash"),
+        "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_hash"),
         F.coalesce("entry_count", F.lit(0)).alias("entry_count"),
         F.coalesce("gold_schema_version", F.lit("unknown")).alias("gold_schema_version"), F.lit("none").alias("normalization_policy"),
     )

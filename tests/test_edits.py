@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from claimloom.operators import corrections as E, review as W
+from claimloom.operators.review import with_record_hash
 from claimloom.plans.standins import PARSER
 from claimloom.schemas import DECISION, RECORD
 
@@ -74,6 +77,20 @@ def test_operations_replay_in_order(spark):
     assert [x.error for x in replay.collect()] == ["index out of range"]
 
 
+def test_package_errors_inside_a_batch(spark):
+    r = records(spark, record("r1", "needs_review"), record("r2", "needs_review"))
+    ops = spark.createDataFrame([
+        op(1, "r1", "confirm"), op(2, "r1", "confirm", package="q"), op(3, "r9", "confirm", package="u"), op(4, "r2", "confirm", package="v"),
+    ], OP)
+    subs = spark.createDataFrame([(p, "ann", "ann") for p in "pquvv"], SUB)
+    hashes = with_record_hash(r).select(F.lit("p").alias("package_id"), "document_id", "reaction_id", "record_hash")
+    changed, _, errors = E.apply_operations(r, ops, subs, PARSER, base_hashes=hashes)
+    assert [x.reaction_id for x in changed.collect()] == ["r1"]
+    assert {(x.package_id, x.error) for x in errors.collect()} == {
+        ("q", "version conflict"), ("u", "unknown reaction"), ("v", "duplicate submission"),
+    }
+
+
 def decision(n, kind, conclusion, target="r1", record_hash="h"):
     return ("d", n, f"d{n}", "r1", kind, target, conclusion, "r", "ann", record_hash, "t")
 

@@ -5,9 +5,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as X, variants as V
+from claimloom.functions.text import plain_number
 from claimloom.operators import answers as N, fulfil as U, pages as D, tasks as J
-from claimloom.operators.fulfil import RetryableError
-from claimloom.sources import lines as L, sinks as O
+from claimloom.sources import files as S, lines as L, sinks as O
 from claimloom.schemas import EVIDENCE
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,19 +91,29 @@ def test_optional_table(spark, tmp_path):
     assert O.read_table_or_empty(spark, str(tmp_path / "none"), EVIDENCE).count() == 0
 
 
-def flaky(task):
-    if task["task_id"] == "b":
-        raise RetryableError("busy")
+def picky(task):
     if task["task_id"] == "c":
         raise KeyError("x")
     return "ok"
 
 
-def no_wait(seconds):
-    return None
-
-
 def test_failed_tasks_come_back(spark):
     df = spark.createDataFrame([("d", i, "text", "go") for i in "abc"], "document_id string, task_id string, kind string, instructions string")
-    rows = {r.task_id: r for r in U.fulfil_tasks(df, flaky, 2, wait=no_wait).collect()}
-    assert rows["a"].answer == "ok" and rows["b"].attempts == 3 and rows["b"].error == "busy" and rows["c"].attempts == 1
+    rows = {r.task_id: r for r in U.fulfil_tasks(df, picky).collect()}
+    assert rows["a"].answer == "ok" and rows["b"].error is None and rows["c"].answer is None and "KeyError" in rows["c"].error
+
+
+def test_repeated_json_key_keeps_the_last_value(spark):
+    good, errors = L.parse_json_lines(spark.createDataFrame([(1, '{"a":1,"a":2}')], "line long, value string"))
+    assert good.select(F.try_variant_get("value", F.lit("$.a"), "int")).first()[0] == 2 and errors.count() == 0
+
+
+@pytest.mark.parametrize("value, shown", [(25.0, "25"), (2.5, "2.5"), (1e30, "1.0E30"), (1e-9, "1.0E-9"), (0.0, "0"), (None, None)])
+def test_plain_numbers(spark, value, shown):
+    assert spark.createDataFrame([(value,)], "x double").select(plain_number("x")).first()[0] == shown
+
+
+def test_assets_outside_the_layout_folder(spark):
+    layout = spark.createDataFrame([("d", "e", "/d/auto/l.json", "../img/./a.png")], "document_id string, evidence_id string, source_path string, img_path string")
+    files = spark.createDataFrame([("/d/img/a.png",)], "path string")
+    assert S.resolve_assets(layout, files).first().asset_path == "/d/img/a.png"
