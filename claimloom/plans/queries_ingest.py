@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import answers as N, contract as K, pages as D, tasks as J
+from ..operators import answers as N, contract as K, pages as D, run as X, tasks as J
 from ..schemas import EVIDENCE, RECORD
 from ..sources import files as S, lines as L, sinks as O
 from ..staging import new_path
@@ -147,6 +147,48 @@ def _(spark, d):
     )
 
 
+# --- the whole chain ------------------------------------------------------------
+
+def given_answers(tasks):
+    """Answers of this query's text tasks, one reaction each, from the length of the text; other tasks wait."""
+    n = F.length("assets.text")
+    product = F.concat(T.text('{"label":"b', n % 3, '"'), F.when(n % 3 == 0, ',"smiles":"P"').otherwise(""), F.lit("}"))
+    body = T.text('{"reactions":[{"reactants":[{"label":"a', n % 7, '","smiles":"R"}],"products":[', product, '],"confidence":0.9}]}')
+    return tasks.filter("kind = 'text'").select("document_id", "task_id", body.alias("answer"))
+
+
+def chain(spark, d):
+    plain = T.load(spark, d, "documents").select(T.text("doc-", F.col("doc_id")).alias("document_id"), F.col("text").alias("markdown"))
+    return X.run_documents(T.page_documents(spark, d).unionByName(plain), given_answers, T.PARSER)
+
+
+CHAIN = f"""
+WITH docs AS (SELECT 'conv-'||conv_id||'-'||(turn//100) AS document_id, 'text-p'||(turn+1) AS ev, {TRIM.format(PAGE)} AS content FROM conversations
+ UNION ALL SELECT 'doc-'||doc_id, 'text-document', text FROM documents),
+parts AS (SELECT document_id, ev, content, unnest(range(0, ceil(length(content)/50000.0)::INTEGER)) AS i FROM docs WHERE {TRIM.format('content')}<>''),
+cnd AS (SELECT document_id, ev, length(substr(content, i*50000+1, 50000)) AS n FROM parts),
+grp AS (SELECT document_id, n%7 AS a, n%3 AS b, count(*) AS n_candidates, count(DISTINCT ev) AS n_evidence FROM cnd GROUP BY ALL)
+"""
+
+
+@query("run_documents", None, CHAIN + """
+SELECT d.document_id, count(g.a) AS records_count, count(*) FILTER (g.b<>0) AS review_count,
+ CASE WHEN count(g.a)=0 THEN 'completed_empty' WHEN count(*) FILTER (g.b<>0)>0 THEN 'partial' ELSE 'success' END AS status
+FROM (SELECT DISTINCT document_id FROM docs) d LEFT JOIN grp g ON g.document_id=d.document_id GROUP BY d.document_id""")
+def _(spark, d):
+    return chain(spark, d).status
+
+
+@query("run_records", None, CHAIN + """
+SELECT document_id, 'a'||a AS reactant, 'b'||b AS product, n_candidates, n_evidence, CASE WHEN b=0 THEN 'accepted' ELSE 'needs_review' END AS review_status FROM grp""")
+def _(spark, d):
+    rows = chain(spark, d).assembly.records
+    return rows.select(
+        "document_id", F.col("sig_reactants")[0].alias("reactant"), F.col("sig_products")[0].alias("product"),
+        "n_candidates", F.col("n_evidence").cast("bigint").alias("n_evidence"), "review_status",
+    )
+
+
 # --- answers --------------------------------------------------------------------
 
 ANSWERED = """
