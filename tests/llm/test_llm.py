@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from check import TABLES, rows_of
 from claimloom.llm import (
-    common, decontamination, itq_neardup, language_id, license_scan, registry, rlz_dedup, secret_scan, sentencepiece_sampling,
+    common, decontamination, itq_neardup, language_id, license_scan, near_copies, registry, rlz_dedup, secret_scan, sentencepiece_sampling,
     simhash_neardup, toxicity, warc,
 )
 
@@ -417,6 +417,42 @@ def test_keep_one(spark):
     assert all(len(g) == 1 for g in same[0])
 
 
+def test_near_copies_match_brute_force(spark):
+    """The stage's groups are those of exact Jaccard similarity, also where fingerprints are more than 3 bits apart."""
+    docs = duckdb.connect().execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    rows = [(d, t) for d, t in docs if len(t or "") < 20_000] + [(r.doc_id and r.doc_id + 10_000, r.text) for r in awkward(spark).collect() if len(r.text or "") < 20_000]
+    random = np.random.default_rng(5)
+    for k in range(60):  # a chain: each text is the last one with some words replaced
+        words = [x if i != 7 * k % 60 else f"u{k}" for i, x in enumerate(words)] if k else [f"v{int(x)}" for x in random.integers(1 << 30, size=60)]
+        rows.append((20_000 + k, " ".join(words)))
+    rows += [(30_000 + k, f"{' '.join(f'c{i}' for i in range(40))} {k} {k + 1}") for k in range(80)]
+    sets = []
+    for _, t in rows:
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    held, both = collections.defaultdict(list), collections.Counter()
+    for k, s in enumerate(sets):
+        for g in s:
+            both.update((j, k) for j in held[g])
+            held[g].append(k)
+    links = [p for p, c in both.items() if c / (len(sets[p[0]]) + len(sets[p[1]]) - c) >= 0.8]
+    bare = [k for k, s in enumerate(sets) if not s]
+    forest = common.Forest()
+    for a, b in links + [(bare[0], k) for k in bare]:
+        forest.join(a, b)
+    groups = collections.defaultdict(list)
+    for k in range(len(rows)):
+        groups[forest.root(k)].append(k)
+    want = collections.Counter()
+    for g in groups.values():
+        low = min((rows[k][0] for k in g if rows[k][0] is not None), default=None)
+        want.update((rows[k][0], low) for k in g)
+    got = near_copies.near_copies(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == want
+    kept = {r.doc_id for r in simhash_neardup.keep_one(frame(spark, rows[: len(docs)])).collect()}
+    assert 2 in kept and not {56, 944, 875, 770} & kept
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(1000, 1001), (5, 5)], "a long, b long"))
     got = {r.node: r.root for r in common.components(edges).collect()}
