@@ -23,10 +23,15 @@ MIN_VALUE = 6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+# The keyword may be part of an identifier (DB_PASSWORD, secret_key, clientSecretValue); the value is searched apart, so
+# that a keyword taken as a value (auth: Bearer ...) opens a context of its own.
 CONTEXT = re.compile(
-    r"""\b(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|access[_-]?key|client[_-]?secret|bearer)"""
-    r"""["']?\x20{0,4}(?:[:=]>?|\x20is\x20|\x20was\x20|->|\x20)\x20{0,4}["']?([^\s"'<>,;|]+)""", re.IGNORECASE | re.ASCII,
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"""
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|access[_-]?key|client[_-]?secret|bearer)"""
+    r"""(?:(?:[_-][A-Za-z0-9_-]{0,40}|[0-9]{1,4}|(?-i:(?<=[a-z])[A-Z][A-Za-z0-9_-]{0,40}))?["']?"""
+    r"""(?:\x20{0,4}(?:[:=]>?|->)|\x20{1,4}(?:is|was)(?:\x20{0,4}[:=]|\x20))|["']?\x20)\x20{0,8}["']?(?=[^\s"'<>,;|])""", re.IGNORECASE | re.ASCII,
 )
+VALUE = re.compile(r"""[^\s"'<>,;|]+""", re.ASCII)
 CUES = ("pass", "pwd", "secret", "token", "api_key", "apikey", "api-key", "credential", "auth", "_key", "-key", "ekey", "skey", "bearer")
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -138,15 +143,20 @@ def find(text: str, cost: GuessCost, min_guesses: float = MIN_GUESSES) -> list[t
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 8:
                 out.append((m.start(), 0, m.end(), cost(m.group(2))))
-        taken = set()
+        start = end = hidden = 0  # the last value as it stands in the text, and where the last span ends
         for m in CONTEXT.finditer(text):
-            value = m.group(2).rstrip(".:!?)")
-            if len(value) < MIN_VALUE or m.start(2) in taken:
+            if m.end() < hidden:
+                continue
+            if not start < m.end() < end:
+                end = VALUE.match(text, m.end()).end()
+            start = m.end()
+            value = text[start:end].rstrip(".:!?)")
+            if len(value) < MIN_VALUE:
                 continue
-            taken.add(m.start(2))
             guesses = cost(value)
-            if guesses >= min_guesses and (not value.isalpha() or "=" in m.group()[: m.start(2) - m.start()] or ":" in m.group()[: m.start(2) - m.start()]):
-                out.append((m.start(2), 3, m.start(2) + len(value), guesses))
+            if guesses >= min_guesses and (not value.isalpha() or "=" in m.group() or ":" in m.group()):
+                hidden = start + len(value)
+                out.append((start, 3, hidden, guesses))
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), math.nan) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end(), math.nan) for m in HEX.finditer(text)]

@@ -178,6 +178,24 @@ def test_guess_cost_orders_values_and_is_the_least_over_segmentations():
     assert [("assign", "guess")[s[1] == 3] for s in spans] == ["guess", "assign"]
 
 
+def test_secrets_in_identifiers_and_behind_other_keywords():
+    cost, key = secret_scan.GuessCost(), "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzKEYQ9s1"
+    values = {
+        f"AWS_SECRET_ACCESS_KEY={key}": key, 'SECRET_KEY = "dj4ng0-x9!Qz7LmPw2"': "dj4ng0-x9!Qz7LmPw2", "DB_PASSWORD=Xy7#pQ9z!wRt5": "Xy7#pQ9z!wRt5",
+        "DB_PWD=Xy7#pQ9z!wRt5": "Xy7#pQ9z!wRt5", "db_passphrase: Xy7#pQ9z!wRt5": "Xy7#pQ9z!wRt5", "my_password=p@ssQ9z!w%k3": "p@ssQ9z!w%k3",
+        "password is: Xy7#pQ9z!w": "Xy7#pQ9z!w", "auth: Bearer eyJhbGciOi.J9x2Qz": "eyJhbGciOi.J9x2Qz", "dbPasswordValue: Xy7#pQ9z!wRt5": "Xy7#pQ9z!wRt5",
+        "the token was Xy7#pQ9z!wRt5": "Xy7#pQ9z!wRt5", "password secret=Xy7#pQ9z!wRt5": "Xy7#pQ9z!wRt5",
+    }
+    for text, value in values.items():
+        text = f"x {text} y"
+        assert value not in (out := secret_scan.redact(text, secret_scan.find(text, cost))) and out.endswith(" y"), out
+        assert not any(part in out for part in value.split("!") if len(part) > 3), out
+    for text in ("authors: Papadopoulos-Smith1987", "tokenizer = SentencePieceUnigram", "DB_PASSWORD=changeme", "passages: Xy7pQ9zwRt5aa"):
+        assert not [s for s in secret_scan.find(text, cost) if s[1] == 3], text
+    long = "token=" * 200_000  # no time that grows with the square
+    assert secret_scan.find(long, lambda v: 99.0)[-1][2] == len(long)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, [(1, 'a token = "abcdefgh12345678" b'), (2, None), (3, "clean")])
     out = secret_scan.redacted(docs)
