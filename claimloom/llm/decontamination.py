@@ -5,12 +5,14 @@ shorter item is one shingle). A document window has as many words as an item. On
 shingle with the item, at that shingle's place in it, can reach the threshold, so these alone are fingerprinted:
 one lookup per word finds them. Their fingerprints go through a multi-index of ``RADIUS + 1`` Hamming blocks over the item
 fingerprints, which holds every item within ``RADIUS`` bits (pigeonhole). What it returns is verified by the
-exact weighted Jaccard similarity of the shingle multisets; a shingle that k items hold weighs 1 / (1 + ln k).
+exact weighted Jaccard similarity of the shingle multisets; a shingle that k items of the whole benchmark hold weighs
+1 / (1 + ln k).
 
 RADIUS is wide on purpose: windows at the threshold of 0.8 differ in about 10 of 64 bits, with a standard
 deviation of 3, so 24 bits leave out next to nothing (less than one in a million at the threshold).
 
-Items are taken in blocks of bounded size; each block is one pass over the documents, without a shuffle.
+Items are taken in blocks of bounded size; each block is one pass over the documents, without a shuffle. Between passes
+the documents are written with the matches so far.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from claimloom.staging import staged
+
 from .common import BREAK, RADIX, SECOND, Powers, Rolling, Words, load, text_slices
 
 SHINGLE = 5
@@ -41,31 +45,50 @@ def _fingerprints(hashes: np.ndarray, weights: np.ndarray, start: np.ndarray, en
     return np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def _grams(text: str | None, letters: Powers, powers: Powers) -> tuple[int, int, list[int]]:
+    """Words of an item, words of its shingles, and their hashes in order."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+    words = Words(raw, np.array([0, len(raw)]), lower=True, breaks=BREAK)
+    n = len(words.start)
+    size = min(SHINGLE, n)
+    at = np.arange(n - size + 1 if n else 0)
+    return n, size, Rolling(words.hashes(letters), powers)(at, at + size).tolist()
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(gram) of items (text): a row per item and distinct shingle."""
+    def run(batches):
+        letters, powers = Powers(RADIX), Powers(SECOND)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                grams = np.array(sorted(set(_grams(text, letters, powers)[2])), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
+
+    return items.mapInArrow(run, "gram long")
+
+
 class ItemIndex:
     """Shingles, places and fingerprints of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY, held: tuple[np.ndarray, np.ndarray] | None = None):
+        """``held``: shingles that several items of the whole benchmark hold, sorted, and how many (None: this block is all)."""
         self.radius, self.similarity = radius, similarity
         letters, powers = Powers(RADIX), Powers(SECOND)
         self.ids, self.lengths, self.sets = [], [], []
         places: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        held: Counter = Counter()
+        here: Counter = Counter()
         for item_id, text in items:
-            raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
-            words = Words(raw, np.array([0, len(raw)]), lower=True, breaks=BREAK)
-            n = len(words.start)
+            n, size, grams = _grams(text, letters, powers)
             if not n:
                 continue
-            size = min(SHINGLE, n)
-            at = np.arange(n - size + 1)
-            grams = Rolling(words.hashes(letters), powers)(at, at + size).tolist()
             for offset, g in enumerate(grams):
                 places.setdefault(size, {}).setdefault(g, []).append((len(self.ids), offset))
             self.ids.append(item_id)
             self.lengths.append(n)
             self.sets.append(Counter(grams))
-            held.update(set(grams))
-        self.weight = {g: 1 / (1 + math.log(k)) for g, k in held.items()}
+            here.update(set(grams))
+        self.held = held
+        self.weight = {g: 1 / (1 + math.log(k if held is None else self._holders(g))) for g, k in here.items()}
         self.tables = {}
         for size, found in places.items():
             keys = np.array(sorted(found), dtype=np.uint64)
@@ -86,8 +109,18 @@ class ItemIndex:
             values = (self.prints >> np.uint64(low)) & mask
             self.blocks.append((np.uint64(low), mask, [np.flatnonzero(values == v) for v in range(int(mask) + 1)]))
 
+    def _holders(self, gram: int) -> int:
+        grams, counts = self.held
+        i = int(np.searchsorted(grams, np.uint64(gram)))
+        return int(counts[i]) if i < len(grams) and grams[i] == gram else 1
+
+    def weigh(self, gram: int) -> float:
+        """A shingle that only items of other blocks hold weighs by these."""
+        weight = self.weight.get(gram)
+        return weight if weight is not None else 1.0 if self.held is None else 1 / (1 + math.log(self._holders(gram)))
+
     def weights(self, grams: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(g, 1.0) for g in grams.tolist()], dtype=np.float32)
+        return np.array([self.weigh(g) for g in grams.tolist()], dtype=np.float32)
 
     def near(self, fingerprint: np.uint64) -> np.ndarray:
         """Items within the radius, by way of the blocks."""
@@ -142,7 +175,7 @@ class ItemIndex:
             if not len(near):
                 continue
             mine = Counter(grams[a : b - size + 1].tolist())
-            mass = sum(c * self.weight.get(g, 1.0) for g, c in mine.items())
+            mass = sum(c * self.weigh(g) for g, c in mine.items())
             for item in near.tolist():
                 if min(SHINGLE, self.lengths[item]) != size:
                     continue
@@ -182,14 +215,22 @@ def contamination(
     cols = [c for c in docs.columns if c != column]
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(item_text_col)), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64(item_id_col, item_text_col), F.lit(blocks))
+    block = F.pmod(F.xxhash64(item_id_col, item_text_col), F.lit(blocks)).alias("block")
+    slim = items.select(block, F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     kinds = [docs.schema[c].dataType.simpleString() for c in cols]
     schema = ", ".join([f"m {MATCHES}", "t string", *(f"c{i} {k}" for i, k in enumerate(kinds))])
     out = docs.select(F.lit(None).cast(MATCHES).alias("m"), F.col(text_col).cast("string").alias("t"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
+    held = None
+    if blocks > 1:  # a shingle weighs by all items that hold it, whichever block they are in
+        table = _item_grams(slim.select("text")).groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").toArrow()
+        grams, counts = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+        held = grams[order := np.argsort(grams)], counts[order]
     for b in range(blocks):
-        rows = items.filter(block == b).select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).collect()
-        index = ItemIndex([(r.id, r.text) for r in sorted(rows, key=lambda r: (r.id is None, r.id or 0, r.text or ""))], radius, similarity)
+        rows = slim.filter(F.col("block") == b).select("id", "text").collect()
+        index = ItemIndex([(r.id, r.text) for r in sorted(rows, key=lambda r: (r.id is None, r.id or 0, r.text or ""))], radius, similarity, held)
         out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        if b < blocks - 1:  # written, so that a task holds the index of one block only
+            out = staged(out, "block_matches")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols)), F.coalesce("m", F.array().cast(MATCHES)).alias(column))
 
 

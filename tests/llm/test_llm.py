@@ -523,6 +523,23 @@ def test_item_blocks_change_nothing(spark, monkeypatch):
     assert key(whole) == key(decontamination.contamination(docs, items).collect())
 
 
+def test_item_blocks_keep_weights(spark, monkeypatch):
+    """Items that share shingles across blocks weigh these by all items: equal similarities, near the threshold too."""
+    common_part = " ".join(f"shared{i}" for i in range(12))
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(30))
+    twin = lambda k: " ".join(f"twin{k}x{i}" for i in range(9))
+    alone = lambda k: [f"alone{k}x{i}" for i in range(80)]
+    items = [(k, f"{common_part} {own(k)}") for k in range(20)] + [(100 + k, " ".join(alone(k))) for k in range(20)]
+    items = spark.createDataFrame(items + [(200 + k, f"{twin(k // 2)} {own(50 + k)}") for k in range(40)], "item_id long, text string")
+    docs = [(100 * k + cut, f"{' '.join(f'other{i}' for i in range(cut))} {' '.join(common_part.split()[cut:])} {own(k)}") for k in range(20) for cut in range(9)]
+    docs += [(9000 + k, " ".join(alone(k)[:71] + [twin(k)])) for k in range(20)]  # what takes the place of nine words, only other items hold
+    key = lambda found: sorted((r.doc_id, m.item_id, m.start, m.end, round(m.similarity, 9)) for r in found.collect() for m in r.matches)
+    whole = key(decontamination.contamination(frame(spark, docs), items))
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
+    assert whole == key(decontamination.contamination(frame(spark, docs), items)) and len(whole) > 20
+    assert {r[0] for r in whole} >= {9000 + k for k in range(20)}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------
 
 
