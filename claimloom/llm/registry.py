@@ -1,7 +1,8 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
 from . import (
-    decontamination, itq_neardup, language_id, license_scan, rlz_dedup, secret_scan, sentencepiece_sampling, simhash_neardup, toxicity, warc,
+    centroid_clustering, decontamination, itq_neardup, language_id, license_scan, quality_rules, rlz_dedup, secret_scan, sentencepiece_sampling, simhash_neardup, toxicity, warc,
+    whitening,
 )
 
 QUERIES = {
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_rlz_dedup": rlz_dedup.query,
     "op9_simhash_bktree": simhash_neardup.query,
     "op10_decontamination": decontamination.query,
+    "op11_centroid_clustering": centroid_clustering.query,
+    "op12_whitening": whitening.query,
+    "op13_quality_rules": quality_rules.query,
 }
 
 ORACLE = {
@@ -22,4 +26,6 @@ ORACLE = {
     "op2_warc_transactions": warc.SQL,
     "op3_itq_neardup": itq_neardup.SQL,
     "op8_rlz_dedup": rlz_dedup.SQL,
+    "op11_centroid_clustering": centroid_clustering.SQL,
+    "op13_quality_rules": quality_rules.SQL,
 }
