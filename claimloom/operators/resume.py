@@ -9,7 +9,9 @@ same files. One resume runs at a time. Pick ``buckets`` so that one bucket is so
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructType
 
+from ..schemas import STRUCTURE_DICTIONARY
 from ..sources.files import file_digests, read_files
 from ..sources.lines import PRODUCER_DDL, read_submissions
 from ..sources.sinks import read_table_or_empty
@@ -22,9 +24,7 @@ from .submissions import apply_candidate_submissions, submission_report
 
 TASK = ["document_id", "task_id"]
 FILES = "file string, sha256 string"
-SUBMISSIONS = f"document_id string, task_id string, producer struct<{PRODUCER_DDL}>, outputs variant, ord bigint"
 STATE = f"document_id string, task_id string, kind string, status string, submission_hash string, producer struct<{PRODUCER_DDL}>"
-OUTPUTS = ("records", "evidence", "issues")
 LINE_BITS = 40
 
 
@@ -37,9 +37,13 @@ class Store:
     def bucket(self, key: str = "document_id") -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """A table without its bucket column; with ``buckets`` only their files."""
-        rows = self.spark.read.parquet(f"{self.path}/{name}")
+    def read(self, name: str, buckets: list[int] | None = None, like: StructType | None = None) -> DataFrame:
+        """A table without its bucket column; with ``buckets`` only their files. A table that no resume has written
+        yet is empty, with the columns of ``like``."""
+        if like is None:
+            rows = self.spark.read.parquet(f"{self.path}/{name}")
+        else:
+            rows = read_table_or_empty(self.spark, f"{self.path}/{name}", StructType([f for f in like.fields if f.name != "bucket"]).add("bucket", IntegerType()))
         return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
 
     def write(self, name: str, rows: DataFrame, buckets: list[int], key: str = "document_id") -> None:
@@ -65,19 +69,7 @@ def start(spark: SparkSession, path: str, tasks: DataFrame, buckets: int = 64) -
     """A new store of ``tasks`` (document_id, task_id, kind, evidence_ids), all of them waiting for an answer."""
     store = Store(spark, path, buckets)
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/settings")
-    tasks = tasks.select(*TASK, "kind", "evidence_ids")
-    none = apply_candidate_submissions(tasks.limit(0), spark.createDataFrame([], STATE), spark.createDataFrame([], SUBMISSIONS))
-    candidates, structures = _accepted(none)
-    dictionary = structure_dictionary(structures, {n: lambda c: c for n in ("iso", "noniso")} | {"n_unspecified": lambda c: F.lit(0)})
-    assembly = assemble(candidates, canonicalise(structures, dictionary), dictionary)
-    empty = {
-        "state": spark.createDataFrame([], STATE), "candidates": candidates, "structures": structures, "records": assembly.records,
-        "evidence": record_evidence_ids(assembly), "issues": attach_issues(assembly),
-    }
-    for name, rows in empty.items():
-        store.write(name, spark.createDataFrame([], rows.schema), [0])
-    store.write("dictionary", spark.createDataFrame([], dictionary.schema), [0], key="raw")
-    store.write("tasks", tasks, [0])
+    store.write("tasks", tasks.select(*TASK, "kind", "evidence_ids"), [0])
     return store
 
 
@@ -98,6 +90,10 @@ class Resumed:
     parsed: int
 
 
+def _schema(spark: SparkSession, ddl: str) -> StructType:
+    return spark.createDataFrame([], ddl).schema
+
+
 def _same_form(path) -> Column:
     """Both readers' spelling of a local path as one."""
     return F.regexp_replace(path, "^file:/+", "file:///")
@@ -108,12 +104,12 @@ def _new_texts(store: Store, candidates: DataFrame, structures: DataFrame, parse
     texts = structures.select("smiles").unionByName(candidates.select(F.explode(F.concat("reactants.smiles", "products.smiles")).alias("smiles")))
     texts = staged(texts.filter("smiles IS NOT NULL").distinct().withColumn("bucket", store.bucket("smiles")), "texts")
     met = [r.bucket for r in texts.select("bucket").distinct().collect()]  # at most the number of buckets
-    known = store.read("dictionary", met)
+    known = store.read("dictionary", met, like=STRUCTURE_DICTIONARY)
     fresh = staged(structure_dictionary(texts.join(known, texts.smiles == known.raw, "left_anti"), parser), "parsed")
     count = fresh.count()
     if count:
         fresh.select(*known.columns, store.bucket("raw")).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{store.path}/dictionary")
-    return store.read("dictionary", met), count
+    return store.read("dictionary", met, like=STRUCTURE_DICTIONARY), count
 
 
 def resume_documents(store: Store, path: str, parser: Parser, force: bool = False, wait: bool = True) -> Resumed:
@@ -124,7 +120,7 @@ def resume_documents(store: Store, path: str, parser: Parser, force: bool = Fals
     conflict, or replaces it with ``force``. With ``wait`` a document has records only once none of its tasks waits.
     """
     spark = store.spark
-    ledger = read_table_or_empty(spark, f"{store.path}/files", spark.createDataFrame([], FILES).schema)
+    ledger = read_table_or_empty(spark, f"{store.path}/files", _schema(spark, FILES))
     digests = staged(file_digests(read_files(spark, path), ledger).withColumn("file", _same_form("path")), "digests")
     fresh = [r.path for r in digests.filter("status = 'applied'").select("path").orderBy("path").collect()]  # names, as Spark's own list of files holds
     if not fresh:
@@ -142,7 +138,7 @@ def resume_documents(store: Store, path: str, parser: Parser, force: bool = Fals
     answers = staged(taken.select(*TASK, "producer", "outputs", place.alias("ord"), store.bucket()), "answers")
     met = [r.bucket for r in answers.select("bucket").distinct().collect()]
 
-    tasks, state = store.read("tasks", met), store.read("state", met)
+    tasks, state = store.read("tasks", met), store.read("state", met, like=_schema(spark, STATE))
     applied = apply_candidate_submissions(tasks, state, answers.drop("bucket"), force)
     statuses = staged(applied.statuses, "statuses")
     done = statuses.filter(F.col("result").isin("applied", "superseded"))
@@ -156,7 +152,7 @@ def resume_documents(store: Store, path: str, parser: Parser, force: bool = Fals
     if buckets:
         kept = []
         for name, rows in zip(("candidates", "structures"), _accepted(applied)):
-            earlier = store.read(name, buckets).join(answered, TASK, "left_anti")
+            earlier = store.read(name, buckets, like=rows.schema).join(answered, TASK, "left_anti")
             kept.append(staged(earlier.unionByName(rows), name))
         ready = changed
         if wait:
@@ -168,7 +164,7 @@ def resume_documents(store: Store, path: str, parser: Parser, force: bool = Fals
         assembly = replace(assembly, records=staged(assembly.records, "records"))
         made = {"records": assembly.records, "evidence": record_evidence_ids(assembly), "issues": attach_issues(assembly)}
         for name, rows in made.items():
-            others = store.read(name, buckets).join(changed, "document_id", "left_anti")
+            others = store.read(name, buckets, like=rows.schema).join(changed, "document_id", "left_anti")
             store.write(name, others.unionByName(rows), buckets)
         for name, rows in zip(("candidates", "structures"), kept):
             store.write(name, rows, buckets)
@@ -192,10 +188,14 @@ def resume_documents(store: Store, path: str, parser: Parser, force: bool = Fals
     return Resumed(statuses, files, errors, staged(board, "board"), sorted(buckets), parsed)
 
 
+def task_state(store: Store) -> DataFrame:
+    return store.read("state", like=_schema(store.spark, STATE))
+
+
 def document_status(store: Store) -> DataFrame:
     """Per document: tasks waiting and answered, records, records to review, and the status of the run."""
-    board = submission_report(store.read("tasks"), store.read("state"))
-    counts = store.read("records").groupBy("document_id").agg(
+    board = submission_report(store.read("tasks"), task_state(store))
+    counts = store.read("records", like=_schema(store.spark, "document_id string, review_status string")).groupBy("document_id").agg(
         F.count("*").alias("records_count"), F.count_if(F.col("review_status") == "needs_review").alias("review_count")
     )
     n = lambda name: F.coalesce(name, F.lit(0)).alias(name)

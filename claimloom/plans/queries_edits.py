@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
-from ..operators import corrections as E, fulfil as U, provenance as P, submissions as B
+from ..operators import corrections as E, fulfil as U, provenance as P, resume as W, submissions as B
 from ..operators.review import with_record_hash
 from ..sources.sinks import submission_ledger
+from ..staging import new_path
 from . import standins as T
 from .views_sql import with_views
 
@@ -384,6 +385,53 @@ def _(spark, d):
     return B.submission_report(T.tasks(spark, d), T.task_state(spark, d))
 
 
+# --- runs that go on -------------------------------------------------------------
+# Orders are tasks of 200 documents. Two thirds of the answers come first, the others later in the same folder, with
+# the first files still there; answers of a thousandth of the tasks never come.
+
+def waves(spark, d):
+    k = F.col("o_orderkey")
+    orders = T.load(spark, d, "orders").select("o_orderkey")
+    tasks = orders.select(
+        T.text("doc-", k % 200).alias("document_id"), T.text("t", k).alias("task_id"), F.lit("text").alias("kind"), F.array(T.text("O", k)).alias("evidence_ids")
+    )
+    product = F.concat(T.text('{"label":"b', k % 3, '"'), F.when(k % 3 == 0, ',"smiles":"P"').otherwise(""), F.lit("}"))
+    output = T.text('{"reactants":[{"label":"a', k % 7, '","smiles":"R"}],"products":[', product, '],"confidence":0.9}')
+    line = T.text('{"document_id":"doc-', k % 200, '","task_id":"t', k, '","producer":{"kind":"human"},"outputs":[', output, "]}")
+    lines = orders.filter(k % 1000 != 7).select(k, line.alias("value"))
+    store, folder = W.start(spark, new_path(spark, "run"), tasks, buckets=16), new_path(spark, "answers")
+    runs = []
+    for later in (False, True):
+        chosen = lines.filter((k % 3 == 0) & (k % 200 < 60)) if later else lines.filter((k % 3 != 0) | (k % 200 >= 60))
+        chosen.select("value").write.mode("append").text(folder)
+        runs.append(W.resume_documents(store, folder, T.PARSER))
+    return store, runs
+
+
+@query("resume_documents", None, """
+WITH o AS (SELECT o_orderkey AS k FROM orders), late AS (SELECT DISTINCT k%200 AS d FROM o WHERE k%1000=7)
+SELECT 'doc-'||(k%200) AS document_id, 'a'||(k%7) AS reactant, 'b'||(k%3) AS product, count(*) AS n_candidates, count(*) AS n_evidence,
+ CASE WHEN k%3=0 THEN 'accepted' ELSE 'needs_review' END AS review_status FROM o WHERE k%200 NOT IN (SELECT d FROM late) GROUP BY k%200, k%7, k%3""")
+def _(spark, d):
+    store, _ = waves(spark, d)
+    return store.read("records").select(
+        "document_id", F.col("sig_reactants")[0].alias("reactant"), F.col("sig_products")[0].alias("product"), "n_candidates",
+        F.col("n_evidence").cast("bigint").alias("n_evidence"), "review_status",
+    )
+
+
+@query("resume_report", None, """
+SELECT 'doc-'||(k%200) AS document_id, count(*) FILTER (k%1000=7) AS awaiting, count(*) FILTER (k%1000<>7) AS fulfilled,
+ CASE WHEN count(*) FILTER (k%1000=7)>0 THEN 'awaiting_input' ELSE 'ready' END AS status, bool_or(k%3=0 AND k%200<60 AND k%1000<>7) AS later
+FROM (SELECT o_orderkey AS k FROM orders) GROUP BY k%200""")
+def _(spark, d):
+    """Open tasks of every document after the second wave, and whether that wave answered it."""
+    store, (_, second) = waves(spark, d)
+    board = B.submission_report(store.read("tasks"), W.task_state(store))
+    met = second.statuses.filter("result = 'applied'").select("document_id").distinct().withColumn("later", F.lit(True))
+    return board.join(met, "document_id", "left").withColumn("later", F.coalesce("later", F.lit(False)))
+
+
 # --- provenance and services ----------------------------------------------------
 
 MODELS = {"text": ("m-text", "http://models"), "table": ("m-vision", "http://models"), "structure": ("m-vision", "http://models"), "adjudication": ("m-reason", "http://models")}

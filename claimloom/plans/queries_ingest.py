@@ -552,13 +552,28 @@ def _(spark, d):
     return run_to_table(spark, stream, "arrived").groupBy("document_id", "task_id", "error").agg(F.count("*").alias("n"))
 
 
+@query("submission_stream_errors", None, """
+SELECT o_orderkey AS k, 'invalid JSON' AS error, true AS same FROM orders WHERE o_orderkey%40=0""")
+def _(spark, d):
+    """Error lines of the stream, found again by file and line in a plain read of the folder."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 40 == 0, T.text('{"broken ', k)).when(k % 7 == 0, " ").otherwise(T.text('{"task_id":"t', k, '"}'))
+    path, target, checkpoint = (new_path(spark, n) for n in ("stream", "taken", "taken-state"))
+    T.load(spark, d, "orders").select(value.alias("value")).repartition(4, "value").write.text(path)
+    Z.take_submissions(spark, path, target, checkpoint, files_per_trigger=2).awaitTermination()
+    errors = spark.read.parquet(f"{target}/errors").select("file", "line", "error")
+    found = errors.join(L.read_lines(spark, path), ["file", "line"], "left")
+    number = F.regexp_extract("value", r"broken (\d+)", 1)
+    return found.select(number.cast("bigint").alias("k"), "error", (F.length(number) > 0).alias("same"))
+
+
 @query("dedup_submissions", None, """
 SELECT 'doc-'||(o_orderkey%5000%10) AS document_id, 't'||(o_orderkey%5000//10) AS task_id, count(DISTINCT o_orderkey%2) AS n FROM orders WHERE o_orderkey%40<>0 GROUP BY ALL""")
 def _(spark, d):
+    path, state = new_path(spark, "deduplicated"), new_path(spark, "deduplicated-state")
     stream = Z.good_rows(Z.submission_stream(spark, stream_folder(spark, d), files_per_trigger=2))
-    ledger, state = new_path(spark, "deduplicated"), new_path(spark, "deduplicated-state")
-    Z.dedup_submissions(stream, ledger, state).awaitTermination()
-    return Z.read_ledger(spark, ledger).groupBy("document_id", "task_id").agg(F.count("*").alias("n"))
+    Z.dedup_submissions(stream, path, state).awaitTermination()
+    return spark.read.parquet(path).groupBy("document_id", "task_id").agg(F.count("*").alias("n"))
 
 
 @query("live_task_board", None, """
@@ -567,10 +582,12 @@ SELECT 'doc-'||(t.k%10) AS document_id, CASE WHEN t.k%2=0 THEN 'text' ELSE 'tabl
  count(*) FILTER (a.k IS NULL) AS awaiting, count(*) FILTER (a.k IS NOT NULL) AS fulfilled FROM t LEFT JOIN a ON a.k=t.k GROUP BY ALL""")
 def _(spark, d):
     k = F.col("o_orderkey") % 6000
-    tasks = T.load(spark, d, "orders").select(k.alias("k")).distinct().select(
+    tasks = T.load(spark, d, "orders").select(k.alias("k")).select(
         T.text("doc-", F.col("k") % 10).alias("document_id"), T.text("t", F.floor(F.col("k") / 10)).alias("task_id"), F.when(F.col("k") % 2 == 0, "text").otherwise("table").alias("kind")
     )
+    folder, board, state = (new_path(spark, n) for n in ("tasks", "board", "board-state"))
+    tasks.repartition(3, "task_id").write.parquet(folder)
     stream = Z.good_rows(Z.submission_stream(spark, stream_folder(spark, d), files_per_trigger=2))
-    ledger, board, state = (new_path(spark, n) for n in ("ledger", "board", "board-state"))
-    Z.live_task_board(stream, tasks, ledger, board, state).awaitTermination()
-    return Z.latest_board(spark, board).select("document_id", "kind", "awaiting", "fulfilled")
+    arriving = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    Z.live_task_board(stream, arriving, board, state, compact_every=2).awaitTermination()
+    return Z.latest_board(spark, board)
