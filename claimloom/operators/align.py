@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import content_hash
 from ..functions.text import compound_keys
+from ..staging import staged
 from .ranking import long_block, number_rows, union_all
 
 
@@ -31,7 +32,12 @@ def match_records(predicted: DataFrame, gold: DataFrame, block_bits: int = 20) -
     unused predicted row of a key with the k-th benchmark row whose id is unknown.
     Each row is used once.
     """
-    p, g = _slim(predicted), _slim(gold)
+    return match_keyed(staged(_slim(predicted), "predicted_keys"), staged(_slim(gold), "gold_keys"), block_bits)
+
+
+def match_keyed(p: DataFrame, g: DataFrame, block_bits: int = 20) -> DataFrame:
+    """``match_records`` of tables that have their reaction_key; both are read several times."""
+    p, g = (rows.select("document_id", "ord", "reaction_id", "reaction_key") for rows in (p, g))
     known = F.coalesce(F.col("reaction_id"), F.lit("")) != ""
     p_last = p.filter(known).groupBy("document_id", "reaction_id").agg(F.max("ord").alias("p_ord"))
     g_first = g.groupBy("document_id", "reaction_id").agg(F.min("ord").alias("g_ord"))
@@ -61,7 +67,7 @@ def align_gold(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     Only counts and first rows per id and key are needed, so every step is an
     aggregate with a fixed-size buffer or an equi join; no group is ever gathered.
     """
-    p, g = _slim(predicted), _slim(gold)
+    p, g = staged(_slim(predicted), "predicted_keys"), staged(_slim(gold), "gold_keys")
     id_cols, key_cols = ["document_id", "reaction_id"], ["document_id", "reaction_key"]
     p_first = p.groupBy(*id_cols).agg(F.min("ord").alias("p_ord"))
     g_ids = g.groupBy(*id_cols).agg(F.count("*").alias("n_same_id"), F.min("ord").alias("first_ord"))

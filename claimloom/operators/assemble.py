@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import content_hash, member_hash, stable_id
 from ..functions.text import empty_to_null, normalize_label, round4, signature_keys
 from ..staging import staged
-from .ranking import spread_key, union_all
+from .ranking import smallest_values, spread_key, union_all
 from .rules import (
-    blank_label_to_unlabelled, label_index, missing_parts, quoted_list, structure_rules,
+    blank_label_to_unlabelled, label_index, listed_text, missing_parts, structure_rules,
 )
 
 CONFLICT_FIELDS = ("temperature_c", "time", "yield_pct")
@@ -146,22 +146,23 @@ def compound_issues(resolved: DataFrame) -> DataFrame:
     )
 
 
-def field_conflicts(candidates: DataFrame) -> DataFrame:
-    """One A003 row per group and field with several values; values are made distinct first."""
+def conflict_values(candidates: DataFrame) -> DataFrame:
+    """Every distinct value of every field of a group, one row each: the flat form of conflicts, however many."""
     values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in CONFLICT_FIELDS])
+    rows = candidates.select("group_id", F.explode(values).alias("x")).select("group_id", "x.field", "x.v")
+    return rows.filter(F.col("v").isNotNull()).distinct()
+
+
+def field_conflicts(candidates: DataFrame) -> DataFrame:
+    """One A003 row per group and field with several values; its message names the first LISTED and counts the others."""
     firsts = candidates.groupBy("group_id").agg(
         F.first("document_id").alias("document_id"), F.min_by("candidate_id", "ord").alias("target_id")
     )
-    rows = candidates.select("group_id", F.explode(values).alias("x")).select("group_id", "x.field", "x.v")
-    distinct = rows.filter(F.col("v").isNotNull()).distinct()
-    listed = (
-        distinct.groupBy("group_id", "field").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-        .filter(F.size("vs") > 1)
-    )
+    listed = smallest_values(conflict_values(candidates), ["group_id", "field"], "v").filter("n > 1")
     return listed.join(firsts, "group_id").select(
         "group_id", "document_id", F.lit("A003_FIELD_CONFLICT").alias("code"), F.lit("warning").alias("severity"),
         "target_id",
-        F.concat(F.lit("Conflicting "), F.col("field"), F.lit(" values: "), quoted_list(F.col("vs"))).alias("message"),
+        F.concat(F.lit("Conflicting "), F.col("field"), F.lit(" values: "), listed_text("values", "n")).alias("message"),
         F.lit(40).alias("stage"),
         F.array_position(F.array(*[F.lit(f) for f in CONFLICT_FIELDS]), F.col("field")).alias("ord"),
     )
@@ -256,60 +257,89 @@ def record_evidence_ids(assembly: Assembly) -> DataFrame:
     return rows.select("document_id", "reaction_id", F.col("item").alias("evidence_id"), "place.ord", "place.i")
 
 
-def attach_issues(assembly: Assembly) -> DataFrame:
-    """All issues of all records, one row each, distinct on (code, target, message).
+def _place(assembly: Assembly, stage, candidate=None, pos=None, structure=None, n=None) -> Column:
+    """Where an issue stands in its record's list."""
+    none = F.lit(None)
+    return F.struct(
+        stage.cast("int").alias("stage"),
+        (none if candidate is None else candidate).cast(assembly.candidates.schema["ord"].dataType).alias("candidate"),
+        (none if pos is None else pos).cast("int").alias("pos"),
+        (none if structure is None else structure).cast(assembly.structures.schema["ord"].dataType).alias("structure"),
+        (none if n is None else n).cast("int").alias("n"),
+    ).alias("place")
 
-    Own issues of every candidate, then per compound its A-issue and the issues of
-    all parsed structures sharing the label, then field conflicts.
+
+ISSUE = ("code", "target_id", "message")
+
+
+@dataclass(frozen=True)
+class IssueLists:
+    """Issues without repetition: rows grow with records and structures, not with their product.
+
+    ``own``: issues of a record alone (group_id, document_id, code, severity, target_id, message, place). ``lists``:
+    issues that every record with a label shares, once per label (document_id, label_key, code, severity, target_id,
+    message, structure, n). ``uses``: which record has which label, and where first (group_id, document_id, label_key,
+    stage, pos). Codes of the two kinds differ and a structure has one label, so the parts never overlap.
     """
-    candidate_ord = assembly.candidates.schema["ord"].dataType
-    structure_ord = assembly.structures.schema["ord"].dataType
-
-    def place(stage, candidate=None, pos=None, structure=None, n=None):
-        none = F.lit(None)
-        return F.struct(
-            stage.cast("int").alias("stage"),
-            (none if candidate is None else candidate).cast(candidate_ord).alias("candidate"),
-            (none if pos is None else pos).cast("int").alias("pos"),
-            (none if structure is None else structure).cast(structure_ord).alias("structure"),
-            (none if n is None else n).cast("int").alias("n"),
-        ).alias("place")
-
-    gaps = F.size(missing_parts("reactants", "products", "evidence_ids")) > 0
-    own = assembly.candidates.filter(gaps).select(
-        "group_id", "document_id", F.col("candidate_id").alias("target_id"), "ord",
-        F.posexplode(missing_parts("reactants", "products", "evidence_ids")).alias("n", "i"),
+
+    own: DataFrame
+    lists: DataFrame
+    uses: DataFrame
+
+
+def issue_lists(assembly: Assembly) -> IssueLists:
+    parts = missing_parts("reactants", "products", "evidence_ids")
+    own = assembly.candidates.filter(F.size(parts) > 0).select(
+        "group_id", "document_id", F.col("candidate_id").alias("target_id"), "ord", F.posexplode(parts).alias("n", "i"),
     ).select(
         "group_id", "document_id", "i.code", "i.severity", "target_id", "i.message",
-        place(F.lit(10), candidate=F.col("ord"), n=F.col("n")),
+        _place(assembly, F.lit(10), candidate=F.col("ord"), n=F.col("n")),
     )
+
+    def placed(rows):
+        return rows.select("group_id", "document_id", "code", "severity", "target_id", "message", _place(assembly, F.col("stage"), pos=F.col("ord")))
+
+    own = union_all(own, placed(compound_issues(assembly.compounds)), placed(field_conflicts(assembly.candidates)))
+    own = own.groupBy("group_id", "document_id", *ISSUE).agg(F.min("place").alias("place"), F.max_by("severity", "place").alias("severity"))
     labelled = assembly.structures.filter(F.col("canonical").isNotNull()).select(
-        "document_id", F.col("candidate_id").alias("target_id"),
-        normalize_label("compound_label").alias("label_key"),
+        "document_id", F.col("candidate_id").alias("target_id"), normalize_label("compound_label").alias("label_key"),
     ).filter(F.col("label_key") != "")
     by_label = structure_rules(assembly.structures, parsed_only=True).join(labelled, ["document_id", "target_id"])
-    wanted = assembly.compounds.select("group_id", "document_id", "label_key", "side", "pos").filter(
-        F.col("label_key") != ""
-    )
-    shared = wanted.join(by_label, ["document_id", "label_key"]).select(
-        "group_id", "document_id", "code", "severity", "target_id", "message",
-        place(F.lit(21) + F.col("side") * 10, pos=F.col("pos"), structure=F.col("ord"), n=F.col("stage")),
-    )
+    lists = by_label.groupBy("document_id", "label_key", *ISSUE).agg(
+        F.min(F.struct("ord", "stage")).alias("_p"), F.max_by("severity", F.struct("ord", "stage")).alias("severity")
+    ).select("document_id", "label_key", *ISSUE, "severity", F.col("_p.ord").alias("structure"), F.col("_p.stage").alias("n"))
+    first = F.min(F.struct((F.lit(21) + F.col("side") * 10).alias("stage"), "pos"))
+    uses = assembly.compounds.filter(F.col("label_key") != "").groupBy("group_id", "document_id", "label_key").agg(first.alias("_f"))
+    return IssueLists(own, lists, uses.select("group_id", "document_id", "label_key", "_f.stage", "_f.pos"))
 
-    def placed(rows):
-        return rows.select(
-            "group_id", "document_id", "code", "severity", "target_id", "message",
-            place(F.col("stage"), pos=F.col("ord")),
-        )
 
-    everything = union_all(
-        own, placed(compound_issues(assembly.compounds)), shared, placed(field_conflicts(assembly.candidates))
+def attach_issues(assembly: Assembly) -> DataFrame:
+    """All issues of all records, one row each, distinct on (code, target, message).
+
+    Own issues of every candidate, then per compound its A-issue and the issues of
+    all parsed structures sharing the label, then field conflicts. This is the expanded view of ``issue_lists``: it
+    repeats a label's list in each of its records, by one join that nothing has to sort or make distinct afterwards.
+    """
+    parts, keys = issue_lists(assembly), record_keys(assembly)
+    own = parts.own.join(keys, "group_id")
+    shared = parts.uses.join(keys, "group_id").join(parts.lists, ["document_id", "label_key"]).withColumn(
+        "place", _place(assembly, F.col("stage"), pos=F.col("pos"), structure=F.col("structure"), n=F.col("n"))
     )
-    distinct = everything.groupBy("group_id", "document_id", "code", "target_id", "message").agg(
-        F.min("place").alias("place"), F.max_by("severity", "place").alias("severity")
+    columns = ["document_id", "reaction_id", "group_id", "code", "severity", "target_id", "message", "place"]
+    return own.select(*columns).unionByName(shared.select(*columns))
+
+
+def issue_counts(assembly: Assembly) -> DataFrame:
+    """Errors and warnings of every record, from the lists as they are: no list is expanded."""
+    parts = issue_lists(assembly)
+    count = lambda rows, *by: rows.groupBy(*by).agg(
+        F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")
     )
-    return distinct.join(record_keys(assembly), "group_id").select(
-        "document_id", "reaction_id", "group_id", "code", "severity", "target_id", "message", "place"
+    shared = parts.uses.join(count(parts.lists, "document_id", "label_key"), ["document_id", "label_key"]).select("group_id", "errors", "warnings")
+    every = count(parts.own, "group_id").unionByName(shared).groupBy("group_id").agg(F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"))
+    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return assembly.records.select("document_id", "reaction_id", "group_id").join(every, "group_id", "left").select(
+        "document_id", "reaction_id", zero("errors"), zero("warnings")
     )
 
 

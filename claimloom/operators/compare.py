@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import blank_to_null, participant_key, participant_ref, round4
-from .align import align_gold, match_records
+from ..staging import staged
+from .align import align_gold, match_keyed, reaction_key
 from .ranking import keep_first, keep_last, spread_key, union_all
 from .structures import comparison_level
 
@@ -145,15 +146,18 @@ def structure_pairs(predicted: DataFrame, gold: DataFrame, matches: DataFrame, b
     return matches.select(*ids, "p_ord", "g_ord").join(p, ids).join(g, ids)
 
 
-def evaluate(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, by=(), pairs: str = "id") -> DataFrame:
+def evaluate(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, by=(), pairs: str = "id", totals: bool = False) -> DataFrame:
     """Counts, precision, recall, yield accuracy, structure and stereo agreement.
 
-    Every contribution becomes a row of counters and one aggregate sums them, so the
-    final step sees one partial row per task.  ``by`` splits the report by columns
-    both tables carry.
+    Both inputs are scanned once, into tables of the columns that count, with their reaction keys. Every contribution
+    becomes a row of counters and one aggregate sums them, so the final step sees one partial row per task. ``by`` splits
+    the report by columns both tables carry; with ``totals`` the same aggregate also gives the rows of every shorter
+    prefix of ``by`` and of everything, the missing columns null.
     """
     by = list(by)
-    matches = match_records(predicted, gold)
+    columns = ["document_id", "ord", "reaction_id", "reaction_key", "yield_pct", "reactants", "products", *by]
+    predicted, gold = (staged(reaction_key(rows).select(*columns), name) for rows, name in ((predicted, "predicted"), (gold, "gold")))
+    matches = staged(match_keyed(predicted, gold), "matches")
     p = predicted.select(
         "document_id", F.col("ord").alias("p_ord"), F.col("yield_pct").alias("p_yield"), *by, _compounds("cs")
     )
@@ -179,7 +183,7 @@ def evaluate(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, by=()
             stereo_comparable=level.isin("identical", "stereo_only", "stereo_specificity_differs"),
         ),
     )
-    sums = counters.groupBy(*by).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in METRIC_COLUMNS])
+    sums = (counters.rollup(*by) if totals and by else counters.groupBy(*by)).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in METRIC_COLUMNS])
     zero = F.lit(0.0)
     ratio = lambda a, b: round4(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")))
     return sums.select(

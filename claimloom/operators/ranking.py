@@ -83,6 +83,19 @@ def first_n_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:
     return ranked.filter(F.col("_rn") <= n).drop("_rn")
 
 
+LISTED = 100
+
+
+def smallest_values(df: DataFrame, keys, value: str, k: int = LISTED) -> DataFrame:
+    """Per key the number ``n`` of its rows and its ``k`` smallest ``values`` in order. ``value`` is distinct per key.
+
+    A window, which spills, counts and ranks the rows; only k of them are ever gathered.
+    """
+    whole = Window.partitionBy(*keys)
+    ranked = df.withColumn("n", F.count("*").over(whole)).withColumn("_rn", F.row_number().over(whole.orderBy(value)))
+    return ranked.filter(F.col("_rn") <= k).groupBy(*keys).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def spread_key(value, *by) -> Column:
     """Join key for an outer join whose key is often null or ''.
 

@@ -7,7 +7,7 @@ and ``ord`` give the order issues are listed in.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import empty_to_null, normalize_label
-from .ranking import union_all
+from .ranking import smallest_values, union_all
 
 ISSUE_COLUMNS = ("document_id", "code", "severity", "target_id", "message", "stage", "ord")
 
@@ -105,26 +105,25 @@ def quoted_list(texts: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(texts, "', '"), F.lit("']"))
 
 
-def collapse_rule(structures: DataFrame) -> DataFrame:
-    """One issue per structure that stands behind several labels, on its first candidate.
+def listed_text(values, n) -> Column:
+    """The list as shown in messages, with a count of what it leaves out."""
+    left = F.col(n) - F.size(values)
+    return F.concat(quoted_list(F.col(values)), F.when(left > 0, F.concat(F.lit(" and "), left.cast("string"), F.lit(" more"))).otherwise(""))
 
-    Labels are made distinct first, so the gathering step sees each label once.
-    """
+
+def collapse_rule(structures: DataFrame) -> DataFrame:
+    """One issue per structure that stands behind several labels, on its first candidate; its message names the first
+    LISTED labels and counts the others."""
     parsed = structures.filter(F.col("canonical").isNotNull())
     labels = (
         parsed.select("document_id", "canonical", normalize_label("compound_label").alias("label_key"))
         .filter(F.col("label_key") != "").distinct()
     )
-    counted = labels.groupBy("document_id", "canonical").agg(F.min("label_key").alias("_a"), F.max("label_key").alias("_b"))
-    shared = counted.filter("_a <> _b").select("document_id", "canonical")
-    listed = (
-        labels.join(shared, ["document_id", "canonical"], "left_semi")
-        .groupBy("document_id", "canonical").agg(F.array_sort(F.collect_list("label_key")).alias("names"))
-    )
+    listed = smallest_values(labels, ["document_id", "canonical"], "label_key").filter("n > 1")
     first = parsed.groupBy("document_id", "canonical").agg(
         F.min_by("candidate_id", "ord").alias("candidate_id"), F.min("ord").alias("ord")
     )
-    message = F.concat(F.lit("One structure maps to labels "), quoted_list(F.col("names")))
+    message = F.concat(F.lit("One structure maps to labels "), listed_text("values", "n"))
     return _structure_issue(
         first.join(listed, ["document_id", "canonical"]), 6, "V007_STRUCTURE_COLLAPSE", "warning", message
     )

@@ -216,7 +216,7 @@ def _(spark, d):
     )
 
 
-@query("attach_issues", "rec resolved struc lab grp cand", f"""
+ISSUES = f"""
 , collapse AS ({COLLAPSE}), sissue AS (
  SELECT document_id, candidate_id AS target_id, label_key, 'V003_STEREO_UNSPECIFIED' AS code, 'warning' AS severity,
   'Potential stereocenter is not fully specified' AS message FROM struc WHERE n_unspecified>0
@@ -225,8 +225,8 @@ def _(spark, d):
   WHERE s.canonical IS NOT NULL AND l.n_structures>1
  UNION ALL SELECT c.document_id, c.target_id, s.label_key, c.code, c.severity, c.message FROM collapse c
   JOIN struc s ON s.document_id=c.document_id AND s.candidate_id=c.target_id),
-conf AS ({CONFLICTS})
-SELECT DISTINCT r.document_id, r.reaction_id, i.code, i.severity, i.target_id, i.message FROM rec r JOIN (
+conf AS ({CONFLICTS}),
+iss AS (SELECT DISTINCT r.document_id, r.reaction_id, i.code, i.severity, i.target_id, i.message FROM rec r JOIN (
  SELECT group_id, CASE state WHEN 'ambiguous' THEN 'A001_STRUCTURE_AMBIGUOUS' ELSE 'A002_STRUCTURE_MISSING' END AS code,
   CASE state WHEN 'ambiguous' THEN 'error' ELSE 'warning' END AS severity, label AS target_id,
   CASE state WHEN 'ambiguous' THEN 'Multiple structures are available for ' ELSE 'No structure was resolved for ' END||label AS message
@@ -234,12 +234,22 @@ SELECT DISTINCT r.document_id, r.reaction_id, i.code, i.severity, i.target_id, i
  UNION ALL SELECT v.group_id, s.code, s.severity, s.target_id, s.message FROM resolved v JOIN sissue s
   ON s.document_id=v.document_id AND s.label_key=v.label_key
  UNION ALL SELECT g.group_id, 'A003_FIELD_CONFLICT', 'warning', c.target_id, c.message FROM conf c
-  JOIN grp g ON g.document_id=c.document_id AND g.first_candidate=c.target_id) i ON i.group_id=r.group_id""")
+  JOIN grp g ON g.document_id=c.document_id AND g.first_candidate=c.target_id) i ON i.group_id=r.group_id)"""
+
+
+@query("attach_issues", "rec resolved struc lab grp cand", ISSUES + " SELECT * FROM iss")
 def _(spark, d):
     issues = A.attach_issues(assembled(spark, d, store=True))
     return issues.select("document_id", "reaction_id", "code", "severity", "target_id", "message")
 
 
+@query("issue_counts", "rec resolved struc lab grp cand", ISSUES + """
+SELECT r.document_id, r.reaction_id, count(*) FILTER (i.severity='error') AS errors, count(*) FILTER (i.severity='warning') AS warnings
+FROM rec r LEFT JOIN iss i ON i.document_id=r.document_id AND i.reaction_id=r.reaction_id GROUP BY ALL""")
+def _(spark, d):
+    return A.issue_counts(assembled(spark, d, store=True))
+
+
 @query("nested_records", "rec resolved", """
 SELECT r.document_id, r.reaction_id, r.review_status, r.confidence, r.temperature_c, r.n_evidence, a.label AS reactant, a.resolved_smiles AS reactant_smiles,
  b.label AS product, b.resolved_smiles AS product_smiles
@@ -436,26 +446,35 @@ SELECT {key} n_pred AS predicted_count, n_gold AS gold_count, n_mat AS matched_c
  same AS stereo_identical, unc AS stereo_uncomparable"""
 
 
-@query("evaluate", "mat", EVALUATE + _report("", "") + """
+OVERALL = """
 FROM (SELECT (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM gold) AS n_gold, (SELECT count(*) FROM mat) AS n_mat,
  (SELECT count(*) FROM tot WHERE abs(py-gy)<=1.0) AS y_ok, (SELECT count(*) FROM tot) AS y_cmp,
  (SELECT count(r_smiles)+count(p_smiles) FROM tot) AS s_have, (SELECT 2*count(*) FROM tot) AS s_all,
  (SELECT count(*) FROM lv WHERE level<>'uncomparable') AS cmp, (SELECT count(*) FROM lv WHERE level='identical') AS same,
- (SELECT count(*) FROM lv WHERE level='uncomparable') AS unc, (SELECT count(*) FROM lv WHERE level IN ('identical','stereo_only')) AS ste)""")
-def _(spark, d):
-    return C.evaluate(T.predicted(spark, d), T.gold(spark, d), smiles_dictionary(spark, d))
-
-
-@query("evaluate_by_profile", "mat", EVALUATE + _report("profile,", "") + """
+ (SELECT count(*) FROM lv WHERE level='uncomparable') AS unc, (SELECT count(*) FROM lv WHERE level IN ('identical','stereo_only')) AS ste)"""
+PER_PROFILE = """
 FROM (SELECT profile, count(*) AS n_pred FROM pred GROUP BY ALL) JOIN (SELECT profile, count(*) AS n_gold FROM gold GROUP BY ALL) USING (profile)
 JOIN (SELECT profile, count(*) AS n_mat, count(*) FILTER (abs(py-gy)<=1.0) AS y_ok, count(*) AS y_cmp,
  count(r_smiles)+count(p_smiles) AS s_have, 2*count(*) AS s_all FROM tot GROUP BY ALL) USING (profile)
 JOIN (SELECT profile, count(*) FILTER (level<>'uncomparable') AS cmp, count(*) FILTER (level='identical') AS same,
- count(*) FILTER (level='uncomparable') AS unc, count(*) FILTER (level IN ('identical','stereo_only')) AS ste FROM lv GROUP BY ALL) USING (profile)""")
+ count(*) FILTER (level='uncomparable') AS unc, count(*) FILTER (level IN ('identical','stereo_only')) AS ste FROM lv GROUP BY ALL) USING (profile)"""
+
+
+@query("evaluate", "mat", EVALUATE + _report("", "") + OVERALL)
+def _(spark, d):
+    return C.evaluate(T.predicted(spark, d), T.gold(spark, d), smiles_dictionary(spark, d))
+
+
+@query("evaluate_by_profile", "mat", EVALUATE + _report("profile,", "") + PER_PROFILE)
 def _(spark, d):
     return C.evaluate(T.predicted(spark, d), T.gold(spark, d), smiles_dictionary(spark, d), by=["profile"])
 
 
+@query("evaluate_with_totals", "mat", EVALUATE + _report("profile,", "") + PER_PROFILE + " UNION ALL " + _report("NULL,", "") + OVERALL)
+def _(spark, d):
+    return C.evaluate(T.predicted(spark, d), T.gold(spark, d), smiles_dictionary(spark, d), by=["profile"], totals=True)
+
+
 @query("gold_comparisons", "ali pred gold", f"""
 SELECT a.document_id, a.reaction_id, a.gold_reaction_id, a.alignment, a.g_ord,
  CASE WHEN a.alignment IN ('explicit_id','mapped') THEN (CASE WHEN c.b IS NULL THEN 'uncomparable' WHEN c.a IS NULL THEN 'uncomparable' ELSE {LADDER} END) END AS reactant_comparison
