@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+import claimloom
 from claimloom.staging import staged
 
 SPACE = np.zeros(256, dtype=bool)
@@ -25,6 +29,33 @@ def load(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _packed(value):
+    if type(value).__module__.split(".")[0] != claimloom.__name__:
+        return value
+    return claimloom.__name__, cloudpickle.dumps(type(value)), {name: _packed(x) for name, x in vars(value).items()}
+
+
+def _opened(value):
+    if not (isinstance(value, tuple) and len(value) == 3 and isinstance(value[0], str) and value[0] == "claimloom"):
+        return value
+    made = object.__new__(pickle.loads(value[1]))
+    made.__dict__.update({name: _opened(x) for name, x in value[2].items()})
+    return made
+
+
+def share(spark, value) -> Broadcast:
+    """Broadcast an object of one of the package's classes, made of plain values, arrays and other such objects;
+    ``unpacked`` gives it back.
+
+    Classes travel by value, so the package need not be on the workers' path; arrays are held once."""
+    cloudpickle.register_pickle_by_value(claimloom)
+    return spark.sparkContext.broadcast(_packed(value))
+
+
+def unpacked(shared: Broadcast):
+    return _opened(shared.value)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an unsigned array."""
     x = x ^ (x >> np.uint64(30))
@@ -102,7 +133,7 @@ class Words:
         return Rolling(BYTE_CODE[self.data], powers)(self.start, self.end)
 
 
-def text_slices(column: pa.Array, size: int = 1 << 21):
+def text_slices(column: pa.Array, size: int = 1 << 19):
     """Cut a text column into runs of rows of about ``size`` bytes (a longer text is a run of its own).
 
     Yields (first row, bytes, offsets); a null text has no bytes.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimloom.staging import staged
 
-from .common import BREAK, RADIX, SECOND, Powers, Rolling, Words, load, text_slices
+from .common import BREAK, RADIX, SECOND, Powers, Rolling, Words, load, share, text_slices, unpacked
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -228,7 +228,7 @@ def contamination(
     for b in range(blocks):
         rows = slim.filter(F.col("block") == b).select("id", "text").collect()
         index = ItemIndex([(r.id, r.text) for r in sorted(rows, key=lambda r: (r.id is None, r.id or 0, r.text or ""))], radius, similarity, held)
-        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        out = out.mapInArrow(_pass(share(docs.sparkSession, index)), schema)
         if b < blocks - 1:  # written, so that a task holds the index of one block only
             out = staged(out, "block_matches")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols)), F.coalesce("m", F.array().cast(MATCHES)).alias(column))
@@ -238,7 +238,7 @@ def _pass(shared):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
-        index, letters, powers = shared.value, Powers(RADIX), Powers(SECOND)
+        index, letters, powers = unpacked(shared), Powers(RADIX), Powers(SECOND)
         for batch in batches:
             found: dict[int, list] = {}
             for row, data, offsets in text_slices(batch.column(1)):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load, training_row
+from .common import load, share, training_row, unpacked
 
 MAX_CHARS = 32_768  # of labelled text per language in its automaton: the bound of the sample
 SNIPPETS, SNIPPET = 256, 512  # the sample: snippets per language, characters of each
@@ -165,10 +165,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "letters")]
     keep = [c for c in docs.columns if c not in names]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
-        model = shared.value
+        model = unpacked(shared)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             langs, scores, letters = [], [], []

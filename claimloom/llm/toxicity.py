@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load, training_row
+from .common import load, share, training_row, unpacked
 
 MAX_TOXIC, MAX_CLEAN = 1500, 3000  # labelled rows that the lexicon and the weights are fitted on: the bound of the sample
 MAX_TERMS = 400
@@ -236,10 +236,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no hit and get the score of such texts. Ids may be null or repeat. An empty
     table gives no rows. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
-        model, known = shared.value, {}
+        model, known = unpacked(shared), {}
         for batch in batches:
             x = np.zeros((batch.num_rows, FEATURES))
             for low in range(0, batch.num_rows, 1024):
