@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -148,6 +149,30 @@ def test_itq_recall_at_the_threshold():
     assert near.sum() > 300 and found[near].mean() >= 0.9
 
 
+def test_itq_recall_with_a_common_mean():
+    """The width of the blocks follows the data: recall holds where most of the vectors' length is one common mean."""
+    random = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    for dim in (64, 256):
+        for share in (0.5, 0.7, 0.85):
+            mean = unit(random.normal(size=dim))
+            draw = lambda n: unit(np.sqrt(share) * mean + np.sqrt(1 - share) * unit(random.normal(size=(n, dim))))  # noqa: B023, E731
+            x, noise = draw(4000), random.normal(size=(4000, dim))
+            noise -= mean * (noise @ mean)[:, None]
+            noise = unit(noise - x * (noise * x).sum(axis=1, keepdims=True))
+            c = random.uniform(0.93, 0.95, size=(4000, 1))
+            y = c * x + np.sqrt(1 - c * c) * noise
+            model = itq_neardup.Quantiser(draw(3000))
+            assert (model.codes(x) == model.codes(y)).any(axis=1).mean() >= 0.95
+
+
+def test_doubles_stay_doubles(spark):
+    small, large = [1e-60, 2e-60, 0.0], [1e300, 1e300, 1.0]
+    rows = [(1, small, 1), (2, small, 1), (3, large, 1), (4, large, 1), (5, [1.0, 1.0 + 1e-12, 0.0], 2), (6, [1.0, 1.0, 0.0], 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in itq_neardup.near_duplicates(table).collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5)]
+
+
 # --- secrets --------------------------------------------------------------------------------------------------
 
 
@@ -435,17 +460,10 @@ def test_keep_one(spark):
     assert all(len(g) == 1 for g in same[0])
 
 
-def test_near_copies_match_brute_force(spark):
-    """The stage's groups are those of exact Jaccard similarity, also where fingerprints are more than 3 bits apart."""
-    docs = duckdb.connect().execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
-    rows = [(d, t) for d, t in docs if len(t or "") < 20_000] + [(r.doc_id and r.doc_id + 10_000, r.text) for r in awkward(spark).collect() if len(r.text or "") < 20_000]
-    random = np.random.default_rng(5)
-    for k in range(60):  # a chain: each text is the last one with some words replaced
-        words = [x if i != 7 * k % 60 else f"u{k}" for i, x in enumerate(words)] if k else [f"v{int(x)}" for x in random.integers(1 << 30, size=60)]
-        rows.append((20_000 + k, " ".join(words)))
-    rows += [(30_000 + k, f"{' '.join(f'c{i}' for i in range(40))} {k} {k + 1}") for k in range(80)]
+def brute_near_groups(texts):
+    """Groups of positions linked by a Jaccard similarity of 0.8 or more of their five-word shingle sets."""
     sets = []
-    for _, t in rows:
+    for t in texts:
         w = WORDS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     held, both = collections.defaultdict(list), collections.Counter()
@@ -459,10 +477,23 @@ def test_near_copies_match_brute_force(spark):
     for a, b in links + [(bare[0], k) for k in bare]:
         forest.join(a, b)
     groups = collections.defaultdict(list)
-    for k in range(len(rows)):
+    for k in range(len(texts)):
         groups[forest.root(k)].append(k)
+    return list(groups.values())
+
+
+def test_near_copies_match_brute_force(spark):
+    """The stage's groups are those of exact Jaccard similarity, also where fingerprints are more than 3 bits apart."""
+    docs = duckdb.connect().execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    rows = [(d, t) for d, t in docs if len(t or "") < 20_000] + [(r.doc_id and r.doc_id + 10_000, r.text) for r in awkward(spark).collect() if len(r.text or "") < 20_000]
+    random = np.random.default_rng(5)
+    for k in range(60):  # a chain: each text is the last one with some words replaced
+        words = [x if i != 7 * k % 60 else f"u{k}" for i, x in enumerate(words)] if k else [f"v{int(x)}" for x in random.integers(1 << 30, size=60)]
+        rows.append((20_000 + k, " ".join(words)))
+    rows += [(30_000 + k, f"{' '.join(f'c{i}' for i in range(40))} {k} {k + 1}") for k in range(80)]
+    groups = brute_near_groups([t for _, t in rows])
     want = collections.Counter()
-    for g in groups.values():
+    for g in groups:
         low = min((rows[k][0] for k in g if rows[k][0] is not None), default=None)
         want.update((rows[k][0], low) for k in g)
     got = near_copies.near_copies(frame(spark, rows)).collect()
@@ -540,6 +571,37 @@ def test_item_blocks_keep_weights(spark, monkeypatch):
     assert {r[0] for r in whole} >= {9000 + k for k in range(20)}
 
 
+def test_pieces_of_very_many_chunks():
+    """More distinct chunks in one text than the store begins with, and one chunk without a space."""
+    v = sentencepiece_sampling.Vocabulary()
+    chunks = sentencepiece_sampling.Chunks(v)
+    text = " ".join(map(str, range(600_000)))
+    ids, where = sentencepiece_sampling.encode_texts(chunks, [text], np.zeros(1, dtype=np.uint64))
+    assert v.decode(ids.tolist()) == text and chunks.slots >= 2 * chunks.count
+    again, _ = sentencepiece_sampling.encode_texts(chunks, ["7 8", "x" * 200_000], np.ones(2, dtype=np.uint64))
+    assert chunks.count < 10 and len(again) > 0
+
+
+def test_models_travel_without_the_package(tmp_path):
+    """Workers that cannot import the package run the queries that broadcast models."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("op3_itq_neardup", "op5_language_id", "op6_toxicity", "op7_sentencepiece", "op10_decontamination", "op12_whitening", "op13_quality_rules"):
+    print(name, e.queries()[name](spark, {SF!r}).count())
+"""
+    (tmp_path / "run.py").write_text(code)
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, capture_output=True, text=True, timeout=900, env={k: x for k, x in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0 and done.stdout.count("op") == 7, done.stderr[-3000:]
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------
 
 
@@ -547,8 +609,7 @@ def test_pipeline_matches_its_stages_by_brute_force(spark):
     docs = texts_of("documents")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     left = [(d, t) for d, t in docs if any(c.isalpha() for c in t or "")]
-    prints = [brute_fingerprint(t) for _, t in left]
-    left = [left[min(g, key=lambda k: left[k][0])] for g in brute_groups(prints)]
+    left = [left[min(g, key=lambda k: left[k][0])] for g in brute_near_groups([t for _, t in left])]
     table = frame(spark, left)
     dirty = {r.doc_id for r in decontamination.contamination(table, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("size(matches) > 0").collect()}
     assert set(got) == {d for d, _ in left} - dirty and dirty
