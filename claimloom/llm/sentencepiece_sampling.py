@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BYTE_CODE, RADIX, SECOND, Powers, Rolling, load, mix, text_slices
+from .common import BYTE_CODE, RADIX, SECOND, Powers, Rolling, load, mix, share, text_slices, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.7
 MARK = "▁"
-RUN = 1 << 20  # bytes of text encoded at once (a longer text is a run of its own)
+RUN = 1 << 19  # bytes of text encoded at once (a longer text is a run of its own)
 NO_ROW = 0x1D8E4E27C47D124F  # seed of rows without a key
 
 
@@ -123,11 +123,11 @@ class Chunks:
     """The lattices of the distinct chunks met so far, the forward pass done, by chunk hash.
 
     A store of more than ``MOST`` chunks is emptied before the next run of texts; what it holds never
-    changes a result.
+    changes a result. One run may bring any number of chunks: the table of slots grows with them.
     """
 
-    MOST = 100_000
-    SLOTS = 1 << 19
+    MOST = 50_000
+    SLOTS = 1 << 17
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -136,8 +136,7 @@ class Chunks:
 
     def _empty(self) -> None:
         self.count = self.nodes = self.edges = 0
-        self.slot_key, self.slot_check = np.zeros(self.SLOTS, dtype=np.uint64), np.zeros(self.SLOTS, dtype=np.uint64)
-        self.slot_chunk = np.full(self.SLOTS, -1, dtype=np.int32)
+        self._slots(self.SLOTS)
         self.arrays = {
             "base": np.zeros(1 << 12, dtype=np.int32), "size": np.zeros(1 << 12, dtype=np.int32),  # per chunk
             "first": np.zeros(1 << 14, dtype=np.int32), "last": np.zeros(1 << 14, dtype=np.int32),  # per node: its edges
@@ -145,6 +144,22 @@ class Chunks:
             "sum": np.zeros(1 << 14, dtype=np.float64), "many": np.zeros(1 << 14, dtype=np.int32),  # running share in its node, ids
         }
 
+    def _slots(self, slots: int) -> None:
+        self.slots = slots
+        self.slot_key, self.slot_check = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.uint64)
+        self.slot_chunk = np.full(slots, -1, dtype=np.int32)
+
+    def _room(self, more: int) -> None:
+        """At least half of the slots stay free."""
+        slots = self.slots
+        while slots < 2 * (self.count + more):
+            slots *= 2
+        if slots > self.slots:
+            used = np.flatnonzero(self.slot_chunk >= 0)
+            held = self.slot_key[used], self.slot_check[used], self.slot_chunk[used]
+            self._slots(slots)
+            self._insert(*held)
+
     def _put(self, at: int, **values: np.ndarray) -> None:
         for name, new in values.items():
             old = self.arrays[name]
@@ -234,13 +249,13 @@ class Chunks:
 
     def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Slots of the keys, or of the free places where they belong."""
-        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             at = slot[todo]
             wrong = (self.slot_chunk[at] >= 0) & ((self.slot_key[at] != keys[todo]) | (self.slot_check[at] != checks[todo]))
             todo = todo[wrong]
-            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
         return slot
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -251,6 +266,7 @@ class Chunks:
         fresh = np.flatnonzero(self.slot_chunk[slot] < 0)
         if len(fresh):
             _, one = np.unique(keys[fresh], return_index=True)
+            self._room(len(one))
             for k in range(0, len(one), 20_000):
                 part = fresh[one[k : k + 20_000]]
                 number = self.count + np.arange(len(part))
@@ -350,10 +366,10 @@ def encode(
     id and text (repeated rows) get equal pieces, all null ids share one key. An empty table gives no rows. Other
     columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file, alpha))
+    shared = share(docs.sparkSession, Vocabulary(model_file, alpha))
 
     def run(batches):
-        v = shared.value
+        v = unpacked(shared)
         chunks, raw = Chunks(v), v.raw
         for batch in batches:
             keys = batch.column(0)
@@ -382,10 +398,10 @@ def encode(
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", model_file: str = MODEL) -> DataFrame:
     """(doc_id, text) from piece ids; null and empty lists give empty texts."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+    shared = share(encoded.sparkSession, Vocabulary(model_file))
 
     def run(batches):
-        v = shared.value
+        v = unpacked(shared)
         for batch in batches:
             texts = []
             for low in range(0, batch.num_rows, 256):
