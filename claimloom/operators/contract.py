@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import variants as V
 from ..functions.text import blank_to_null
-from ..schemas import CONCLUSIONS, REASON_REQUIRED, REVIEW_STATUSES, TARGET_KINDS
+from .constraints import line_errors, row_errors
 
 # The fields of a producer block and the keys a structure label may have.
 PRODUCER_TEXT_FIELDS = ("client_name", "client_version", "model", "policy")
@@ -133,53 +133,19 @@ def unknown_keys(v, allowed) -> Column:
     return F.array_sort(F.array_except(F.map_keys(V.as_map(v)), F.array(*[F.lit(a) for a in allowed])))
 
 
-# --- checks on typed rows -------------------------------------------------------
-
-def _rule_table(df: DataFrame, key, rules: dict[str, Column]) -> DataFrame:
-    found = F.array_compact(F.array(*[_when(test, name) for name, test in rules.items()]))
-    return df.select(*key, F.explode(found).alias("error"))
-
+# --- checks by row type ---------------------------------------------------------
 
 def record_domain_checks(records: DataFrame) -> DataFrame:
     """Bounds and allowed values of records."""
-    within = lambda c, low, high: F.col(c).isNotNull() & ~F.col(c).between(low, high)
-    return _rule_table(records, ["document_id", "reaction_id"], {
-        "yield_pct outside 0..100": within("yield_pct", 0, 100),
-        "confidence outside 0..1": F.col("confidence").isNull() | within("confidence", 0, 1),
-        "review_status not allowed": ~F.coalesce(F.col("review_status").isin(*REVIEW_STATUSES), F.lit(False)),
-    })
+    return row_errors(records, "record", ["document_id", "reaction_id"])
 
 
 def decision_domain_checks(decisions: DataFrame) -> DataFrame:
     """Allowed values, reviewer present, reason present where the conclusion asks for one."""
-    return _rule_table(decisions, ["document_id", "decision_id"], {
-        "target_kind not allowed": ~F.coalesce(F.col("target_kind").isin(*TARGET_KINDS), F.lit(False)),
-        "conclusion not allowed": ~F.coalesce(F.col("conclusion").isin(*CONCLUSIONS), F.lit(False)),
-        "reviewer must be non-empty": blank_to_null("reviewer").isNull(),
-        "reason is required": F.col("conclusion").isin(*REASON_REQUIRED) & (F.coalesce("reason", F.lit("")) == ""),
-    })
-
-
-# The keys a benchmark or record line may have.
-RECORD_KEYS = (
-    "schema_version", "reaction_id", "reactants", "products", "reagents", "solvents", "temperature_c", "time",
-    "yield_pct", "evidence_ids", "confidence", "review_status", "issues",
-)
+    return row_errors(decisions, "decision", ["document_id", "decision_id"])
 
 
 def record_line_errors(v) -> Column:
-    """All errors of one record given as JSON, as an array of texts."""
-    number = lambda k: F.try_variant_get(V.get(v, k), F.lit("$"), "double")
-    extra = unknown_keys(v, RECORD_KEYS)
-    yields, confidence, status = V.get(v, "yield_pct"), V.get(v, "confidence"), V.get(v, "review_status")
-    checks = [
-        _when(~V.is_object(v), "expected JSON object"),
-        _when(V.is_object(v) & (F.size(extra) > 0), F.concat(F.lit("unknown fields "), F.array_join(extra, ", "))),
-        _when(V.is_object(v) & ~V.is_text(V.get(v, "reaction_id")), "reaction_id must be a string"),
-        _when(_has(v, "schema_version") & ~F.coalesce(V.text_of(V.get(v, "schema_version")) == "1.0", F.lit(False)), "schema_version must be 1.0"),
-        _when(~V.is_null(yields) & ~F.coalesce(number("yield_pct").between(0, 100), F.lit(False)), "yield_pct outside 0..100"),
-        _when(V.is_object(v) & ~F.coalesce(number("confidence").between(0, 1), F.lit(False)), "confidence outside 0..1"),
-        _when(V.is_object(v) & ~F.coalesce(V.text_of(status).isin(*REVIEW_STATUSES), F.lit(False)), "review_status not allowed"),
-        *[_when(_has(v, c) & ~V.is_array(V.get(v, c)), f"{c} must be an array") for c in ("reactants", "products", "reagents", "solvents", "evidence_ids", "issues")],
-    ]
-    return F.array_compact(F.array(*checks))
+    """All errors of one record given as JSON, nested rows included, as an array of texts."""
+    # Inside a lambda the many small checks are walked one by one; as one generated method they would be too long to compile.
+    return F.flatten(F.transform(F.array(v), lambda row: line_errors(row, "record")))

@@ -72,6 +72,13 @@ CHANNELS = ("text", "table", "structure", "adjudication")
 SOURCES = ("text", "table", "scheme")
 SEVERITIES = ("info", "warning", "error")
 COMPOUND_ROLES = ("reactant", "product", "reagent", "unknown")
+PARTICIPANT_ROLES = ("reactant", "product", "reagent", "catalyst", "ligand", "solvent", "additive", "unknown")
+STRUCTURE_STATES = ("resolved", "unresolved", "not_attempted")
+CONDITION_KINDS = (
+    "temperature", "time", "yield", "reagent", "solvent", "amount", "equivalents", "concentration", "catalyst_loading", "atmosphere",
+    "pressure", "addition_order", "stage", "light", "electrochemistry", "workup", "ee", "er", "dr", "other",
+)
+EXTRACTION_STATES = ("extracted", "not_reported_in_output", "not_covered_by_pipeline")
 TARGET_KINDS = (
     "reaction", "condition", "participant_identity", "participant_structure",
     "stereo", "gold_alignment", "completeness",
