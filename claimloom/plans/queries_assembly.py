@@ -364,8 +364,8 @@ def _(spark, d):
     return out.groupBy("level").agg(F.count("*").alias("n"))
 
 
-PAIRED = """
-, p AS MATERIALIZED (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label,' ','')), lower(name), '') AS key, coalesce(smiles,'') AS smi,
+PAIRED_SQL = """
+WITH p AS MATERIALIZED (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label,' ','')), lower(name), '') AS key, coalesce(smiles,'') AS smi,
   coalesce(label,name,'<unlabelled>') AS ref FROM orders, LATERAL (VALUES
   (0,'reactant','a'||(o_orderkey%2),NULL,'S'||(o_orderkey%3)),(1,'reactant','A '||(o_orderkey%3),NULL,'S'||(o_orderkey%2)),
   (2,'reactant',NULL,'n'||(o_orderkey%4),'S'||(o_orderkey%5)),(3,'product',NULL,NULL,'U'||(o_orderkey%2)),(4,'product','a0',NULL,'bad(y')) t(i,role,label,name,smiles)),
@@ -377,8 +377,8 @@ g AS MATERIALIZED (SELECT o_orderkey AS k, i, role, coalesce(lower(replace(label
 p1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,key ORDER BY i) AS rn FROM p),
 g1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,key ORDER BY i) AS rn FROM g),
 m1 AS MATERIALIZED (SELECT p1.k, p1.role, p1.i AS pi, g1.i AS gi FROM p1 JOIN g1 ON p1.k=g1.k AND p1.role=g1.role AND p1.key=g1.key AND p1.rn=g1.rn WHERE p1.key<>''),
-p2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM p WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.k=p.k AND m1.pi=p.i)),
-g2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM g WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.k=g.k AND m1.gi=g.i)),
+p2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM p ANTI JOIN m1 ON m1.k=p.k AND m1.pi=p.i),
+g2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k,role,smi ORDER BY i) AS rn FROM g ANTI JOIN m1 ON m1.k=g.k AND m1.gi=g.i),
 m2 AS MATERIALIZED (SELECT p2.k, p2.role, p2.i AS pi, g2.i AS gi FROM p2 JOIN g2 ON p2.k=g2.k AND p2.role=g2.role AND p2.smi=g2.smi AND p2.rn=g2.rn WHERE p2.smi<>''),
 m AS MATERIALIZED (SELECT *, 0 AS phase FROM m1 UNION ALL SELECT *, 1 FROM m2),
 res AS (
@@ -387,10 +387,9 @@ SELECT m.k AS pair_id, m.role, m.phase, m.pi AS i, p.ref AS participant_id, g.re
  CASE WHEN g.smi='' THEN 'gold structure not annotated' WHEN p.smi='' THEN 'extracted structure not annotated'
   WHEN p.smi LIKE 'bad(%' THEN 'Cannot parse A: '||p.smi END AS incomparable_reason
 FROM m JOIN p ON p.k=m.k AND p.i=m.pi JOIN g ON g.k=m.k AND g.i=m.gi
-UNION ALL SELECT k, role, 2, i, ref, NULL, 'missing_gold', NULL FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.k=p.k AND m.pi=p.i)
-UNION ALL SELECT k, role, 3, i, '<gold:'||ref||'>', ref, 'missing_extracted', NULL FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.k=g.k AND m.gi=g.i))
+UNION ALL SELECT k, role, 2, i, ref, NULL, 'missing_gold', NULL FROM p ANTI JOIN m ON m.k=p.k AND m.pi=p.i
+UNION ALL SELECT k, role, 3, i, '<gold:'||ref||'>', ref, 'missing_extracted', NULL FROM g ANTI JOIN m ON m.k=g.k AND m.gi=g.i)
 """
-PAIRED_SQL = "WITH one AS (SELECT 1)" + PAIRED
 
 
 def compared_pairs(spark, d):
@@ -399,7 +398,8 @@ def compared_pairs(spark, d):
     return C.compare_participants(pairs, S.structure_dictionary(texts, T.PARSER))
 
 
-@query("compare_participants", None, PAIRED_SQL + "SELECT * FROM res")
+@query("compare_participants", None, PAIRED_SQL + """
+SELECT pair_id, role, phase, i, participant_id, gold_participant_id, comparison, incomparable_reason FROM res""")
 def _(spark, d):
     return compared_pairs(spark, d)
 

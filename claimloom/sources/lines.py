@@ -55,7 +55,7 @@ def gold_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = good.withColumn("_errors", record_line_errors(F.col("value")))
     kept = [c for c in good.columns if c != "value"]
     errors = checked.select(*kept, F.explode("_errors").alias("error"))
-    typed = checked.filter(F.size("_errors") == 0).withColumn("r", F.from_json(F.to_json("value"), RECORD_BODY))
+    typed = checked.filter(F.size("_errors") == 0).withColumn("r", F.try_variant_get("value", F.lit("$"), RECORD_BODY.simpleString()))
     return typed.select(*kept, "r.*"), broken.unionByName(errors)
 
 

@@ -115,3 +115,29 @@ def test_structure_ladder(spark):
         texts = df.selectExpr("explode(array(smiles_a, smiles_b)) AS smiles")
         got = S.compare_structures(df, S.structure_dictionary(texts, PARSER), normalization=mode).first()
         assert got.level == want, (a, b, mode)
+
+
+def test_long_value_lists_are_cut_and_counted(spark):
+    rows = [candidate(f"r{i:03}", i, yield_pct=float(i % 97), time=f"{i} h") for i in range(150)]
+    a = build(spark, rows, BOTH)
+    found = {r.message.split(" ")[1]: r.message for r in A.field_conflicts(a.candidates).collect()}
+    assert found["time"].endswith(" and 50 more") and found["time"].count("'") == 200 and "more" not in found["yield_pct"]
+    assert A.conflict_values(a.candidates).filter("field = 'time'").count() == 150
+    shared = [structure(f"s{i:03}", f"L{i:03}", "CC", i) for i in range(120)]
+    issue = [r for r in V.collapse_rule(build(spark, rows[:1], shared).structures).collect()]
+    assert len(issue) == 1 and issue[0].message.endswith(" and 20 more")
+
+
+def test_issue_lists_are_linear_and_count_right(spark):
+    """Half of all on one label: the lists hold each issue once, counts equal those of the expanded view."""
+    pool = [structure(f"s{i}", "7" if i % 2 else f"x{i}", f"C{i % 5}", i) for i in range(60)]
+    rows = [candidate(f"r{i}", i, left="7" if i % 2 else f"x{i}", right=f"p{i}") for i in range(60)]
+    a = build(spark, rows, pool)
+    parts = A.issue_lists(a)
+    sizes = [x.count() for x in (parts.own, parts.lists, parts.uses)]
+    assert sum(sizes) < 500 < A.attach_issues(a).count()
+    seen = {}
+    for r in A.attach_issues(a).collect():
+        e, w = seen.get(r.reaction_id, (0, 0))
+        seen[r.reaction_id] = (e + (r.severity == "error"), w + (r.severity == "warning"))
+    assert {r.reaction_id: (r.errors, r.warnings) for r in A.issue_counts(a).collect()} == {r.reaction_id: seen.get(r.reaction_id, (0, 0)) for r in a.records.collect()}
