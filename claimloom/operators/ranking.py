@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col
+from ..staging import staged
 
 BLOCK_BITS = 20
 
@@ -18,11 +19,6 @@ def long_block(ord_col, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(col(ord_col), bits)
 
 
-def prefix_block(id_col, length: int) -> Column:
-    """Block of a text order column; cutting a text keeps its binary order."""
-    return F.substring(col(id_col), 1, length)
-
-
 def number_rows(df: DataFrame, keys, order, block: Column, name: str = "rn") -> DataFrame:
     """1-based ``row_number`` per ``keys`` in ``order``, without whole groups in one task.
 
@@ -50,6 +46,25 @@ def number_rows(df: DataFrame, keys, order, block: Column, name: str = "rn") ->
     return numbered.join(offsets, same).withColumn(name, F.col("_in") + F.col("_before")).drop(*drop)
 
 
+def number_ordered(df: DataFrame, keys, order: str, name: str = "rn") -> DataFrame:
+    """1-based ``row_number`` per ``keys`` in the order of a column of any kind, however its values begin.
+
+    Rows are dealt into ranges of (keys, order) whose limits Spark samples, so a key with very many rows fills several
+    ranges, and numbered there as they lie sorted. What comes before a key's part of a range is a prefix sum over the
+    table of such parts, at most one row per key and range. One shuffle and one write of the data. ``order`` must be
+    unique per key; keys must not be null.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [*keys, order]
+    laid = df.repartitionByRange(n, *place).sortWithinPartitions(*place).withColumn("_id", F.monotonically_increasing_id())
+    rows = staged(laid, "ordered").withColumn("_range", F.shiftright("_id", 33))
+    parts = rows.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = rows.join(parts, [*keys, "_range"])
+    return numbered.withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+
+
 def previous_value(df: DataFrame, keys, order, block: Column, column: str, name: str) -> DataFrame:
     """Value of ``column`` in the row before, per ``keys``; null on the first row.
 
@@ -130,12 +145,7 @@ def union_all(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def queue_positions(records: DataFrame, prefix_length: int = 12) -> DataFrame:
-    """0-based place of each record in its document's id order.
-
-    ``prefix_length`` picks how many leading id characters form a block; it should
-    leave many records per block and few blocks per document.
-    """
-    block = prefix_block("reaction_id", prefix_length)
-    numbered = number_rows(records, ["document_id"], "reaction_id", block, "_position")
+def queue_positions(records: DataFrame) -> DataFrame:
+    """0-based place of each record in its document's id order."""
+    numbered = number_ordered(records, ["document_id"], "reaction_id", "_position")
     return numbered.withColumn("position", F.col("_position") - 1).drop("_position")

@@ -433,7 +433,7 @@ SELECT document_id, 'image-'||lpad(rn::VARCHAR, greatest(4, length(rn::VARCHAR))
   '/img/'||lpad(p_partkey::VARCHAR,9,'0')||'/'||CASE p_partkey%3 WHEN 0 THEN 'fig_page-'||(p_partkey%50) WHEN 1 THEN 'P'||(p_partkey%9) ELSE 'x'||p_partkey END
   ||CASE p_partkey%4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '.webp' END AS path FROM part WHERE p_partkey%4<>2)""")
 def _(spark, d):
-    rows = S.image_evidence(part_files(spark, d), F.substring("path", 1, 11))
+    rows = S.image_evidence(part_files(spark, d))
     return rows.select("document_id", "evidence_id", "page", "source_path")
 
 

@@ -346,7 +346,7 @@ def _(spark, d):
 @query("queue_position", "rcd", """
 SELECT document_id, reaction_id, row_number() OVER (PARTITION BY document_id ORDER BY reaction_id)-1 AS position FROM rcd""")
 def _(spark, d):
-    out = R.queue_positions(T.records(spark, d).select("document_id", "reaction_id"), prefix_length=6)
+    out = R.queue_positions(T.records(spark, d).select("document_id", "reaction_id"))
     return out.select("document_id", "reaction_id", F.col("position").cast("bigint").alias("position"))
 
 
@@ -387,7 +387,7 @@ SELECT document_id, coalesce(min(position) FILTER (position>5+position_of), min(
  SELECT document_id, position, (substr(document_id,5)::INTEGER*30) AS position_of FROM p WHERE human_status='unreviewed') GROUP BY ALL""")
 def _(spark, d):
     r = W.records_with_human_status(T.records(spark, d).select("document_id", "reaction_id"), T.decisions(spark, d))
-    queue = R.queue_positions(r, prefix_length=6)
+    queue = R.queue_positions(r)
     current = queue.select("document_id").distinct().withColumn("position", F.substring("document_id", 5, 9).cast("int") * 30 + 5)
     return W.next_unreviewed(queue, current).select("document_id", F.col("next_position").cast("bigint").alias("next_position"))
 

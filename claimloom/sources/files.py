@@ -1,10 +1,10 @@
 """Whole-file sources: digests, images, layout files.  Inputs are (path, content) rows."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import variants as V
 from ..functions.ids import document_id
-from ..operators.ranking import number_rows
+from ..operators.ranking import number_ordered
 
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".webp")
 
@@ -39,18 +39,11 @@ def file_name(path="path") -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def image_evidence(files: DataFrame, block: Column | None = None) -> DataFrame:
-    """Image files (document_id, path) sorted by path -> image evidence rows with page from the name.
-
-    ``block`` must rise with the path; it splits the numbering of a document with very
-    many images.  Without it a document's images are numbered in one task.
-    """
+def image_evidence(files: DataFrame) -> DataFrame:
+    """Image files (document_id, path) sorted by path -> image evidence rows with page from the name."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     images = files.filter(suffix.isin(*IMAGE_SUFFIXES)).select("document_id", "path")
-    if block is None:
-        numbered = images.withColumn("rn", F.row_number().over(Window.partitionBy("document_id").orderBy("path")))
-    else:
-        numbered = number_rows(images, ["document_id"], "path", block)
+    numbered = number_ordered(images, ["document_id"], "path")
     stem = F.regexp_replace(file_name(), r"\.[^.]+$", "")
     number = F.col("rn").cast("string")
     return numbered.select(
