@@ -218,22 +218,30 @@ def revalidate(records: DataFrame, parser: Parser) -> DataFrame:
     return rows.select(*[replaced.get(c, F.col(c)) for c in records.columns], F.size("_new").alias("issues_added"))
 
 
-def audit_rows(changed: DataFrame, edits: DataFrame) -> DataFrame:
-    """Per changed record: confirmer, distinct edited paths, status before and after, counts.
+def audit_rows(changed: DataFrame, edits: DataFrame, at=None, voided: DataFrame | None = None) -> DataFrame:
+    """Per changed record: confirmer, time, distinct edited paths, status before and after, counts.
 
-    The full sequence of edits stays in the edit table, keyed by the same ids.
+    ``at`` is the time of confirmation (text), by default now in UTC; ``voided`` the decisions that the edits made void. The
+    full sequence of edits stays in the edit table, keyed by the same ids.
     """
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    confirmed_at = (now if at is None else F.lit(at).cast("string")).alias("confirmed_at")
     paths = edits.filter(F.col("path").isNotNull()).groupBy(*IDS, "path").agg(F.min("ord").alias("o"))
     listed = paths.groupBy(*IDS).agg(F.array_sort(F.collect_list(F.struct("o", "path"))).alias("ps"))
     counted = edits.groupBy(*IDS).agg(
         F.count("*").alias("operations_count"), F.max_by("confirmed_by", "ord").alias("confirmed_by"),
         F.max_by("package_id", "ord").alias("submission_id"),
     )
-    return changed.select(*IDS, "pre_status", F.col("review_status").alias("post_status"), "issues_added").join(
+    rows = changed.select(*IDS, "pre_status", F.col("review_status").alias("post_status"), "issues_added").join(
         counted, IDS
-    ).join(listed, IDS, "left").select(
+    ).join(listed, IDS, "left")
+    void = F.lit(0).cast("bigint")
+    if voided is not None:
+        rows = rows.join(voided.groupBy(*IDS).agg(F.count("*").alias("_void")), IDS, "left")
+        void = F.coalesce("_void", void)
+    return rows.select(
         *IDS, "submission_id", "confirmed_by", F.transform("ps", lambda x: x["path"]).alias("paths"), "operations_count",
-        "pre_status", "post_status", "issues_added",
+        "pre_status", "post_status", "issues_added", confirmed_at, void.alias("invalidated_decisions"),
     )
 
 
@@ -313,7 +321,7 @@ def stale_decisions(decisions: DataFrame, operations: DataFrame, record_hashes:
 
 def apply_operations(
     records: DataFrame, operations: DataFrame, submissions: DataFrame, parser: Parser,
-    base_hashes: DataFrame | None = None, ledger: DataFrame | None = None,
+    base_hashes: DataFrame | None = None, ledger: DataFrame | None = None, decisions: DataFrame | None = None, at=None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(touched records after the packages, audit rows, errors).
 
@@ -322,6 +330,7 @@ def apply_operations(
     text), reason.  ``base_hashes``: package_id, document_id, reaction_id,
     record_hash.  A package with any error is left out whole.  With ``base_hashes``, of several packages of
     one batch that name a record the first (smallest ord) may pass; the others did not see its outcome and conflict.
+    With ``decisions``, the audit counts those that the packages made void; ``at`` is its time.
     """
     repeated = submissions.groupBy("package_id").count().filter("count > 1").select("package_id")
     edits = parsed_edits(operations.join(submissions.dropDuplicates(["package_id"]), "package_id"))
@@ -350,7 +359,8 @@ def apply_operations(
     errors = staged(union_all(*errors), "package-errors")
     good, _ = package_errors(known, errors)
     changed = staged(_changed_records(records, good, parser), "corrected")
-    return changed.drop("pre_status", "issues_added"), audit_rows(changed, good), errors
+    voided = None if decisions is None else stale_decisions(decisions, good, with_record_hash(changed.drop("pre_status", "issues_added")))
+    return changed.drop("pre_status", "issues_added"), audit_rows(changed, good, at, voided), errors
 
 
 def _later_packages(edits: DataFrame) -> DataFrame:

@@ -77,6 +77,19 @@ def test_operations_replay_in_order(spark):
     assert [x.error for x in replay.collect()] == ["index out of range"]
 
 
+def test_audit_tells_time_and_voided_decisions(spark):
+    r = records(spark, record("r1", "needs_review"), record("r2", "needs_review"))
+    same = with_record_hash(r).filter("reaction_id = 'r2'").first().record_hash
+    made = [decision(1, "condition", "confirmed"), decision(2, "reaction", "rejected"), decision(3, "completeness", "confirmed")]
+    made = spark.createDataFrame(made + [("d", 4, "d4", "r2", "condition", "r2", "confirmed", "r", "ann", same, "t")], DECISION)
+    ops = spark.createDataFrame([op(1, "r1", "set_value", path="time", value='"9 h"'), op(2, "r2", "confirm")], OP)
+    subs = spark.createDataFrame([("p", "ann", "ann")], SUB)
+    _, audit, _ = E.apply_operations(r, ops, subs, PARSER, decisions=made, at="2024-01-01T00:00:00Z")
+    assert {(a.reaction_id, a.invalidated_decisions, a.confirmed_at) for a in audit.collect()} == {("r1", 2, "2024-01-01T00:00:00Z"), ("r2", 1, "2024-01-01T00:00:00Z")}
+    _, audit, _ = E.apply_operations(r, ops, subs, PARSER)
+    assert all(a.invalidated_decisions == 0 and a.confirmed_at.endswith("Z") for a in audit.collect())
+
+
 def test_package_errors_inside_a_batch(spark):
     r = records(spark, record("r1", "needs_review"), record("r2", "needs_review"))
     ops = spark.createDataFrame([
