@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session. Where it is unset: a temporary folder in local mode (tests), an error on a
+    cluster, whose machines do not share one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("claimloom.test.folder", None)
     if not folder:
-        folder = spark.conf.get("claimloom.test.folder", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("claimloom.test.folder", folder)
     return folder
 
