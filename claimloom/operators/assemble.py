@@ -205,8 +205,8 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
     """Candidates and canonicalised structures -> flat record tables.
 
     Two shuffles carry data volume: candidates by group, base compounds by label.
-    ``store`` writes the group headers and structures once, for callers that go on to
-    issues, evidence and nested records; each would otherwise group the candidates again.
+    ``store`` writes the group headers, structures and resolved compounds once, for callers that go on to
+    issues, evidence and nested records; each would otherwise group the candidates and resolve again.
     """
     signed = with_signature(candidates)
     headers = group_headers(signed)
@@ -221,12 +221,19 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
             F.col("base.candidate_id").alias("base_candidate"), "base.temperature_c", "base.time", "base.yield_pct",
         ).alias("h"),
     )
-    outcome = resolve_structures(base_compounds(scalars, ["h"]), index, dictionary).groupBy("group_id").agg(
-        F.first("document_id").alias("document_id"), F.first("h").alias("h"),
+    counts = [
         F.count("side").alias("n_compounds"),
         F.count_if(F.col("state").isin("own", "label")).alias("n_resolved"),
         (F.count_if(F.col("state") == "ambiguous") + F.sum("label_errors")).alias("compound_errors"),
-    )
+    ]
+    if store:
+        resolved = staged(resolve_structures(base_compounds(headers), index, dictionary), "compounds")
+        outcome = scalars.drop("base").join(resolved.groupBy("group_id").agg(*counts), "group_id")
+    else:  # the header rides along, so that it need not be computed again to be joined back
+        resolved = resolve_structures(base_compounds(headers), index, dictionary)
+        outcome = resolve_structures(base_compounds(scalars, ["h"]), index, dictionary).groupBy("group_id").agg(
+            F.first("document_id").alias("document_id"), F.first("h").alias("h"), *counts
+        )
     joined = outcome.select("*", "h.*").drop("h").join(evidence_digests(evidence), "group_id", "left")
     joined = joined.fillna(0, ["n_evidence", "evidence_digest"]).withColumn(
         "error_count", F.col("own_errors") + F.col("compound_errors")
@@ -242,8 +249,7 @@ def assemble(candidates: DataFrame, structures: DataFrame, dictionary: DataFrame
         *[f"conflict_{f}" for f in CONFLICT_FIELDS],
         round4("score").alias("confidence"), "review_status",
     )
-    compounds = resolve_structures(base_compounds(headers), index, dictionary).filter(F.col("side").isNotNull())
-    return Assembly(signed, headers, compounds, evidence, structures, records)
+    return Assembly(signed, headers, resolved.filter(F.col("side").isNotNull()), evidence, structures, records)
 
 
 def record_keys(assembly: Assembly) -> DataFrame:
