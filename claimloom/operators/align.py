@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import content_hash
 from ..functions.text import compound_keys
 from ..staging import staged
+from .contention import GOLD, PREDICTED, contended_rows, walk_alignment, walk_matches, without
 from .ranking import long_block, number_rows, union_all
 
 
@@ -25,19 +26,27 @@ def _slim(df: DataFrame) -> DataFrame:
     return reaction_key(df).select("document_id", "ord", "reaction_id", "reaction_key")
 
 
-def match_records(predicted: DataFrame, gold: DataFrame, block_bits: int = 20) -> DataFrame:
+def match_records(predicted: DataFrame, gold: DataFrame, block_bits: int = 20, contention: str = "id") -> DataFrame:
     """Pairs (document_id, p_ord, g_ord, reaction_id, gold_reaction_id, basis).
 
     Ids first (last predicted row, first benchmark row of an id), then the k-th
     unused predicted row of a key with the k-th benchmark row whose id is unknown.
     Each row is used once.
+
+    ``contention`` says what becomes of a predicted row that one benchmark row names by id and an earlier one
+    could take by key: ``id`` keeps it for the id, ``walk`` goes through the benchmark rows of its component in
+    order, so that the earlier one may take it.
     """
-    return match_keyed(staged(_slim(predicted), "predicted_keys"), staged(_slim(gold), "gold_keys"), block_bits)
+    return match_keyed(staged(_slim(predicted), "predicted_keys"), staged(_slim(gold), "gold_keys"), block_bits, contention)
 
 
-def match_keyed(p: DataFrame, g: DataFrame, block_bits: int = 20) -> DataFrame:
+def match_keyed(p: DataFrame, g: DataFrame, block_bits: int = 20, contention: str = "id") -> DataFrame:
     """``match_records`` of tables that have their reaction_key; both are read several times."""
     p, g = (rows.select("document_id", "ord", "reaction_id", "reaction_key") for rows in (p, g))
+    if _walks(contention):
+        walked = contended_rows(p, g, _contended_keys(p, g))
+        rest = match_keyed(without(p, walked, PREDICTED), without(g, walked, GOLD), block_bits)
+        return rest.unionByName(walk_matches(walked))
     known = F.coalesce(F.col("reaction_id"), F.lit("")) != ""
     p_last = p.filter(known).groupBy("document_id", "reaction_id").agg(F.max("ord").alias("p_ord"))
     g_first = g.groupBy("document_id", "reaction_id").agg(F.min("ord").alias("g_ord"))
@@ -61,13 +70,28 @@ def match_keyed(p: DataFrame, g: DataFrame, block_bits: int = 20) -> DataFrame:
     ).unionByName(by_key)
 
 
-def align_gold(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+def align_gold(predicted: DataFrame, gold: DataFrame, contention: str = "id") -> DataFrame:
     """One row per benchmark row and per unused predicted row, with how they were aligned.
 
     Only counts and first rows per id and key are needed, so every step is an
     aggregate with a fixed-size buffer or an equi join; no group is ever gathered.
+    ``contention`` is that of ``match_records``: with ``walk``, contended components alone are gathered and walked.
     """
     p, g = staged(_slim(predicted), "predicted_keys"), staged(_slim(gold), "gold_keys")
+    if not _walks(contention):
+        return _align_keyed(p, g)
+    walked = contended_rows(p, g, _contended_keys(p, g))
+    rest = _align_keyed(staged(without(p, walked, PREDICTED), "predicted_keys"), staged(without(g, walked, GOLD), "gold_keys"))
+    return rest.unionByName(walk_alignment(walked))
+
+
+def _walks(contention: str) -> bool:
+    if contention not in ("id", "walk"):
+        raise ValueError(f"contention is 'id' or 'walk', not {contention!r}")
+    return contention == "walk"
+
+
+def _align_keyed(p: DataFrame, g: DataFrame) -> DataFrame:
     id_cols, key_cols = ["document_id", "reaction_id"], ["document_id", "reaction_key"]
     p_first = p.groupBy(*id_cols).agg(F.min("ord").alias("p_ord"))
     g_ids = g.groupBy(*id_cols).agg(F.count("*").alias("n_same_id"), F.min("ord").alias("first_ord"))
@@ -95,7 +119,7 @@ def align_gold(predicted: DataFrame, gold: DataFrame) -> DataFrame:
             alignment.alias("alignment"), basis.alias("alignment_basis"), p_ord.alias("p_ord"), F.col("ord").alias("g_ord"),
         )
 
-    nothing = F.lit(None).cast(predicted.schema["ord"].dataType)
+    nothing = F.lit(None).cast(p.schema["ord"].dataType)
     twice = rows(
         seen.filter("n_same_id > 1"), F.when(taken, F.col("reaction_id")).otherwise(missing_id),
         F.when(taken, "ambiguous").otherwise("unmatched_gold"), repeated, F.when(taken, F.col("p_ord")),
@@ -127,10 +151,13 @@ def align_gold(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 def id_key_contention(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Predicted rows claimed by id that share a key with an earlier benchmark row of unknown id.
 
-    A row-by-row walk over the benchmark may give such a row away by key; here the
-    id match is kept.  The count tells how many rows that choice concerns.
+    A row-by-row walk over the benchmark may give such a row away by key; ``contention``
+    chooses between it and the id match.  The count tells how many rows that choice concerns.
     """
-    p, g = _slim(predicted), _slim(gold)
+    return _contended_keys(_slim(predicted), _slim(gold))
+
+
+def _contended_keys(p: DataFrame, g: DataFrame) -> DataFrame:
     known = p.select("document_id", "reaction_id").distinct()
     open_first = g.join(known, ["document_id", "reaction_id"], "left_anti").groupBy("document_id", "reaction_key").agg(
         F.min("ord").alias("open_ord")

@@ -146,18 +146,18 @@ def structure_pairs(predicted: DataFrame, gold: DataFrame, matches: DataFrame, b
     return matches.select(*ids, "p_ord", "g_ord").join(p, ids).join(g, ids)
 
 
-def evaluate(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, by=(), pairs: str = "id", totals: bool = False) -> DataFrame:
+def evaluate(predicted: DataFrame, gold: DataFrame, dictionary: DataFrame, by=(), pairs: str = "id", totals: bool = False, contention: str = "id") -> DataFrame:
     """Counts, precision, recall, yield accuracy, structure and stereo agreement.
 
     Both inputs are scanned once, into tables of the columns that count, with their reaction keys. Every contribution
     becomes a row of counters and one aggregate sums them, so the final step sees one partial row per task. ``by`` splits
     the report by columns both tables carry; with ``totals`` the same aggregate also gives the rows of every shorter
-    prefix of ``by`` and of everything, the missing columns null.
+    prefix of ``by`` and of everything, the missing columns null. ``contention`` is that of ``align.match_records``.
     """
     by = list(by)
     columns = ["document_id", "ord", "reaction_id", "reaction_key", "yield_pct", "reactants", "products", *by]
     predicted, gold = (staged(reaction_key(rows).select(*columns), name) for rows, name in ((predicted, "predicted"), (gold, "gold")))
-    matches = staged(match_keyed(predicted, gold), "matches")
+    matches = staged(match_keyed(predicted, gold, contention=contention), "matches")
     p = predicted.select(
         "document_id", F.col("ord").alias("p_ord"), F.col("yield_pct").alias("p_yield"), *by, _compounds("cs")
     )

@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import Window, functions as F
 
-from claimloom.operators import align, compare as C, ranking as R, structures as S
+from claimloom.operators import align, compare as C, contention, ranking as R, structures as S
 from claimloom.plans.standins import PARSER
 
 COMPOUND = "array<struct<label:string,name:string,smiles:string,role:string>>"
@@ -20,7 +21,7 @@ def table(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def random_rows(seed, documents=40):
+def random_rows(seed, documents=40, contended=False):
     rng = random.Random(seed)
     predicted, gold = [], []
     for d in range(documents):
@@ -29,7 +30,8 @@ def random_rows(seed, documents=40):
             predicted.append(rec(doc, n, f"r{rng.randint(0, 4)}", f"k{rng.randint(0, 2)}"))
         ids = {p[2] for p in predicted if p[0] == doc}
         rows = [rec(doc, 0, f"r{rng.randint(0, 6)}", f"k{rng.randint(0, 2)}") for _ in range(rng.randint(0, 6))]
-        rows.sort(key=lambda g: g[2] not in ids)  # id matches first: no contention
+        if not contended:
+            rows.sort(key=lambda g: g[2] not in ids)  # id matches first: no contention
         gold += [(g[0], n, *g[2:]) for n, g in enumerate(rows)]
     return predicted, gold
 
@@ -88,6 +90,39 @@ def test_alignment_equals_the_walk_and_loses_nothing(spark):
     assert Counter((r[0], r[1]) for r in got if r[1] is not None) == Counter((g[0], g[1]) for g in gold)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_contended_rows_walk_in_order(spark, seed):
+    predicted, gold = random_rows(seed, contended=True)
+    p, g = table(spark, predicted), table(spark, gold)
+    pairs = align.match_records(p, g, contention="walk").select("document_id", "p_ord", "g_ord").collect()
+    assert Counter(map(tuple, pairs)) == Counter(walk_matches(predicted, gold))
+    assert Counter(map(tuple, align.match_records(p, g).select("document_id", "p_ord", "g_ord").collect())) != Counter(map(tuple, pairs))
+    rows = align.align_gold(p, g, contention="walk").select("document_id", "g_ord", "p_ord", "alignment").collect()
+    assert Counter(map(tuple, rows)) == Counter(walk_alignment(predicted, gold))
+    assert C.evaluate(p, g, S.structure_dictionary(spark.createDataFrame([("CC",), ("CCO",)], "smiles string"), PARSER), contention="walk").first().matched_count == len(pairs)
+
+
+def test_only_contended_components_are_walked(spark):
+    n = 40  # a chain: row i shares its key with i - 1 of the benchmark, whose ids follow one later
+    predicted = [rec("chain", i, f"r{i}", f"k{i}") for i in range(n)] + [rec("chain", n, "far", "away"), rec("calm", 0, "r0", "k0")]
+    gold = [rec("chain", 0, "g", "k0")] + [rec("chain", i + 1, f"r{i}", f"k{i + 1}") for i in range(n - 1)] + [rec("chain", n, "far", "away"), rec("calm", 0, "r0", "k0")]
+    p, g = align._slim(table(spark, predicted)), align._slim(table(spark, gold))
+    rows = contention.contended_rows(p, g, align._contended_keys(p, g))
+    assert rows.select("component").distinct().count() == 1
+    assert Counter(r.side for r in rows.collect()) == {contention.PREDICTED: n, contention.GOLD: n}
+    got = align.match_records(table(spark, predicted), table(spark, gold), contention="walk").select("document_id", "p_ord", "g_ord").collect()
+    assert Counter(map(tuple, got)) == Counter(walk_matches(predicted, gold))
+    with pytest.raises(ValueError):
+        align.align_gold(table(spark, predicted), table(spark, gold), contention="key")
+
+
+def test_walk_of_empty_tables(spark):
+    empty, rows = table(spark, []), table(spark, [rec("d", 0, "r1", "a")])
+    assert align.match_records(empty, empty, contention="walk").count() == 0
+    assert align.match_records(rows, empty, contention="walk").count() == 0
+    assert [r.alignment for r in align.align_gold(empty, rows, contention="walk").collect()] == ["unmatched_gold"]
+
+
 def test_duplicate_gold_ids_are_ambiguous(spark):
     rows = align.align_gold(table(spark, [rec("d", 0, "r1", "a")]), table(spark, [rec("d", 0, "r1", "a"), rec("d", 1, "r1", "a")])).orderBy("g_ord").collect()
     assert [r.alignment for r in rows] == ["ambiguous", "unmatched_gold"]
