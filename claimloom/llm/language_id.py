@@ -2,7 +2,13 @@
 
 A bounded sample of labelled text per language becomes a suffix automaton. A text is parsed greedily against
 each automaton: every phrase is the longest match that starts where the last one ended. The language whose
-automaton needs the fewest phrases per letter wins (the letters are the same for all, so the fewest phrases).
+automaton needs the fewest normalised phrases wins: a phrase is a place in the labelled text, so it costs the logarithm
+of that text's length, and a language with a short sample is not judged by the phrases it lacks. The letters are the
+same for all languages, so nothing is divided by their number.
+
+No letter is dropped. Up to ``LETTERS`` letters of the sample have a symbol each. Where it has more (Chinese, Japanese, many
+scripts together), the most frequent ones have a symbol and every other letter, known or not, is spelled in three symbols
+by its code point, so automata keep a narrow table whatever the script.
 
 Parsing runs over whole texts, cut into pieces of ``PIECE`` characters so that many pieces advance in step
 through numpy tables; a phrase ends at the end of its piece. A piece is the same for every language.
@@ -16,12 +22,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import load, share, training_row, unpacked
 
-MAX_CHARS = 32_768  # of labelled text per language in its automaton: the bound of the sample
+MAX_CHARS = 32_768  # symbols of labelled text per language in its automaton: the bound of the sample
 SNIPPETS, SNIPPET = 256, 512  # the sample: snippets per language, characters of each
 MAX_LANGUAGES = 200  # automata held by a task
 LETTERS = 94
 PIECE = 256
 UNKNOWN, GAP = 0, 1
+LEADS, TRAILS = 52, 64  # symbols that spell a letter by its code point: the first, and each of the two behind it
+TABLE_BYTES = 256 << 20  # of all tables together, at most: with many languages each has a shorter sample
 
 
 class Automaton:
@@ -79,29 +87,49 @@ class Model:
                     seen[c] = seen.get(c, 0) + 1
         letters = sorted(sorted(seen), key=lambda c: -seen[c])[:LETTERS]
         code = {c: i + 2 for i, c in enumerate(letters)}
+        self.lead = len(letters) + 2 if len(seen) > LETTERS else 0  # the first symbol that spells, or none
+        self.width = len(letters) + 2 + (LEADS + TRAILS if self.lead else 0)
+        other = self.lead + LEADS + TRAILS if self.lead else UNKNOWN  # stands for a letter to be spelled
         self.codes = np.fromiter(
-            (code.get(c[:1], UNKNOWN) if c.isalpha() else GAP for c in lower), dtype=np.uint8, count=len(lower)
+            (code.get(c[:1], other) if c.isalpha() else GAP for c in lower), dtype=np.uint8, count=len(lower)
         )
-        self.tables = []
+        self.lower = np.fromiter((ord(c[0]) if c else i for i, c in enumerate(lower)), dtype=np.uint32, count=len(lower) if self.lead else 0)
+        self.tables, self.cost = [], []
+        max_chars = max(1, min(max_chars, TABLE_BYTES // (8 * self.width * max(len(samples), 1))))
         for name in self.names:
-            automaton = Automaton(max_chars + 1, len(letters) + 2)
+            automaton = Automaton(max_chars + 1, self.width)
             left = max_chars
             for text in samples[name]:
                 if left <= 0:
                     break
-                text = text[:left]
-                left -= len(text)
+                symbols = self.encode(text[:left])[:left]
+                left -= len(symbols)
                 automaton.last = 1
-                for c in self.encode(text).tolist():
+                for c in symbols.tolist():
                     if c == UNKNOWN:
                         automaton.last = 1
                     else:
                         automaton.extend(c)
             self.tables.append(automaton.table())
-        self.width = len(letters) + 2
+            self.cost.append(np.log2(max_chars - left + 2))
 
     def encode(self, text: str) -> np.ndarray:
-        return self.codes[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
+        return self.symbols(text)[0]
+
+    def symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of the text, where those of each character begin, with the end)."""
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        codes = self.codes[points]
+        spelled = codes == self.lead + LEADS + TRAILS if self.lead else np.zeros(len(codes), dtype=bool)
+        begin = np.concatenate([[0], np.cumsum(np.where(spelled, 3, 1))])
+        if not spelled.any():
+            return codes, begin
+        out = np.repeat(codes, np.diff(begin))
+        at, point = begin[:-1][spelled], self.lower[points[spelled]]
+        out[at] = self.lead + np.minimum(point >> 12, LEADS - 1)
+        out[at + 1] = self.lead + LEADS + (point >> 6 & TRAILS - 1)
+        out[at + 2] = self.lead + LEADS + (point & TRAILS - 1)
+        return out, begin
 
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[language, text]: phrases of texts offsets[i]:offsets[i + 1] of a code sequence."""
@@ -158,7 +186,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """The input columns, less any that clash, with lang_pred (``und`` if the text is null or has no letter, or if nothing
-    was learned), score (0 to 1: how far the second-best language is behind, in phrases) and letters.
+    was learned), score (0 to 1: how far the second-best language is behind, in normalised phrases) and letters.
 
     Ties go to the name that sorts first, with score 0. Texts are parsed whole, of any length; repeated rows
     get equal results. Null ids are allowed. An empty table gives no rows.
@@ -182,20 +210,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         end += 1
                     part = texts[at:end]
                     at = end
-                    codes = model.encode("".join(part))
-                    offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-                    some = np.concatenate([[0], np.cumsum(codes != GAP)])[offsets]
-                    n = np.diff(some)
+                    codes, begin = model.symbols("".join(part))
+                    ends = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+                    offsets = begin[ends]
+                    n = np.diff(np.concatenate([[0], np.cumsum(codes[begin[:-1]] != GAP)])[ends])
                     letters += n.tolist()
                     if not model.names:
                         langs += ["und"] * len(part)
                         scores += [0.0] * len(part)
                         continue
-                    counts = model.phrases(codes, offsets)
+                    counts = model.phrases(codes, offsets) * np.array(model.cost)[:, None]
                     best = counts.argmin(axis=0)
                     order = np.sort(counts, axis=0)
-                    second = order[1] if len(order) > 1 else np.full(len(part), np.iinfo(np.int64).max)
-                    score = np.where(n > 0, 1 - order[0] / np.maximum(second, 1), 0.0)
+                    second = order[1] if len(order) > 1 else np.full(len(part), np.inf)
+                    score = np.where(n > 0, 1 - order[0] / np.where(second > 0, second, 1), 0.0)
                     langs += [model.names[k] if m else "und" for k, m in zip(best.tolist(), n.tolist())]
                     scores += np.clip(score, 0, 1).tolist()
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 
@@ -264,6 +265,45 @@ def test_cross_parse_is_greedy_longest_match():
     assert model.phrases(model.encode(text), np.array([0, len(text)]))[0, 0] == want
 
 
+SCRIPTS = {
+    "zh": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光",
+    "ja": "いろはにほへとちりぬるをわかよたれそつねならむうゐのおくやまけふこえてあさきゆめみしゑひもせす日本語の文章を読む",
+    "ru": "съешь же ещё этих мягких французских булок да выпей чаю в чащах юга жил бы цитрус да но фальшивый экземпляр",
+    "el": "ξεσκεπάζω την ψυχοφθόρα βδελυγμία γαζίες και μυρτιές δεν θα βρω πια στο χρυσαφί ξέφωτο",
+    "en": "the quick brown fox jumps over the lazy dog and sphinx of black quartz judge my vow while five boxing wizards jump quickly",
+    "de": "zwölf boxkämpfer jagen viktor quer über den großen sylter deich und falsches üben von xylophonmusik quält jeden größeren zwerg",
+}
+
+
+def test_language_of_many_scripts(spark):
+    rng = random.Random(8)
+    parts = {k: v.split() if " " in v else [v[i : i + 4] for i in range(len(v) - 4)] for k, v in SCRIPTS.items()}
+    made = lambda name, n: ("" if name in ("zh", "ja") else " ").join(rng.choice(parts[name]) for _ in range(n))
+    model = language_id.Model({name: [made(name, 40) for _ in range(20)] for name in SCRIPTS})
+    assert model.lead and model.width < 256 and len(model.encode("玄")) == 3 and len(model.encode("𠀀")) == 3  # the latter in no sample
+    names = [*SCRIPTS] * 20
+    rows = [(i, made(name, 12)) for i, name in enumerate(names)]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(len(names))] == names
+    assert all(got[i].letters == sum(c.isalpha() for c in text) and 0 < got[i].score <= 1 for i, text in rows)
+
+
+def test_language_with_a_short_sample(spark):
+    rng = random.Random(9)
+    made = lambda name, n: " ".join(rng.choice(SCRIPTS[name].split()) for _ in range(n))
+    model = language_id.Model({"de": [made("de", 100) for _ in range(40)], "en": [SCRIPTS["en"]]})
+    assert model.cost[0] > model.cost[1]
+    rows = [(i, made(("de", "en")[i % 2], 15)) for i in range(40)]
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred == ("de", "en")[r.doc_id % 2] for r in got)
+
+
+def test_language_tables_have_a_bound(monkeypatch):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1 << 16)
+    model = language_id.Model({name: [text * 50] for name, text in SCRIPTS.items()})
+    assert sum(t.nbytes for t in model.tables) <= 2 * (1 << 16)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------
 
 
