@@ -444,6 +444,59 @@ def test_rlz_matches_brute_force(spark, batch):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed and hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def brute_parse(matches):
+    """Greedy: the next covered word's match that reaches furthest."""
+    out, word, last = [], 0, max((e for _, e, *_ in matches), default=0)
+    while word < last:
+        ends = [e for s, e, *_ in matches if s <= word < e]
+        if ends:
+            out.append((word, max(ends)))
+        word = max(ends, default=word + 1)
+    return out
+
+
+def test_rlz_parse_is_greedy():
+    random = np.random.default_rng(4)
+    for _ in range(300):
+        k = int(random.integers(0, 12))
+        start, ref = random.integers(0, 200, k), random.integers(0, 3, k)
+        end = start + random.integers(20, 60, k)
+        rstart = random.integers(0, 10**6, k)  # no two go on in each other
+        got = rlz_dedup.parse(start, end, ref, rstart)
+        assert [f[:2] for f in got] == brute_parse(list(zip(start.tolist(), end.tolist())))
+        shift = {(int(r), int(s) - int(q)) for r, s, q in zip(ref, start, rstart)}
+        assert all((at, begin - place) in shift for begin, _, at, place in got)
+
+
+def test_rlz_matches_are_extended_in_one_reference():
+    cols = lambda *rows: [np.array(x) for x in zip(*rows)]
+    # words 0-30 and 30-60 of one reference go on; the match with document 5 lies across and adds nothing
+    assert rlz_dedup.parse(*cols((0, 30, 9, 100), (30, 60, 9, 130), (20, 45, 5, 0))) == [(0, 60, 9, 100)]
+    # a gap in the reference: the match across the border closes it
+    assert rlz_dedup.parse(*cols((0, 30, 9, 100), (31, 60, 9, 131), (20, 45, 5, 0))) == [(0, 30, 9, 100), (30, 45, 5, 10), (45, 60, 9, 145)]
+
+
+def test_rlz_factors_are_copies_of_earlier_words(spark):
+    random = np.random.default_rng(5)
+    word = lambda n, k=2000: " ".join(f"w{random.integers(k)}" for _ in range(n))
+    one, two = word(90), word(70)
+    rows = [(1, f"{word(12)} {one}"), (2, f"{word(30)} {two} {word(9)}"), (3, f"{one} {word(5)} {two}"), (4, " ".join(two.split()[10:60] + one.split()[:40]))]
+    rows += [(5, "again and " * 30), (6, word(100, 4)), (7, word(300, 2)), (8, word(19)), (9, None)]
+    got = rlz_dedup.factors(frame(spark, rows)).collect()
+    words = {i: (t or "").split() for i, t in rows}
+    for r in got:
+        assert words[r.doc_id][r.start : r.start + r.length] == words[r.ref_id][r.ref_start : r.ref_start + r.length]
+        assert (r.ref_id, r.ref_start) < (r.doc_id, r.start)
+    plain = sorted((r.doc_id, r.start, r.length, r.ref_id, r.ref_start) for r in got if r.doc_id < 5)
+    assert plain == [(3, 0, 90, 1, 12), (3, 95, 70, 2, 30), (4, 0, 50, 2, 40), (4, 50, 40, 1, 12)]
+    covered = {i: set() for i in words}
+    for r in got:
+        assert not covered[r.doc_id] & set(range(r.start, r.start + r.length))
+        covered[r.doc_id] |= set(range(r.start, r.start + r.length))
+    removed = {x[0]: x[2] for x in brute_substrings(rows)}
+    assert {i: len(c) for i, c in covered.items()} == removed
+
+
 def test_rlz_awkward(spark):
     rows = [(r.doc_id, r.text) for r in awkward(spark).collect()]
     got = rlz_dedup.dedup(awkward(spark)).collect()
