@@ -4,6 +4,10 @@ Three base patterns find assignments, access keys and long hex strings. Beyond t
 credential word (a wider set of words and connectives) is priced by dynamic programming: the cheapest way
 to cut it into words, dates, repeats, keyboard walks and brute-force spans, in guesses. A value that costs
 ``MIN_GUESSES`` (powers of ten) or more is a span of kind ``guess``; "password = changeme" is not one.
+
+Words have the rank of a short list of common passwords and, behind these, of the words of the corpus itself by their
+counts over all documents (``learned_words``). A value that is nothing but such words and single separators is most
+often prose or a placeholder ("auth: documentation"), so it must cost ``PHRASE_GUESSES``: some five rare words.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import load
 
 MIN_GUESSES = 10.0
+PHRASE_GUESSES = 18.0
 MIN_VALUE = 6
+TOP_WORDS, MIN_COUNT = 20_000, 5  # words learned from the corpus: how many at most, and how often each must stand there
+SEPARATORS = "-_."
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -70,6 +77,7 @@ SWAPS = str.maketrans("@40!13$57", "aaoiiesst")
 class GuessCost:
     """Cheapest segmentation of a value, as a power of ten of guesses."""
 
+    SEPARATOR = math.log10(len(SEPARATORS) + 1)
     PIECE = math.log10(2)  # what each further piece costs: the guesser does not know where pieces end
 
     def __init__(self, words=COMMON):
@@ -78,6 +86,18 @@ class GuessCost:
             self.rank.setdefault(w, i + 1)
         self.longest = max(map(len, self.rank), default=0)
 
+    def plain(self, value: str) -> bool:
+        """Whether the value is words with at most one separator between them."""
+        n = len(value)
+        reached = [True] + [False] * n
+        for j in range(2, n + 1):
+            for i in range(max(0, j - self.longest), j - 1):
+                begins = reached[i] or (i > 1 and value[i - 1] in SEPARATORS and reached[i - 1])
+                if begins and value[i:j].lower() in self.rank:
+                    reached[j] = True
+                    break
+        return n > 0 and reached[n]
+
     def _word(self, part: str) -> float | None:
         lower = part.lower()
         rank, swapped = self.rank.get(lower), 0
@@ -119,6 +139,8 @@ class GuessCost:
                 cost = self._word(value[i:j])
                 if cost is not None:
                     low = min(low, best[i] + cost + self.PIECE)
+            if 1 < j < n and value[j - 1] in SEPARATORS:
+                low = min(low, best[j - 1] + self.SEPARATOR)
             for i in dates.get(j, ()):
                 low = min(low, best[i] + (4.6 if j - i > 4 else 2.1) + self.PIECE)
             i = alike[j - 1]
@@ -154,7 +176,9 @@ def find(text: str, cost: GuessCost, min_guesses: float = MIN_GUESSES) -> list[t
             if len(value) < MIN_VALUE:
                 continue
             guesses = cost(value)
-            if guesses >= min_guesses and (not value.isalpha() or "=" in m.group() or ":" in m.group()):
+            if guesses < min_guesses or (guesses < PHRASE_GUESSES and cost.plain(value)):
+                continue
+            if not value.isalpha() or "=" in m.group() or ":" in m.group():
                 hidden = start + len(value)
                 out.append((start, 3, hidden, guesses))
     if "AKIA" in text:
@@ -177,6 +201,18 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
+def learned_words(docs: DataFrame, text_col: str = "text", top: int = TOP_WORDS, min_count: int = MIN_COUNT) -> tuple[str, ...]:
+    """The commonest words of 4 to 16 letters of all texts, lower case, commonest first (ties by the word), behind COMMON.
+
+    Counts cover every text; at most ``top`` words reach the driver. Letters beside a digit or longer runs (keys, hashes) are no
+    words. Null and empty texts and empty tables have none.
+    """
+    found = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,16}(?![\p{L}\p{N}])"), F.lit(0))
+    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    rows = counts.orderBy(F.desc("n"), "word").limit(top).collect()
+    return (*COMMON, *(r.word for r in rows))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES, words=COMMON) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans, guess_max.
 
@@ -225,4 +261,5 @@ def redacted(docs: DataFrame, text_col: str = "text", min_guesses: float = MIN_G
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
+    return scan(docs, words=learned_words(docs))

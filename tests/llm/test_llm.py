@@ -204,6 +204,40 @@ def test_guess_cost_orders_values_and_is_the_least_over_segmentations():
     assert [("assign", "guess")[s[1] == 3] for s in spans] == ["guess", "assign"]
 
 
+PROSE = "please read the manual before you open an umbrella near the keyboard since documentation of the configuration loader says mountain river bicycle"
+
+
+def test_learned_words_spare_plain_phrases(spark):
+    rows = [(i, f"{PROSE} {PROSE.title()}, x{i}y only{i} zqxjkvwpblmtr" if i == 3 else PROSE) for i in range(6)] + [(9, None), (10, "")]
+    docs = frame(spark, rows)
+    words = secret_scan.learned_words(docs)
+    assert words[: len(secret_scan.COMMON)] == secret_scan.COMMON and "umbrella" in words and "zqxjkvwpblmtr" not in words
+    assert secret_scan.learned_words(docs.repartition(3)) == words and len(secret_scan.learned_words(docs, top=2)) == len(secret_scan.COMMON) + 2
+    assert secret_scan.learned_words(frame(spark, [])) == secret_scan.COMMON
+    phrases = ["umbrella-keyboard", "mountainriverbicycle", "please-read-the-manual", "configuration_loader", "Documentation"]
+    secrets = ["hT7$kQ9!zP2x", "umbre11a-Keyb0ard", "Xy7#pQ9z!wRt5", "umbrella#9xQ!v7Lp2", "zqxjkvwpblmtr=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzKEYQ9s1", "documentation8f3k2q9x"]
+    made = frame(spark, [(i, f"auth: {v} y") for i, v in enumerate(phrases + secrets)])
+    got = {r.doc_id: r.n_guess for r in secret_scan.scan(made, words=words).collect()}
+    assert [got[i] for i in range(len(phrases))] == [0] * len(phrases)
+    assert [got[i] for i in range(len(phrases), len(got))] == [1] * len(secrets)
+    assert {r.text for r in secret_scan.redacted(made, words=words).collect()} == {*(f"auth: {v} y" for v in phrases), "auth: [SECRET] y"}
+
+
+def brute_plain(value, words):
+    if not value:
+        return False
+    starts = [w for w in words if len(w) > 1 and value.lower().startswith(w)]
+    return any(len(w) == len(value) or brute_plain(value[len(w):], words) or (value[len(w)] in "-_." and brute_plain(value[len(w) + 1:], words)) for w in starts)
+
+
+def test_plain_values_match_brute_force():
+    words = ("ab", "aba", "ba", "cab")
+    cost, pick = secret_scan.GuessCost(words), np.random.default_rng(6)
+    for _ in range(3000):
+        value = "".join(pick.choice(list("abc-_"), int(pick.integers(1, 9))))
+        assert cost.plain(value) == brute_plain(value, words), value
+
+
 def test_secrets_in_identifiers_and_behind_other_keywords():
     cost, key = secret_scan.GuessCost(), "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzKEYQ9s1"
     values = {
