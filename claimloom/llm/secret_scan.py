@@ -19,6 +19,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from claimloom.staging import staged
+
 from .common import load
 
 MIN_GUESSES = 10.0
@@ -204,13 +206,21 @@ def redact(text: str, spans) -> str:
 def learned_words(docs: DataFrame, text_col: str = "text", top: int = TOP_WORDS, min_count: int = MIN_COUNT) -> tuple[str, ...]:
     """The commonest words of 4 to 16 letters of all texts, lower case, commonest first (ties by the word), behind COMMON.
 
-    Counts cover every text; at most ``top`` words reach the driver. Letters beside a digit or longer runs (keys, hashes) are no
+    Counts cover every text. Words of about equal counts (16 classes to each doubling) are taken together, as long as no more than
+    ``top`` words are; only these reach the driver. Letters beside a digit or longer runs (keys, hashes) are no
     words. Null and empty texts and empty tables have none.
     """
     found = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,16}(?![\p{L}\p{N}])"), F.lit(0))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    rows = counts.orderBy(F.desc("n"), "word").limit(top).collect()
-    return (*COMMON, *(r.word for r in rows))
+    counts = staged(counts.withColumn("class", F.floor(F.log2("n") * 16)), "word_counts")
+    left, lowest = top, None
+    for row in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        left -= row["count"]
+        if left < 0:
+            break
+        lowest = row["class"]
+    rows = counts.filter(F.col("class") >= lowest).collect() if lowest is not None else []
+    return (*COMMON, *(r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES, words=COMMON) -> DataFrame:

@@ -212,7 +212,10 @@ def test_learned_words_spare_plain_phrases(spark):
     docs = frame(spark, rows)
     words = secret_scan.learned_words(docs)
     assert words[: len(secret_scan.COMMON)] == secret_scan.COMMON and "umbrella" in words and "zqxjkvwpblmtr" not in words
-    assert secret_scan.learned_words(docs.repartition(3)) == words and len(secret_scan.learned_words(docs, top=2)) == len(secret_scan.COMMON) + 2
+    assert secret_scan.learned_words(docs.repartition(3)) == words
+    again = frame(spark, [(0, "twice twice often often often " * 4), (1, "first second third " * 5)])
+    tops = [secret_scan.learned_words(again, top=n)[len(secret_scan.COMMON):] for n in (0, 1, 2, 4, 5)]  # classes whole or not at all
+    assert tops == [(), ("often",), ("often", "twice"), ("often", "twice"), ("often", "twice", "first", "second", "third")]
     assert secret_scan.learned_words(frame(spark, [])) == secret_scan.COMMON
     phrases = ["umbrella-keyboard", "mountainriverbicycle", "please-read-the-manual", "configuration_loader", "Documentation"]
     secrets = ["hT7$kQ9!zP2x", "umbre11a-Keyb0ard", "Xy7#pQ9z!wRt5", "umbrella#9xQ!v7Lp2", "zqxjkvwpblmtr=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzKEYQ9s1", "documentation8f3k2q9x"]
