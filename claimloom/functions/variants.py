@@ -18,8 +18,14 @@ def parse_strict(text) -> Column:
     text = col(text)
     mark = F.lit(f',"{_END}"]'.replace("\u0002", "\\u0002"))
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, mark)), F.lit("$"), "array<variant>")
-    last = F.try_variant_get(F.get(items, F.lit(1)), F.lit("$"), "string")
-    return F.when((F.size(items) == 2) & (last == _END), F.get(items, F.lit(0)))
+    # As a lambda's variable the parsed text is one value; named three times it would be parsed three times.
+    ended = lambda x: (F.size(x) == 2) & (F.try_variant_get(F.get(x, F.lit(1)), F.lit("$"), "string") == _END)
+    return F.get(F.transform(F.filter(F.array(items), ended), lambda x: F.get(x, F.lit(0))), F.lit(0))
+
+
+def once(value, name: str) -> Column:
+    """A generated column: later filters stay above it, so an expensive value is not computed again for each of them."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def get(v, *keys) -> Column:

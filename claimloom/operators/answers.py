@@ -1,6 +1,6 @@
 """Raw answers -> JSON payloads -> candidate rows."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import variants as V
 from ..functions.ids import stable_id
@@ -35,6 +35,20 @@ def _rows(payloads: DataFrame, wrappers, row_column="row") -> DataFrame:
     return exploded.filter(V.is_object(row_column))
 
 
+def row_confidence(row) -> Column:
+    return F.coalesce(V.number_value(V.get(row, "confidence")), F.lit(0.5))
+
+
+def structure_smiles(row) -> Column:
+    return strip(V.first_truthy(row, "smiles", "canonical_smiles"))
+
+
+def valid_row(row, structure: Column) -> Column:
+    """Whether ``reaction_candidates``, or ``structure_candidates`` where ``structure`` holds, keep this value as a row."""
+    kept = row_confidence(row).between(0, 1) & (~structure | F.coalesce(structure_smiles(row) != "", F.lit(False)))
+    return F.when(V.is_object(row), F.coalesce(kept, F.lit(False))).otherwise(F.lit(False))
+
+
 def reaction_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
     """Payload rows (payload, source, evidence_ids) -> normalised reaction candidates.
 
@@ -62,7 +76,7 @@ def reaction_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
         V.string_list("_reagents").alias("reagents"), V.string_list("_solvents").alias("solvents"),
         V.number_value("_temperature_c").alias("temperature_c"), strip(V.truthy_text("_time")).alias("time"),
         bounded_percent(V.number_value("_yield_pct")).alias("yield_pct"), evidence.alias("evidence_ids"),
-        F.coalesce(V.number_value(V.get("row", "confidence")), F.lit(0.5)).alias("confidence"),
+        row_confidence("row").alias("confidence"),
     )
     return out.filter(F.col("confidence").between(0, 1))
 
@@ -70,7 +84,7 @@ def reaction_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
 def structure_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
     """Payload rows (payload, evidence_ids) -> normalised structure candidates."""
     rows = _rows(payloads, ("structures", "candidates") if unwrap else ())
-    smiles = strip(V.first_truthy("row", "smiles", "canonical_smiles"))
+    smiles = structure_smiles("row")
     label = F.coalesce(
         V.first_truthy("row", "compound_label", "label"), V.text_of(V.get("row", "compound_id")),
     )
@@ -79,6 +93,6 @@ def structure_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
     out = rows.select(
         *kept, "row_number", stable_id("structure", label, smiles, F.array_join(evidence, "\u001d")).alias("candidate_id"),
         strip(label).alias("compound_label"), smiles.alias("smiles"), evidence.alias("evidence_ids"),
-        F.coalesce(V.number_value(V.get("row", "confidence")), F.lit(0.5)).alias("confidence"),
+        row_confidence("row").alias("confidence"),
     )
     return out.filter((F.col("smiles") != "") & F.col("confidence").between(0, 1))

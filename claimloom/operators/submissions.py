@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import variants as V
 from ..functions.ids import content_hash, stable_id
-from .answers import reaction_candidates, structure_candidates
+from ..staging import staged
+from .answers import reaction_candidates, structure_candidates, valid_row
 from .ranking import long_block, previous_value
 from .review import IDS, awaiting_tasks, task_board
 
@@ -31,8 +32,8 @@ class Applied:
     superseded: DataFrame
 
 
-def _parsed_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(reaction rows, structure rows, count of valid outputs per submission)."""
+def _parsed_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reaction rows, structure rows)."""
     exploded = rows.select(*TASK, "ord", "kind", "evidence_ids", F.posexplode(V.as_array("outputs")).alias("output_number", "output"))
     new_id = stable_id(F.concat("kind", F.lit("-submission")), "task_id", V.text_of("output"))
     given = exploded.withColumn("_id", new_id).withColumn("_evidence", F.col("evidence_ids")).withColumn("payload", F.array("output").cast("variant"))
@@ -44,8 +45,7 @@ def _parsed_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = given.select(*kept, "_id", "_evidence", "payload", "evidence_ids", F.col("kind").alias("source"))
     reactions = owned(reaction_candidates(base.filter("source <> 'structure'"), unwrap=False))
     structures = owned(structure_candidates(base.filter("source = 'structure'"), unwrap=False))
-    valid = reactions.select(*TASK, "ord").unionByName(structures.select(*TASK, "ord")).groupBy(*TASK, "ord").agg(F.count("*").alias("n_valid"))
-    return reactions, structures, valid
+    return reactions, structures
 
 
 def apply_candidate_submissions(tasks: DataFrame, state: DataFrame, submissions: DataFrame, force: bool = False) -> Applied:
@@ -54,18 +54,23 @@ def apply_candidate_submissions(tasks: DataFrame, state: DataFrame, submissions:
     Per task, the first submission fulfils it; the same content again is a no-op; other
     content is a conflict, or replaces the answer when ``force`` is set.  A submission
     with one bad row is refused whole.  ``ord`` is a unique integer.
+
+    The submissions with their hash and problem are written once, and the decisions on them; all tables of the
+    outcome read these, and only accepted outputs are typed.
     """
     known = tasks.select(*TASK, "kind", "evidence_ids")
     stored = state.filter("status = 'fulfilled'").select(*TASK, F.col("submission_hash").alias("_stored"))
     rows = submission_hash(submissions).join(known, TASK, "left").join(stored, TASK, "left")
-    rows = rows.withColumn("n_outputs", F.coalesce(F.size(V.as_array("outputs")), F.lit(0)))
-    reactions, structures, valid = _parsed_outputs(rows.filter(F.col("kind").isin("text", "table", "structure")))
-    rows = rows.join(valid, [*TASK, "ord"], "left")
+    known_kind = F.col("kind").isin("text", "table", "structure")
+    bad = F.exists("_items", lambda x: ~valid_row(x, F.col("kind") == "structure"))
     problem = (
         F.when(F.col("kind").isNull(), "unknown task").when(F.col("kind") == "adjudication", "not an extraction task")
-        .when(F.col("n_outputs") <= 0, "no outputs").when(F.coalesce("n_valid", F.lit(0)) != F.col("n_outputs"), "invalid output rows")
+        .when(F.coalesce(F.size("_items"), F.lit(0)) <= 0, "no outputs").when(~known_kind | bad, "invalid output rows")
+    )
+    rows = rows.select("*", V.once(V.as_array("outputs"), "_items")).select(
+        *TASK, "ord", "kind", "evidence_ids", "producer", "outputs", "submission_hash", "_stored", problem.alias("problem")
     )
-    rows = rows.withColumn("problem", problem)
+    rows = staged(rows, "submissions")
     good = rows.filter(F.col("problem").isNull())
     if force:
         before = previous_value(good, TASK, "ord", long_block("ord"), "submission_hash", "_batch")
@@ -78,7 +83,7 @@ def apply_candidate_submissions(tasks: DataFrame, state: DataFrame, submissions:
         F.when(previous.isNull(), "applied").when(previous == F.col("submission_hash"), "no-op")
         .otherwise("superseded" if force else "conflict")
     )
-    decided = before.withColumn("result", status)
+    decided = staged(before.select(*TASK, "ord", "kind", "submission_hash", "producer", status.alias("result")), "decided")
     statuses = decided.select(*TASK, "ord", "submission_hash", "result").unionByName(
         rows.filter(F.col("problem").isNotNull()).select(*TASK, "ord", "submission_hash", F.concat(F.lit("error: "), "problem").alias("result"))
     )
@@ -88,8 +93,8 @@ def apply_candidate_submissions(tasks: DataFrame, state: DataFrame, submissions:
     chosen = final.select(*TASK, F.col("s.ord").alias("ord"))
     fresh = final.select(*TASK, "s.kind", F.lit("fulfilled").alias("status"), "s.submission_hash", "s.producer")
     kept_state = state.join(final.select(*TASK), TASK, "left_anti").select(*TASK, "kind", "status", "submission_hash", "producer")
-    pick = lambda df: df.join(chosen, [*TASK, "ord"], "left_semi")
-    return Applied(statuses, pick(reactions), pick(structures), kept_state.unionByName(fresh), final.filter("replaced").select(*TASK))
+    reactions, structures = _parsed_outputs(rows.join(chosen, [*TASK, "ord"], "left_semi"))
+    return Applied(statuses, reactions, structures, kept_state.unionByName(fresh), final.filter("replaced").select(*TASK))
 
 
 def supersede_audit(superseded: DataFrame, at) -> DataFrame:

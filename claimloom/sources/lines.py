@@ -1,38 +1,48 @@
 """JSON-lines sources with line numbers and error rows."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import variants as V
 from ..functions.text import blank_to_null
 from ..operators.answers import structure_candidates
 from ..operators.contract import record_line_errors
-from ..operators.ranking import number_rows, union_all
+from ..operators.ranking import union_all
 from ..schemas import RECORD_BODY
+from ..staging import staged
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Text files -> file, line (1-based), value.
 
-    Lines are numbered per (file, split): the split is at most one file block, its
-    rows keep their order, and the offsets come from the small table of split sizes.
-    A file of any size is read by many tasks.
+    Rows of a split (at most one file block) come in order, so their running ids number them from the first one; the
+    offsets come from the table of split sizes, one row per split as in Spark's own list of files. Lines are not
+    shuffled: a file of any size is read, and its lines used further, by as many tasks as it has splits.
     """
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"), "value",
     )
-    numbered = number_rows(rows, ["file"], "_id", F.col("_start"), "_line")
-    return numbered.select("file", F.col("_line").cast("bigint").alias("line"), "value")
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    offsets = splits.select("file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_offset"))
+    return rows.join(F.broadcast(offsets), ["file", "_start"]).select("file", (F.col("_id") + F.col("_offset")).alias("line"), "value")
+
+
+def _typed_lines(lines: DataFrame) -> DataFrame:
+    """``value`` as VARIANT, and ``error``; each text is parsed once."""
+    kept = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(*kept, V.once(V.parse_strict("value"), "value"))
+    return parsed.withColumn("error", F.when(F.col("value").isNull(), "invalid JSON").when(~V.is_object("value"), "expected JSON object"))
+
+
+def _good_and_broken(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kept = [c for c in rows.columns if c not in ("value", "error")]
+    return rows.filter(F.col("error").isNull()).select(*kept, "value"), rows.filter(F.col("error").isNotNull()).select(*kept, "error")
 
 
 def parse_json_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with an object in VARIANT ``value``, error rows); blank lines are skipped."""
-    kept = [c for c in lines.columns if c != "value"]
-    parsed = lines.filter(blank_to_null("value").isNotNull()).withColumn("_v", V.parse_strict("value"))
-    error = F.when(F.col("_v").isNull(), "invalid JSON").when(~V.is_object("_v"), "expected JSON object")
-    rows = parsed.withColumn("error", error)
-    good = rows.filter(F.col("error").isNull()).select(*kept, F.col("_v").alias("value"))
-    return good, rows.filter(F.col("error").isNotNull()).select(*kept, "error")
+    return _good_and_broken(_typed_lines(lines.filter(blank_to_null("value").isNotNull())))
 
 
 def read_jsonl_strict(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
@@ -98,17 +108,19 @@ def adjudications(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, *[V.text_of(V.get("value", n)).alias(n) for n in names], _typed_producer("value").alias("producer"))
 
 
-def empty_files(lines: DataFrame) -> DataFrame:
-    """Files without a single non-blank line; reading submissions treats them as an error."""
-    counts = lines.groupBy("file").agg(F.count_if(blank_to_null("value").isNotNull()).alias("n"))
+def empty_files(lines: DataFrame, full: Column | None = None) -> DataFrame:
+    """Files without a single non-blank line; reading submissions treats them as an error. ``full``: what a non-blank line is."""
+    counts = lines.groupBy("file").agg(F.count_if(blank_to_null("value").isNotNull() if full is None else full).alias("n"))
     return counts.filter("n = 0").select("file", F.lit("submission file is empty").alias("error"))
 
 
 def read_submissions(spark: SparkSession, path, kind: str = "candidates") -> tuple[DataFrame, DataFrame]:
-    lines = read_lines(spark, path)
-    good, broken = parse_json_lines(lines)
+    """(typed rows, error rows). The lines are parsed once and written; both tables read what was written."""
+    lines = read_lines(spark, path).withColumn("full", blank_to_null("value").isNotNull())
+    lines = staged(_typed_lines(lines), "parsed-lines")
+    good, broken = _good_and_broken(lines.filter("full").drop("full"))
     typed = submissions(good) if kind == "candidates" else adjudications(good)
-    empty = empty_files(lines).withColumn("line", F.lit(None).cast("bigint"))
+    empty = empty_files(lines, F.col("full")).withColumn("line", F.lit(None).cast("bigint"))
     return typed, broken.unionByName(empty.select(*broken.columns))
 
 
