@@ -1,5 +1,7 @@
 """Work that must not be repeated: each test states what a larger table would pay for twice."""
 
+from claimloom.operators import assemble as A
+from claimloom.plans.queries_assembly import assembled
 from claimloom.sources import lines as L
 
 
@@ -28,3 +30,14 @@ def test_lines_are_numbered_without_moving_them(spark, tmp_path):
     assert len(got) == 2300 and all(int(r.value[1:]) == r.line and r.file.endswith(f"{r.value[0]}.jsonl") for r in got)
     moved = [node for node in optimized(lines).splitlines() if "Window" in node and "value" in node]
     assert not moved
+
+
+def test_stored_assembly_signs_candidates_once_and_nests_finished_lists(spark):
+    made = assembled(spark, "/root/testdata/sf0.001", store=True)
+    want = {}
+    for r in A.attach_issues(made).collect():
+        want.setdefault(r.group_id, []).append((tuple((x is not None, x) for x in r.place), r.code, r.severity, r.target_id, r.message))
+    got = {r.group_id: [(i.code, i.severity, i.target_id, i.message) for i in r.issues] for r in A.gathered_issues(made).collect()}
+    assert got == {g: [x[1:] for x in sorted(rows)] for g, rows in want.items()} and max(map(len, got.values())) > 2
+    nested = optimized(A.nested_records(made))
+    assert "lineitem" not in nested and "p_partkey" not in nested  # nothing goes back to the tables the candidates came from
