@@ -184,13 +184,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their near-copies (Jaccard similarity 0.8 of five-word shingles, unlike the query's
-    fingerprints): of each component the row whose id is the component's.
+    """The documents without their near-copies: of each component the row whose id is the component's.
+
+    Fingerprints linked by the BK-trees propose pairs of texts; an exact check follows, so that texts link at a Jaccard
+    similarity of 0.8 of their five-word shingles. Pairs at that similarity beyond the radius are found by prefixes.
 
     Of several rows with that id one stays, chosen by content. Rows with a null id stay only if nothing in
     their component has an id. All columns pass through.
     """
-    groups = near_copies(docs, id_col, text_col)
+    marks = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    groups = near_copies(docs, id_col, text_col, marks=marks, links=links(marks.select("fp").distinct()))
     kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*docs.columns))
     named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")

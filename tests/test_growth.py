@@ -1,5 +1,6 @@
 """Work that must not be repeated: each test states what a larger table would pay for twice."""
 
+from claimloom.llm import near_copies, simhash_neardup
 from claimloom.operators import assemble as A
 from claimloom.plans.queries_assembly import assembled
 from claimloom.sources import lines as L
@@ -41,3 +42,22 @@ def test_stored_assembly_signs_candidates_once_and_nests_finished_lists(spark):
     assert got == {g: [x[1:] for x in sorted(rows)] for g, rows in want.items()} and max(map(len, got.values())) > 2
     nested = optimized(A.nested_records(made))
     assert "lineitem" not in nested and "p_partkey" not in nested  # nothing goes back to the tables the candidates came from
+
+
+def test_near_copies_come_from_linked_fingerprints(spark, monkeypatch):
+    """The stage asks the BK-trees for links, and what they propose is compared exactly."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:59] + ["x"])), (3, " ".join(words)), (4, "a b c"), (5, None), (5, "d e f"), (None, "g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, proposed = [], []
+    links, pairs = simhash_neardup.links, near_copies.marked_pairs
+    monkeypatch.setattr(simhash_neardup, "links", lambda fps, *more: asked.append(fps.count()) or links(fps, *more))
+    monkeypatch.setattr(near_copies, "marked_pairs", lambda *given: proposed.append(pairs(*given)) or proposed[0])
+    out = simhash_neardup.keep_one(docs)
+    assert asked == [len({r.fp for r in simhash_neardup.fingerprints(docs).collect()})]
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect())[:2] == [(0, "g h"), (1, rows[0][1])]
+    assert {r.doc_id for r in out.collect()} == {None, 1, 4, 5}
+    marked = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13), (4, 14)], "doc_id long, key long")
+    marks = spark.createDataFrame([(1, 7), (2, 7), (3, 6), (4, 5)], "doc_id long, fp long")
+    got = pairs(marked, marks, spark.createDataFrame([(6, 7), (5, 7)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(10, 11), (10, 12)]
