@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-from .text import blank_to_null, col, number_in_text, split_list, strip
+from .text import col, number_in_text, split_list, strip
 
 _END = "\u0002end-of-value\u0002"
 
@@ -28,10 +28,28 @@ def once(value, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: as a lambda's variable it is one value, named twice it is computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fields(v, *keys) -> Column:
+    """Struct of the named values of an object, null for anything else.
+
+    All keys are read in one pass. A path such as ``$.key`` costs an exception inside the engine wherever the key is
+    missing, many times the price of the look-up.
+    """
+    return F.try_variant_get(col(v), F.lit("$"), "struct<" + ",".join(f"`{k}`:variant" for k in keys) + ">")
+
+
+def first(found: Column, *keys) -> Column:
+    """Value of the first key that ``fields`` found (a JSON null counts as existing)."""
+    return F.coalesce(*[found[k] for k in keys]) if len(keys) > 1 else found[keys[0]]
+
+
 def get(v, *keys) -> Column:
     """Value of the first key that exists (a JSON null counts as existing)."""
-    found = [F.try_variant_get(col(v), F.lit(f"$.{k}"), "variant") for k in keys]
-    return F.coalesce(*found) if len(found) > 1 else found[0]
+    return F.coalesce(*[fields(v, k)[k] for k in keys]) if len(keys) > 1 else fields(v, keys[0])[keys[0]]
 
 
 def text_of(v) -> Column:
@@ -47,7 +65,7 @@ def as_map(v) -> Column:
 
 
 def is_object(v) -> Column:
-    return F.coalesce(F.schema_of_variant(col(v)).startswith("OBJECT"), F.lit(False))
+    return fields(v, "_").isNotNull()
 
 
 def is_array(v) -> Column:
@@ -67,15 +85,28 @@ def is_null(v) -> Column:
     return col(v).isNull() | F.is_variant_null(col(v))
 
 
+def filled(text: Column) -> Column:
+    """Trimmed text, null where nothing is left; an expensive text is computed once, inside a lambda too."""
+    return F.get(F.filter(F.array(strip(text)), lambda x: x != ""), F.lit(0))
+
+
 def truthy_text(v) -> Column:
     """Text of the value; '' and 0 and false and empty containers count as missing."""
-    text = text_of(v)
-    empty = F.when(is_text(v), text == "").otherwise(text.isin("0", "0.0", "false", "[]", "{}"))
-    return F.when(~empty, text)
+    def told(v):
+        text = text_of(v)
+        doubtful = text.isin("", "0", "0.0", "false", "[]", "{}")
+        return F.when(~doubtful | (is_text(v) != (text == "")), text)
+
+    return let(col(v), told)
 
 
 def first_truthy(v, *keys) -> Column:
-    return F.coalesce(*[truthy_text(get(v, k)) for k in keys])
+    return let(fields(v, *keys), lambda found: truthy_of(found, *keys))
+
+
+def truthy_of(found: Column, *keys) -> Column:
+    """First value of those that ``fields`` found that is not empty, as text."""
+    return F.coalesce(*[truthy_text(found[k]) for k in keys])
 
 
 def string_list(v) -> Column:
@@ -96,24 +127,21 @@ def number_value(v) -> Column:
 def compound_refs(v, role: str) -> Column:
     """Scalar, list of scalars or list of objects -> array of compounds."""
     def compound(label, name, smiles):
-        return F.struct(
-            blank_to_null(label).alias("label"), blank_to_null(name).alias("name"),
-            blank_to_null(smiles).alias("smiles"), F.lit(role).alias("role"),
-        )
+        return F.struct(filled(label).alias("label"), filled(name).alias("name"), filled(smiles).alias("smiles"), F.lit(role).alias("role"))
 
     nothing = F.lit(None).cast("string")
 
     def one(x):
-        from_object = compound(
-            first_truthy(x, "label", "compound_label", "id"),
-            first_truthy(x, "name", "compound_name"),
-            text_of(get(x, "smiles")),
-        )
-        return F.when(is_object(x), from_object).when(
-            strip(text_of(x)) != "", compound(text_of(x), nothing, nothing)
-        )
-
-    scalar = ~is_null(v) & ~is_object(v) & ~is_array(v)
+        def from_object(found):
+            return compound(truthy_of(found, "label", "compound_label", "id"), truthy_of(found, "name", "compound_name"), text_of(found["smiles"]))
+
+        def from_text(text):
+            return F.when(strip(text) != "", compound(text, nothing, nothing))
+
+        both = F.struct(fields(x, "label", "compound_label", "id", "name", "compound_name", "smiles").alias("found"), text_of(x).alias("text"))
+        return let(both, lambda b: F.when(b["found"].isNotNull(), from_object(b["found"])).otherwise(from_text(b["text"])))
+
+    scalar = ~is_null(v) & ~is_object(v)  # an array is taken before this is asked
     items = F.coalesce(as_array(v), F.when(scalar, F.array(col(v))))
     refs = F.filter(F.transform(items, one), lambda c: c.isNotNull())
     kind = "array<struct<label:string,name:string,smiles:string,role:string>>"
@@ -123,6 +151,6 @@ def compound_refs(v, role: str) -> Column:
 def payload_rows(v, *wrappers) -> Column:
     """Answer payload -> array of row values, looking inside the wrapper keys."""
     v = col(v)
-    rows = F.when(is_object(v), F.coalesce(*[get(v, k) for k in wrappers], v)).otherwise(v)
-    return F.coalesce(as_array(rows), F.when(is_object(rows), F.array(rows)))
+    inside = let(fields(v, *wrappers), lambda found: F.coalesce(*[found[k] for k in wrappers], v))
+    return let(inside, lambda rows: F.coalesce(as_array(rows), F.when(is_object(rows), F.array(rows))))
 

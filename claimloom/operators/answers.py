@@ -31,12 +31,15 @@ def parse_model_answers(answers: DataFrame, column: str = "answer") -> DataFrame
 def _rows(payloads: DataFrame, wrappers, row_column="row") -> DataFrame:
     rows = V.payload_rows("payload", *wrappers) if wrappers else V.as_array("payload")
     kept = [c for c in payloads.columns if c != "payload"]
-    exploded = payloads.select(*kept, F.posexplode(rows).alias("row_number", row_column))
-    return exploded.filter(V.is_object(row_column))
+    return payloads.select(*kept, F.posexplode(rows).alias("row_number", row_column))
+
+
+def _confidence(value) -> Column:
+    return F.coalesce(V.number_value(value), F.lit(0.5))
 
 
 def row_confidence(row) -> Column:
-    return F.coalesce(V.number_value(V.get(row, "confidence")), F.lit(0.5))
+    return V.let(V.get(row, "confidence"), _confidence)
 
 
 def structure_smiles(row) -> Column:
@@ -56,34 +59,33 @@ def reaction_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
     0..1 are dropped, yields outside 0..100 become null.
     """
     rows = _rows(payloads, ("reactions", "data") if unwrap else ())
-    reactants = V.get("row", "reactants", "substrates", "starting_materials")
-    products = V.get("row", "products", "product")
-    fields = {
-        "reagents": V.get("row", "reagents", "catalysts"), "solvents": V.get("row", "solvents", "solvent"),
-        "temperature_c": V.get("row", "temperature_c", "temperature"), "time": V.get("row", "time", "reaction_time"),
-        "yield_pct": V.get("row", "yield_pct", "yield"),
+    spelled = {
+        "reactants": ("reactants", "substrates", "starting_materials"), "products": ("products", "product"),
+        "reagents": ("reagents", "catalysts"), "solvents": ("solvents", "solvent"),
+        "temperature_c": ("temperature_c", "temperature"), "time": ("time", "reaction_time"),
+        "yield_pct": ("yield_pct", "yield"), "confidence": ("confidence",),
     }
-    rows = rows.withColumn("_reactants", reactants).withColumn("_products", products)
-    for name, value in fields.items():
-        rows = rows.withColumn(f"_{name}", value)
+    found = V.once(V.fields("row", *[key for keys in spelled.values() for key in keys]), "_found")
+    rows = rows.select(*[c for c in rows.columns if c != "row"], found).filter(F.col("_found").isNotNull())
+    values = [V.first(F.col("_found"), *keys).alias(f"_{name}") for name, keys in spelled.items()]
+    rows = rows.select(*[c for c in rows.columns if c != "_found"], *values)
+    rows = rows.select("*", V.once(_confidence("_confidence"), "confidence")).filter(F.col("confidence").between(0, 1))
     evidence = F.array_sort(F.array_distinct("evidence_ids"))
-    raw = [V.text_of(f"_{n}") for n in ("reactants", "products", *fields)]
+    raw = [V.text_of(f"_{n}") for n in spelled if n != "confidence"]
     kept = [c for c in payloads.columns if c not in ("payload", "source", "evidence_ids")]
-    out = rows.select(
+    return rows.select(
         *kept, "row_number",
         stable_id(F.col("source"), *raw, F.array_join(evidence, "\u001d")).alias("candidate_id"), "source",
         V.compound_refs("_reactants", "reactant").alias("reactants"), V.compound_refs("_products", "product").alias("products"),
         V.string_list("_reagents").alias("reagents"), V.string_list("_solvents").alias("solvents"),
         V.number_value("_temperature_c").alias("temperature_c"), strip(V.truthy_text("_time")).alias("time"),
-        bounded_percent(V.number_value("_yield_pct")).alias("yield_pct"), evidence.alias("evidence_ids"),
-        row_confidence("row").alias("confidence"),
+        bounded_percent(V.number_value("_yield_pct")).alias("yield_pct"), evidence.alias("evidence_ids"), "confidence",
     )
-    return out.filter(F.col("confidence").between(0, 1))
 
 
 def structure_candidates(payloads: DataFrame, unwrap: bool = True) -> DataFrame:
     """Payload rows (payload, evidence_ids) -> normalised structure candidates."""
-    rows = _rows(payloads, ("structures", "candidates") if unwrap else ())
+    rows = _rows(payloads, ("structures", "candidates") if unwrap else ()).filter(V.is_object("row"))
     smiles = structure_smiles("row")
     label = F.coalesce(
         V.first_truthy("row", "compound_label", "label"), V.text_of(V.get("row", "compound_id")),

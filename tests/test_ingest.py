@@ -117,3 +117,13 @@ def test_assets_outside_the_layout_folder(spark):
     layout = spark.createDataFrame([("d", "e", "/d/auto/l.json", "../img/./a.png")], "document_id string, evidence_id string, source_path string, img_path string")
     files = spark.createDataFrame([("/d/img/a.png",)], "path string")
     assert S.resolve_assets(layout, files).first().asset_path == "/d/img/a.png"
+
+
+def test_fields_of_an_answer_row_are_read_once(spark):
+    rows = spark.createDataFrame([('{"reactants":"a","product":[{"id":0,"label":" b "},{"name":"","compound_name":"n"},""],"confidence":"0.5"}',),
+                                  ('{"reactants":["a"],"confidence":2}',), ('[1,"x",null]',)], "answer string")
+    given = rows.select(F.try_parse_json("answer").alias("payload"), F.lit("text").alias("source"), F.array(F.lit("e")).alias("evidence_ids"))
+    found = N.reaction_candidates(given)
+    assert [(r.reactants[0].label, [(p.label, p.name) for p in r.products], r.confidence) for r in found.collect()] == [("a", [("b", None), (None, "n")], 0.5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter " in line and "variant_get" in line]
