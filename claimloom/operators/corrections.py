@@ -20,10 +20,13 @@ _ISSUES = "array<struct<code:string,severity:string,target_id:string,message:str
 
 
 def _compound_of(v: Column) -> Column:
-    return F.struct(
-        *[blank_to_null(V.text_of(V.get(v, f))).alias(f) for f in ("label", "name", "smiles")],
-        F.coalesce(V.text_of(V.get(v, "role")), F.lit("unknown")).alias("role"),
-    ).cast(COMPOUND)
+    def read(found):
+        return F.struct(
+            *[blank_to_null(V.text_of(found[f])).alias(f) for f in ("label", "name", "smiles")],
+            F.coalesce(V.text_of(found["role"]), F.lit("unknown")).alias("role"),
+        )
+
+    return V.let(V.fields(v, *COMPOUND_FIELDS), read).cast(COMPOUND)
 
 
 def parsed_edits(edits: DataFrame) -> DataFrame:
