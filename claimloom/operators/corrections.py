@@ -1,6 +1,8 @@
 """Human corrections: edits, revalidation, decisions, stale decisions and audit rows."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import variants as V
 from ..functions.text import blank_to_null
@@ -30,36 +32,58 @@ def _compound_of(v: Column) -> Column:
 
 
 def parsed_edits(edits: DataFrame) -> DataFrame:
-    """Split paths and type the JSON values of edit rows (path, value as JSON text)."""
-    v = V.parse_strict("value")
+    """Split paths and type the JSON values of edit rows (path, value as JSON text).
+
+    A value is read only in the forms that its operation and path can use; a number asked of any other text, or the
+    fields of one, would cost more than the rest of the row.
+    """
     parts = F.split("path", r"\.")
-    return edits.withColumn("_v", v).select(
-        *edits.columns, F.get(parts, F.lit(0)).alias("root"), F.size(parts).alias("depth"),
-        F.get(parts, F.lit(1)).try_cast("int").alias("idx"), F.get(parts, F.lit(2)).alias("field"),
-        V.is_null(F.col("_v")).alias("is_null"), V.is_text("_v").alias("is_text"), V.is_object("_v").alias("is_object"),
-        V.is_array("_v").alias("is_list"), V.text_of("_v").alias("text"),
-        F.try_variant_get("_v", F.lit("$"), "double").alias("number"), _compound_of(F.col("_v")).alias("compound"),
-        F.coalesce(V.text_of(V.get("_v", "role")), F.lit("reactant")).alias("add_side"),
-        F.transform(V.as_array("_v"), _compound_of).alias("compounds"),
-        F.transform(V.as_array("_v"), lambda x: V.text_of(x)).alias("texts"),
+    rows = edits.withColumn("_v", V.parse_strict("value")).withColumn("_parts", parts).select(
+        *edits.columns, "_v", F.get("_parts", F.lit(0)).alias("root"), F.size("_parts").alias("depth"),
+        F.get("_parts", F.lit(1)).try_cast("int").alias("idx"), F.get("_parts", F.lit(2)).alias("field"),
+    )
+    added, sets = F.col("op") == "add_participant", F.col("op") == "set_value"
+    whole, of_compounds = sets & (F.col("depth") == 1) & F.col("root").isin(*LISTS), F.col("root").isin(*COMPOUND_ROOTS)
+    element, worded = sets & (F.col("depth") == 2), sets & F.col("root").isin("time", *TEXT_ROOTS)
+    numeric = sets & F.col("root").isin("temperature_c", "yield_pct")
+    return rows.select(
+        *edits.columns, "root", "depth", "idx", "field",
+        V.is_null(F.col("_v")).alias("is_null"), F.when(worded, V.is_text("_v")).alias("is_text"),
+        F.when(element & of_compounds, V.is_object("_v")).alias("is_object"), F.when(whole, V.is_array("_v")).alias("is_list"),
+        F.when(~whole, V.text_of("_v")).alias("text"),
+        F.when(numeric, F.try_variant_get("_v", F.lit("$"), "double")).alias("number"),
+        F.when(added | (element & of_compounds), _compound_of(F.col("_v"))).alias("compound"),
+        F.when(added, F.coalesce(V.text_of(V.get("_v", "role")), F.lit("reactant"))).alias("add_side"),
+        F.when(whole & of_compounds, F.transform(V.as_array("_v"), _compound_of)).alias("compounds"),
+        F.when(whole, F.transform(V.as_array("_v"), lambda x: V.text_of(x))).alias("texts"),
     )
 
 
-def edit_errors(edits: DataFrame, records: DataFrame) -> DataFrame:
-    """One row per set_value that cannot be applied: package_id, document_id, reaction_id, path, error.
+def checked_edits(edits: DataFrame, records: DataFrame) -> DataFrame:
+    """Parsed edits with what their checks ask of their record: ``known``, ``sizes`` of its lists, ``mixed`` (an edit of the
+    record adds or removes participants) and ``new_size`` of a list that the same package sets whole.
 
-    ``edits`` comes from ``parsed_edits`` and carries ``package_id``.
+    One join; the windows keep its partitioning, so edits are moved once whatever is asked.
     """
-    sets = edits.filter("op = 'set_value'")
-    sizes = records.select(*IDS, F.struct(*[F.size(c).alias(c) for c in LISTS]).alias("sizes"), F.lit(True).alias("known"))
-    resized = sets.filter((F.col("depth") == 1) & F.col("root").isin(*LISTS)).groupBy("package_id", *IDS, "root").agg(
-        F.max(F.size("texts")).alias("new_size")
+    sizes = records.groupBy(*IDS).agg(*[F.min(F.size(c)).alias(f"_n_{c}") for c in LISTS])
+    sizes = sizes.select(*IDS, F.struct(*[F.col(f"_n_{c}").alias(c) for c in LISTS]).alias("sizes"), F.lit(True).alias("known"))
+    rows = parsed_edits(edits.join(sizes, IDS, "left"))
+    moving = F.col("op").isin("add_participant", "remove_participant")
+    resizing = (F.col("op") == "set_value") & (F.col("depth") == 1) & F.col("root").isin(*LISTS) & F.col("package_id").isNotNull()
+    return rows.withColumn("mixed", F.coalesce(F.max(moving).over(Window.partitionBy(*IDS)), F.lit(False))).withColumn(
+        "new_size", F.max(F.when(resizing, F.size("texts"))).over(Window.partitionBy(*IDS, "root", "package_id"))
     )
-    joined = sets.join(sizes, IDS, "left").join(resized, ["package_id", *IDS, "root"], "left")
+
+
+def edit_errors(edits: DataFrame) -> DataFrame:
+    """One row per set_value that cannot be applied: package_id, document_id, reaction_id, path, error.
+
+    ``edits`` comes from ``checked_edits`` and carries ``package_id``.
+    """
     size = F.coalesce(
         *[F.when(F.col("root") == c, F.greatest(F.col(f"sizes.{c}"), F.coalesce("new_size", F.lit(0)))) for c in LISTS]
     )
-    growing = joined.withColumn("_size", size)
+    growing = edits.filter("op = 'set_value'").withColumn("_size", size)
     is_compound, is_texts = F.col("root").isin(*COMPOUND_ROOTS), F.col("root").isin(*TEXT_ROOTS)
     is_scalar = F.col("root").isin(*SCALAR_ROOTS)
     whole, element, inner = F.col("depth") == 1, F.col("depth") == 2, F.col("depth") == 3
@@ -92,27 +116,24 @@ def edit_errors(edits: DataFrame, records: DataFrame) -> DataFrame:
 _STEP_FIELDS = ("ord", "op", "root", "depth", "idx", "field", "target_id", "text", "compound", "add_side", "compounds", "texts")
 
 
-def record_steps(edits: DataFrame) -> DataFrame:
+def record_steps(edits: DataFrame, every: bool = False) -> DataFrame:
     """One row per edited record: ordered list steps and the last value of each scalar.
 
-    Where nothing is added or removed only the last value of a path counts, so those
-    records gather at most one step per path.  Only records that mix the two keep
-    their whole (human-written) sequence.
+    Where nothing is added or removed (``mixed``) only the last value of a path counts, so those records gather at most
+    one step per path.  Only records that mix the two keep their whole (human-written) sequence. Edits are moved once, by
+    record. With ``every`` records that a package names without changing their data have a row too.
     """
-    data = edits.filter(F.col("op").isin("set_value", "add_participant", "remove_participant"))
-    on_lists = data.filter((F.col("op") != "set_value") | F.col("root").isin(*LISTS))
-    mixed = on_lists.filter("op <> 'set_value'").select(*IDS).distinct()
-    step = F.struct(*_STEP_FIELDS)
-    last = (
-        on_lists.join(mixed, IDS, "left_anti").groupBy(*IDS, "path").agg(F.max_by(step, "ord").alias("step")).select(*IDS, "step")
-    )
-    whole = on_lists.join(mixed, IDS, "left_semi").select(*IDS, step.alias("step"))
-    steps = last.unionByName(whole).groupBy(*IDS).agg(F.array_sort(F.collect_list("step")).alias("steps"))
-    pick = lambda root: F.col("root") == root
-    scalars = data.filter("op = 'set_value'").filter(F.col("root").isin(*SCALAR_ROOTS)).groupBy(*IDS).agg(
-        *[F.max_by(F.when(pick(r), F.struct("text", "number")), F.when(pick(r), F.col("ord"))).alias(f"set_{r}") for r in SCALAR_ROOTS]
+    moving, sets = F.col("op").isin("add_participant", "remove_participant"), F.col("op") == "set_value"
+    on_lists, on_scalars = moving | (sets & F.col("root").isin(*LISTS)), sets & F.col("root").isin(*SCALAR_ROOTS)
+    rows = edits if every else edits.filter(on_lists | on_scalars)
+    order = Window.partitionBy(*IDS, "path").orderBy(F.col("ord").desc())
+    rows = rows.repartition(*IDS).withColumn("_last", F.row_number().over(order) == 1)
+    pick = lambda root: sets & (F.col("root") == root)
+    return rows.groupBy(*IDS).agg(
+        F.array_sort(F.collect_list(F.when(on_lists & (F.col("mixed") | F.col("_last")), F.struct(*_STEP_FIELDS)))).alias("steps"),
+        *[F.max_by(F.when(pick(r), F.struct("text", "number")), F.when(pick(r), F.col("ord"))).alias(f"set_{r}") for r in SCALAR_ROOTS],
+        F.coalesce(F.bool_or(F.col("op") == "confirm"), F.lit(False)).alias("_confirmed"),
     )
-    return steps.join(scalars, IDS, "full_outer")
 
 
 def _apply_list_step(state: Column, o: Column) -> Column:
@@ -159,15 +180,15 @@ def _apply_list_step(state: Column, o: Column) -> Column:
     )
 
 
-def edited_records(records: DataFrame, edits: DataFrame) -> DataFrame:
-    """Only the touched records, with their edits applied in order; ``bad`` marks an index miss."""
-    joined = records.join(record_steps(edits), IDS)
+def edited_records(records: DataFrame, edits: DataFrame, every: bool = False) -> DataFrame:
+    """Only the touched records, with their edits applied in order; ``bad`` marks an index miss, ``_confirmed`` a confirm."""
+    joined = records.join(record_steps(edits, every), IDS)
     start = F.struct(
         *[F.col(c).cast(_COMPOUNDS).alias(c) for c in COMPOUND_ROOTS],
         *[F.col(c).cast("array<string>").alias(c) for c in TEXT_ROOTS], F.lit(False).alias("bad"),
     )
     result = joined.withColumn(
-        "_state", F.when(F.col("steps").isNull(), start).otherwise(F.aggregate("steps", start, _apply_list_step))
+        "_state", F.when(F.size("steps") == 0, start).otherwise(F.aggregate("steps", start, _apply_list_step))
     )
     scalar = {
         "temperature_c": "number", "yield_pct": "number", "time": "text", "review_status": "text",
@@ -181,31 +202,38 @@ def edited_records(records: DataFrame, edits: DataFrame) -> DataFrame:
             columns.append(F.when(picked.isNotNull(), picked[scalar[name]]).otherwise(F.col(name)).alias(name))
         else:
             columns.append(F.col(name))
-    return result.select(*columns, F.col("review_status").alias("pre_status"), F.col("_state.bad").alias("bad"))
+    return result.select(*columns, F.col("review_status").alias("pre_status"), F.col("_state.bad").alias("bad"), "_confirmed")
 
 
 def revalidate(records: DataFrame, parser: Parser) -> DataFrame:
     """Canonical structures, fresh invalid-structure issues, status; a rejected record stays rejected.
 
-    Adds ``issues_added``.  Structures are parsed once per distinct text.
+    Adds ``issues_added``.  Structures are parsed once per distinct text; a parser of Column functions is applied where
+    the records lie, and nothing is joined.
     """
-    texts = records.select(*IDS, F.explode(F.array_distinct(F.concat("reactants.smiles", "products.smiles"))).alias("smiles"))
-    texts = texts.filter(F.coalesce("smiles", F.lit("")) != "")
-    dictionary = structure_dictionary(texts, parser)
-    parsed = texts.join(dictionary.select(F.col("raw").alias("smiles"), "iso"), "smiles").filter(F.col("iso").isNotNull())
-    maps = parsed.groupBy(*IDS).agg(F.map_from_entries(F.collect_list(F.struct("smiles", "iso"))).alias("_canon"))
-    rows = records.join(maps, IDS, "left")
-    canonical = lambda c: F.try_element_at("_canon", F.coalesce(c["smiles"], F.lit("")))
+    if isinstance(parser, Mapping):
+        rows = records
+        canonical = lambda c: F.when(blank_to_null(c["smiles"]).isNotNull(), parser["iso"](c["smiles"]))
+    else:
+        texts = records.select(*IDS, F.explode(F.array_distinct(F.concat("reactants.smiles", "products.smiles"))).alias("smiles"))
+        texts = texts.filter(F.coalesce("smiles", F.lit("")) != "")
+        dictionary = structure_dictionary(texts, parser)
+        parsed = texts.join(dictionary.select(F.col("raw").alias("smiles"), "iso"), "smiles").filter(F.col("iso").isNotNull())
+        maps = parsed.groupBy(*IDS).agg(F.map_from_entries(F.collect_list(F.struct("smiles", "iso"))).alias("_canon"))
+        rows = records.join(maps, IDS, "left")
+        canonical = lambda c: F.try_element_at("_canon", F.coalesce(c["smiles"], F.lit("")))
+    for name in COMPOUND_ROOTS:
+        rows = rows.withColumn(f"_{name}", F.transform(name, lambda c: F.struct(c.alias("c"), canonical(c).alias("iso"))))
     has_text = lambda c: F.coalesce(c["smiles"], F.lit("")) != ""
     fixed = lambda name: F.transform(
-        name, lambda c: c.withField("smiles", F.coalesce(canonical(c), c["smiles"]))
+        f"_{name}", lambda x: x["c"].withField("smiles", F.coalesce(x["iso"], x["c"]["smiles"]))
     ).alias(name)
     found = F.transform(
-        F.filter(F.concat("reactants", "products"), lambda c: has_text(c) & canonical(c).isNull()),
-        lambda c: F.struct(
+        F.filter(F.concat("_reactants", "_products"), lambda x: has_text(x["c"]) & x["iso"].isNull()),
+        lambda x: F.struct(
             F.lit("R001_INVALID_SMILES").alias("code"), F.lit("error").alias("severity"),
-            F.coalesce(F.nullif(c["label"], F.lit("")), F.col("reaction_id")).alias("target_id"),
-            F.concat(F.lit("Invalid SMILES: "), c["smiles"]).alias("message"), F.lit(None).cast("string").alias("suggested_value"),
+            F.coalesce(F.nullif(x["c"]["label"], F.lit("")), F.col("reaction_id")).alias("target_id"),
+            F.concat(F.lit("Invalid SMILES: "), x["c"]["smiles"]).alias("message"), F.lit(None).cast("string").alias("suggested_value"),
         ),
     )
     rows = rows.withColumn("_new", F.array_distinct(found).cast(_ISSUES)).withColumn(
@@ -250,7 +278,7 @@ def audit_rows(changed: DataFrame, edits: DataFrame, at=None, voided: DataFrame
 
 def package_errors(edits: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edits of packages without any error, the same packages' ids)."""
-    bad = errors.select("package_id").distinct()
+    bad = staged(errors.select("package_id").distinct(), "refused")  # few rows, of a size the joins know
     good = edits.join(bad, "package_id", "left_anti")
     return good, good.select("package_id").distinct()
 
@@ -261,15 +289,21 @@ def apply_corrections(records: DataFrame, corrections: DataFrame, parser: Parser
     ``corrections``: package_id, document_id, ord, reaction_id, path, value (JSON
     text), confirmed_by.  A package with one bad correction is left out whole.
     """
-    edits = parsed_edits(corrections.withColumn("op", F.lit("set_value")).withColumn("target_id", F.lit("")))
+    edits, errors = checked_corrections(records, corrections)
+    good, _ = package_errors(edits, errors)
+    edited = edited_records(records, good).drop("_confirmed")
+    changed = staged(revalidate(edited if isinstance(parser, Mapping) else staged(edited, "edited"), parser), "corrected")
+    return changed.drop("bad", "pre_status", "issues_added"), audit_rows(changed, good), errors
+
+
+def checked_corrections(records: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(checked edits, errors) of corrections, without applying any; ``apply_corrections`` begins with these."""
+    edits = checked_edits(corrections.withColumn("op", F.lit("set_value")).withColumn("target_id", F.lit("")), records)
     edits = staged(edits, "edits")
     blank = edits.filter(F.coalesce(F.trim("confirmed_by"), F.lit("")) == "").select(
         "package_id", *IDS, "path", F.lit("confirmed_by must be a non-empty string").alias("error")
     )
-    errors = staged(edit_errors(edits, records).unionByName(blank), "correction-errors")
-    good, _ = package_errors(edits, errors)
-    changed = staged(revalidate(staged(edited_records(records, good), "edited"), parser), "corrected")
-    return changed.drop("bad", "pre_status", "issues_added"), audit_rows(changed, good), errors
+    return edits, staged(edit_errors(edits).unionByName(blank), "correction-errors")
 
 
 def version_conflicts(base_hashes: DataFrame, records: DataFrame) -> DataFrame:
@@ -335,10 +369,10 @@ def apply_operations(
     one batch that name a record the first (smallest ord) may pass; the others did not see its outcome and conflict.
     With ``decisions``, the audit counts those that the packages made void; ``at`` is its time.
     """
+    submissions = staged(submissions, "packages")
     repeated = submissions.groupBy("package_id").count().filter("count > 1").select("package_id")
-    edits = parsed_edits(operations.join(submissions.dropDuplicates(["package_id"]), "package_id"))
-    marked = staged(edits.join(records.select(*IDS, F.lit(True).alias("_there")), IDS, "left"), "edits")
-    known, unknown = marked.filter("_there").drop("_there"), marked.filter("_there IS NULL")
+    marked = staged(checked_edits(operations.join(submissions.dropDuplicates(["package_id"]), "package_id"), records), "edits")
+    known, unknown = marked.filter("known"), marked.filter("known IS NULL")
 
     def whole(rows, message):
         empty = F.lit(None).cast("string")
@@ -346,8 +380,8 @@ def apply_operations(
 
     confirmer = F.coalesce(F.trim("confirmed_by"), F.lit(""))
     errors = [
-        edit_errors(known.join(_mixed_records(known), IDS, "left_anti"), records),
-        _replay_errors(records, known),
+        edit_errors(known.filter("NOT mixed")),
+        _replay_errors(records, known.filter("mixed")),
         unknown.select("package_id", *IDS, "path", F.lit("unknown reaction").alias("error")).distinct(),
         whole(repeated, "duplicate submission"),
         whole(submissions.filter(confirmer == ""), "confirmed_by must be a non-empty string"),
@@ -373,16 +407,10 @@ def _later_packages(edits: DataFrame) -> DataFrame:
     return late.select("package_id", *IDS, F.lit(None).cast("string").alias("path"), F.lit("version conflict").alias("error"))
 
 
-def _mixed_records(edits: DataFrame) -> DataFrame:
-    return edits.filter(F.col("op").isin("add_participant", "remove_participant")).select(*IDS).distinct()
-
-
-def _replay_errors(records: DataFrame, edits: DataFrame) -> DataFrame:
-    """Path and value errors of records whose lists change size, found by replaying them."""
-    mixed = _mixed_records(edits)
-    own = edits.join(mixed, IDS, "left_semi")
-    checked = edit_errors(own, records).filter("error <> 'index out of range'")
-    replayed = edited_records(records.join(mixed, IDS, "left_semi"), own).filter("bad").select(*IDS)
+def _replay_errors(records: DataFrame, own: DataFrame) -> DataFrame:
+    """Path and value errors of records whose lists change size (``own``: all their edits), found by replaying them."""
+    checked = edit_errors(own).filter("error <> 'index out of range'")
+    replayed = edited_records(records, own).filter("bad").select(*IDS)
     missed = own.join(replayed, IDS, "left_semi").select("package_id", *IDS).distinct()
     return checked.unionByName(
         missed.select("package_id", *IDS, F.lit(None).cast("string").alias("path"), F.lit("index out of range").alias("error"))
@@ -392,14 +420,8 @@ def _replay_errors(records: DataFrame, edits: DataFrame) -> DataFrame:
 def _changed_records(records: DataFrame, edits: DataFrame, parser: Parser) -> DataFrame:
     """Edits applied and revalidated, then the status rule of review packages:
     errors -> needs_review, a confirm -> accepted, otherwise the status stays."""
-    confirmed = edits.groupBy(*IDS).agg(F.bool_or(F.col("op") == "confirm").alias("_confirmed"))
-    touched = records.join(confirmed.select(*IDS), IDS, "left_semi")
-    untouched_data = touched.join(
-        edits.filter(F.col("op").isin("set_value", "add_participant", "remove_participant")).select(*IDS).distinct(), IDS, "left_anti"
-    ).withColumn("pre_status", F.col("review_status"))
-    edited = staged(edited_records(touched, edits).drop("bad").unionByName(untouched_data), "edited")
-    before = edited.withColumn("_status", F.col("review_status"))
-    checked = revalidate(before, parser).join(confirmed, IDS)
+    edited = edited_records(records, edits, every=True).drop("bad").withColumn("_status", F.col("review_status"))
+    checked = revalidate(edited if isinstance(parser, Mapping) else staged(edited, "edited"), parser)
     errors = F.exists("issues", lambda i: i["severity"] == "error")
     status = (
         F.when(F.col("_status") == "rejected", "rejected").when(errors, "needs_review")
