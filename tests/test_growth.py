@@ -61,3 +61,22 @@ def test_near_copies_come_from_linked_fingerprints(spark, monkeypatch):
     marks = spark.createDataFrame([(1, 7), (2, 7), (3, 6), (4, 5)], "doc_id long, fp long")
     got = pairs(marked, marks, spark.createDataFrame([(6, 7), (5, 7)], "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(10, 11), (10, 12)]
+
+
+def test_sets_that_share_many_shingles_meet_once(spark, monkeypatch):
+    """A passage that several unlike texts hold is one shingle to the round of pairs, and no shingle between texts whose
+    sizes rule a pair out."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passage = words("p", 60)
+    texts = [f"{passage} {words(f'own{i}x', 25)}" for i in range(6)] + [f"{words('q', 40)} {words('long', 400)}", f"{words('q', 40)} short"]
+    tables, staged = {}, near_copies.staged
+    monkeypatch.setattr(near_copies, "staged", lambda df, name: tables.setdefault(name, staged(df, name)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = near_copies.near_copies(docs).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == len(texts)
+    rows = tables["open_shingles"]
+    holders = {}
+    for r in rows.collect():
+        holders.setdefault(r.token, []).append(r.key)
+    assert holders and len({tuple(sorted(k)) for k in holders.values()}) == len(holders)
+    assert {r.n for r in rows.collect()} == {81}
